@@ -19,6 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import cut
 from .text import BLANKS, GAP, let, sql_words
 
 #: With more frequent lines than this (8 bytes each) they are joined and not broadcast.
@@ -89,7 +90,8 @@ def frequent_lines(docs: DataFrame, *, min_docs: int, share: float, text_col: st
 def line_frequency(docs: DataFrame, *, min_docs: int = 20, share: float = 0.02, min_left: float = 0.5, min_words: int = 10, max_repeat: int = 20, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """docs with the base counts, base_failed, n_frequent_lines, words_left, cleaned (the text without frequent
     lines) and kept."""
-    table = frequent_lines(docs, min_docs=min_docs, share=share, text_col=text_col, host_col=host_col).checkpoint()
+    table = frequent_lines(docs, min_docs=min_docs, share=share, text_col=text_col, host_col=host_col)
+    table = cut(table)
     n = table.agg(F.sum(F.size("_frequent"))).first()[0] or 0
     table = F.broadcast(table) if n <= BROADCAST_LINES else table
     joined = docs.join(table, docs[host_col].cast("string").eqNullSafe(table["_host"]), "left")
