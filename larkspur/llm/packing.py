@@ -16,12 +16,13 @@ each. An empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -31,39 +32,37 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class Encoder:
     """Ids of texts as the tokenizer file gives them, as little-endian uint32 bytes.
 
-    The file's pre-tokenizer parts a text by a pattern and merges inside each part only, so a part's ids
-    are kept and used again. Texts with characters on whose class libraries may differ go to the tokenizer whole.
+    The file's merges are numbered as its ids are, so the quicker rank encoder over the same vocabulary and
+    pattern gives the same ids. Texts with characters on whose classes the two libraries' tables may
+    differ go to the tokenizer itself.
     """
 
     #: The pattern of byte-level BPE vocabularies of this kind. Fixed value.
     PARTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-    def __init__(self, path: str, keep: int = 300_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.parts = regex.compile(self.PARTS).findall
-        self.plain = regex.compile("[\\n\\r\\t\x20-\x7e¡-ſΑ-Ωα-ωА-я‘-”]*").fullmatch
-        self.keep, self.known = keep, {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [self.parts(t) if self.plain(t) else None for t in texts]
-        known = self.known
-        new = {p for parts in split if parts is not None for p in parts if p not in known}
-        if new:
-            if len(known) + len(new) > self.keep:
-                known.clear()
-                new = {p for parts in split if parts is not None for p in parts}
-            new = list(new)
-            for i in range(0, len(new), 5000):
-                known.update(zip(new[i : i + 5000], self._ids(new[i : i + 5000]), strict=True))
-        odd = iter(self._ids([t for t, parts in zip(texts, split, strict=True) if parts is None]))
-        get = known.__getitem__
-        return [b"".join(map(get, parts)) if parts is not None else next(odd) for parts in split]
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            ids = json.load(f)["model"]["vocab"]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file
+        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+        ranks = {bytes(byte[c] for c in piece): i for piece, i in ids.items() if all(c in byte for c in piece)}
+        self.ranked = tiktoken.Encoding(path, pat_str=self.PARTS, mergeable_ranks=ranks, special_tokens={})
+        self.plain = re.compile("[\n\r\t\x20-\x7e\xa1-\u017f\u0391-\u03a1\u03a3-\u03a9\u03b1-\u03c9\u0410-\u044f\u2018-\u201d\u4e00-\u9fa5\u3041-\u3096\u30a1-\u30fa]*").fullmatch
+        self.path, self.tokenizer = path, None
+
+    def exact(self, text: str) -> np.ndarray:
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+            self.tokenizer.encode_special_tokens = True
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def __call__(self, text: str) -> bytes:
+        ids = self.ranked.encode_to_numpy(text) if self.plain(text) else self.exact(text)
+        return ids.astype("<u4", copy=False).tobytes()
 
 
 class Pool:
@@ -163,10 +162,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, tiers: tuple[int, ...] =
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i in range(0, len(ids), 64):
-                some = [t or "" for t in texts.slice(i, 64).to_pylist()]
-                for doc, got in zip(ids[i : i + 64], encode(some), strict=True):
-                    pool.add(doc, got + end)
+            for i, doc in enumerate(ids):
+                pool.add(doc, encode(texts[i].as_py() or "") + end)
                 if pool.held > pool_tokens:
                     yield table(pool.flush())
                 elif len(pool.rows) > 50_000:

@@ -78,3 +78,16 @@ def test_query(spark, sf):
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text").collect()
     rows = __spark_entry__.queries()["op7_packing"](spark, f"/root/testdata/{sf}").collect()
     assert check(rows, [tuple(d) for d in docs]) <= 1
+
+
+def test_encoder_agrees_with_the_tokenizer():
+    from larkspur.llm.packing import Encoder
+
+    encode, rng = Encoder(vocabulary()), np.random.RandomState(3)
+    plain = [chr(c) for c in range(1, 0x3100) if encode.plain(chr(c))]
+    texts = ["a" + c + " " + c + "1" + c + "'s" for c in plain]
+    texts += ["".join(rng.choice(plain, 300)) for _ in range(300)]
+    texts += ["".join(rng.choice(list("ab 1'st\n\t .é"), 80)) for _ in range(2000)]
+    for text in texts:
+        assert encode.plain(text)
+        assert encode(text) == encode.exact(text).astype("<u4").tobytes(), repr(text)
