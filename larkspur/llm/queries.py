@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, toxicity
+from . import lattice, mixing, packing, quality, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,5 +36,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_frequent_lines", "words_left")
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op9_quality": op9_quality, "op6_mixing": op6_mixing, "op7_packing": op7_packing}
+def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.lattice_scores(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES = {"op10_lattice": op10_lattice, "op3_toxicity": op3_toxicity, "op9_quality": op9_quality, "op6_mixing": op6_mixing, "op7_packing": op7_packing}
 ORACLE_SQL: dict[str, str] = {}
