@@ -109,6 +109,29 @@ class Sketch:
             yield number, used, low != high, at, place
 
 
+def merge_sketches(group: pa.Table, shape: Sketch) -> pa.Table:
+    """One segment's sketches of all chunks: for each chunk, which of its cells are used twice or more in all."""
+    count = np.zeros(shape.size, np.uint8)
+    sketches = group.column("cells")
+    for data in sketches:
+        cells, several = unpack_cells(data.as_py(), shape.size)
+        count[cells] = np.minimum(count[cells] + 1 + several, 2)
+    marks = []
+    for data in sketches:
+        cells, _ = unpack_cells(data.as_py(), shape.size)
+        marks.append(np.packbits(count[cells] > 1).tobytes())
+    return pa.table({"segment": group.column("segment"), "chunk": group.column("chunk"), "marks": pa.array(marks, pa.binary())})
+
+
+def repeated(shape: Sketch, h: np.ndarray, text: np.ndarray, marks: pa.Table) -> np.ndarray:
+    """Which hashes of a chunk every row of the merged sketch holds to be used twice or more."""
+    by, twice = dict(zip(marks.column("segment").to_pylist(), marks.column("marks").to_pylist(), strict=True)), np.ones(len(h), bool)
+    for number, used, _, at, place in shape.cells(h, text):
+        if len(used):
+            twice[at] &= np.unpackbits(np.frombuffer(by[number], np.uint8), count=len(used)).astype(bool)[place]
+    return twice
+
+
 def dedup_substrings(docs: DataFrame, *, width: int = 50, chunk_chars: int = 8_000_000, depth: int = 2, spread: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the words that stay, joined by one space) of each row.
 
@@ -126,31 +149,14 @@ def dedup_substrings(docs: DataFrame, *, width: int = 50, chunk_chars: int = 8_0
         return pa.table({"segment": pa.array(numbers, pa.int64()), "chunk": pa.array([key[0].as_py()] * len(out), pa.int64()), "cells": pa.array(cells, pa.binary())})
 
     def merge(key, group):
-        count = np.zeros(shape.size, np.uint8)
-        sketches = group.column("cells")
-        for data in sketches:
-            cells, several = unpack_cells(data.as_py(), shape.size)
-            count[cells] = np.minimum(count[cells] + 1 + several, 2)
-        marks = []
-        for data in sketches:
-            cells, _ = unpack_cells(data.as_py(), shape.size)
-            marks.append(np.packbits(count[cells] > 1).tobytes())
-        return pa.table({"segment": group.column("segment"), "chunk": group.column("chunk"), "marks": pa.array(marks, pa.binary())})
-
-    def estimated(text, h, marks) -> np.ndarray:
-        """Which windows every row of the merged sketch holds to be repeated."""
-        by, twice = dict(zip(marks.column("segment").to_pylist(), marks.column("marks").to_pylist(), strict=True)), np.ones(len(h), bool)
-        for number, used, _, at, place in shape.cells(h, text):
-            if len(used):
-                twice[at] &= np.unpackbits(np.frombuffer(by[number], np.uint8), count=len(used)).astype(bool)[place]
-        return twice
+        return merge_sketches(group, shape)
 
     def ids(group) -> np.ndarray:
         return group.column("doc_id").combine_chunks().fill_null(_LATE).to_numpy()
 
     def ask(key, group, marks):
         text, _, _, (a, b) = windows(group.column("text"), width, (0, 1))
-        keep = estimated(text, a, marks)
+        keep = repeated(shape, a, text, marks)
         a, b, doc = a[keep], b[keep], ids(group)[text[keep]]
         order = np.lexsort((doc, b, a))
         a, b, doc = a[order], b[order], doc[order]
