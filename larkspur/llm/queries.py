@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lattice, mixing, ngram_join, packing, quality, substring, toxicity
+from . import fingerprints, lattice, mixing, ngram_join, packing, quality, substring, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_substrings(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
 
@@ -48,5 +52,5 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.lattice_scores(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {"op5_ngram_join": op5_ngram_join, "op2_substring": op2_substring, "op10_lattice": op10_lattice, "op3_toxicity": op3_toxicity, "op9_quality": op9_quality, "op6_mixing": op6_mixing, "op7_packing": op7_packing}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op5_ngram_join": op5_ngram_join, "op2_substring": op2_substring, "op10_lattice": op10_lattice, "op3_toxicity": op3_toxicity, "op9_quality": op9_quality, "op6_mixing": op6_mixing, "op7_packing": op7_packing}
 ORACLE_SQL: dict[str, str] = {}
