@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, lattice, mixing, ngram_join, packing, quality, substring, toxicity
+from . import fingerprints, lattice, lines, mixing, ngram_join, packing, quality, substring, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.duplicate_lines(docs).select(F.col("doc").alias("doc_id"), "n_lines", F.size("removed").alias("n_removed"), "removed")
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_links(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -52,5 +57,5 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.lattice_scores(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op5_ngram_join": op5_ngram_join, "op2_substring": op2_substring, "op10_lattice": op10_lattice, "op3_toxicity": op3_toxicity, "op9_quality": op9_quality, "op6_mixing": op6_mixing, "op7_packing": op7_packing}
+QUERIES = {"op4_lines": op4_lines, "op1_fingerprints": op1_fingerprints, "op5_ngram_join": op5_ngram_join, "op2_substring": op2_substring, "op10_lattice": op10_lattice, "op3_toxicity": op3_toxicity, "op9_quality": op9_quality, "op6_mixing": op6_mixing, "op7_packing": op7_packing}
 ORACLE_SQL: dict[str, str] = {}
