@@ -126,18 +126,19 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float
     """docs with mix_size (words), mix_source_size, mix_target, mix_copies (how often a document is taken) and mix_shards, the
     output shard of each of its copies. No document is taken more than `most` times."""
     spark = docs.sparkSession
-    keyed = docs.withColumns({"mix_size": n_words(F.col(text_col)), "_mix_h": _hash(F.col(id_col), seed), "_mix_source": F.col(source_col).cast("string")})
-    sized = keyed.select(F.col("_mix_source").alias("source"), F.col("mix_size").alias("size"), F.col("_mix_h").alias("h"))
+    docs = docs.drop(*({"mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_shards"} - {id_col, text_col, source_col}))
+    keyed = docs.withColumns({"mix_size": n_words(F.col(text_col)), "__ls_h": _hash(F.col(id_col), seed), "__ls_source": F.col(source_col).cast("string")})
+    sized = keyed.select(F.col("__ls_source").alias("source"), F.col("mix_size").alias("size"), F.col("__ls_h").alias("h"))
     rules = plan(sized, weights=weights, share=share, most=most, shards=shards, seed=seed)
-    schema = T.StructType([T.StructField("_mix_s", T.StringType()), T.StructField("mix_source_size", T.LongType()), T.StructField("mix_target", T.DoubleType()), T.StructField("_mix_copies", T.LongType()), T.StructField("_mix_below", T.LongType()), T.StructField("_mix_shards", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("__ls_s", T.StringType()), T.StructField("mix_source_size", T.LongType()), T.StructField("mix_target", T.DoubleType()), T.StructField("__ls_copies", T.LongType()), T.StructField("__ls_below", T.LongType()), T.StructField("__ls_shards", T.ArrayType(T.IntegerType()))])
     table = spark.createDataFrame([(x["source"], x["size"], x["target"], x["copies"], x["below"], x["shards"]) for x in rules], schema)
     table = F.broadcast(table) if len(rules) <= BROADCAST_SOURCES else table
-    block, width = F.shiftright("_mix_h", HASH_BITS - LEVEL_BITS).cast("int"), 1 << LEVEL_BITS
-    out = keyed.join(table, keyed["_mix_source"].eqNullSafe(table["_mix_s"]))
-    out = out.withColumn("mix_copies", F.col("_mix_copies") + (F.col("_mix_h") < F.col("_mix_below")).cast("long"))
-    places = F.transform(F.sequence(F.lit(0), F.col("mix_copies").cast("int") - 1), lambda c: F.get("_mix_shards", c * width + block))
+    block, width = F.shiftright("__ls_h", HASH_BITS - LEVEL_BITS).cast("int"), 1 << LEVEL_BITS
+    out = keyed.join(table, keyed["__ls_source"].eqNullSafe(table["__ls_s"]))
+    out = out.withColumn("mix_copies", F.col("__ls_copies") + (F.col("__ls_h") < F.col("__ls_below")).cast("long"))
+    places = F.transform(F.sequence(F.lit(0), F.col("mix_copies").cast("int") - 1), lambda c: F.get("__ls_shards", c * width + block))
     out = out.withColumn("mix_shards", F.when(F.col("mix_copies") > 0, places).otherwise(F.array().cast("array<int>")))
-    return out.drop("_mix_h", "_mix_source", "_mix_s", "_mix_copies", "_mix_below", "_mix_shards")
+    return out.drop("__ls_h", "__ls_source", "__ls_s", "__ls_copies", "__ls_below", "__ls_shards")
 
 
 def draw(docs: DataFrame, *, seed: int = 7, shards: int = 64, id_col: str = "doc_id", **options) -> DataFrame:

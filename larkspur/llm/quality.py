@@ -80,30 +80,32 @@ def base_counts(text: Column) -> Column:
 def frequent_lines(docs: DataFrame, *, min_docs: int, share: float, text_col: str, host_col: str) -> DataFrame:
     """A row per host: the hashes of its lines above the limit."""
     own = F.array_distinct(F.transform(F.filter(lines(F.col(text_col)), has_word), line_hash))
-    each = docs.select(F.col(host_col).cast("string").alias("_host"), own.alias("_own"))
-    counted = each.select("_host", F.explode("_own").alias("_line")).groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n"))
-    hosts = docs.groupBy(F.col(host_col).cast("string").alias("_of")).agg(F.count(F.lit(1)).alias("_docs"))
-    above = counted.where(F.col("_n") > min_docs).join(hosts, F.col("_host").eqNullSafe(F.col("_of")))
-    return above.where(F.col("_n") > F.col("_docs") * share).groupBy("_host").agg(F.sort_array(F.collect_list("_line")).alias("_frequent"))
+    each = docs.select(F.col(host_col).cast("string").alias("__ls_host"), own.alias("__ls_own"))
+    counted = each.select("__ls_host", F.explode("__ls_own").alias("__ls_line")).groupBy("__ls_host", "__ls_line").agg(F.count(F.lit(1)).alias("__ls_n"))
+    hosts = docs.groupBy(F.col(host_col).cast("string").alias("__ls_of")).agg(F.count(F.lit(1)).alias("__ls_docs"))
+    above = counted.where(F.col("__ls_n") > min_docs).join(hosts, F.col("__ls_host").eqNullSafe(F.col("__ls_of")))
+    return above.where(F.col("__ls_n") > F.col("__ls_docs") * share).groupBy("__ls_host").agg(F.sort_array(F.collect_list("__ls_line")).alias("__ls_frequent"))
 
 
 def line_frequency(docs: DataFrame, *, min_docs: int = 20, share: float = 0.02, min_left: float = 0.5, min_words: int = 10, max_repeat: int = 20, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """docs with the base counts, base_failed, n_frequent_lines, words_left, cleaned (the text without frequent
-    lines) and kept."""
+    lines) and kept. Columns of these names are replaced."""
+    new = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_frequent_lines", "words_left", "cleaned", "kept"}
+    docs = docs.drop(*(new - {text_col, host_col}))
     table = frequent_lines(docs, min_docs=min_docs, share=share, text_col=text_col, host_col=host_col)
     table = cut(table)
-    n = table.agg(F.sum(F.size("_frequent"))).first()[0] or 0
+    n = table.agg(F.sum(F.size("__ls_frequent"))).first()[0] or 0
     table = F.broadcast(table) if n <= BROADCAST_LINES else table
-    joined = docs.join(table, docs[host_col].cast("string").eqNullSafe(table["_host"]), "left")
-    frequent = F.coalesce("_frequent", F.array().cast("array<bigint>"))
+    joined = docs.join(table, docs[host_col].cast("string").eqNullSafe(table["__ls_host"]), "left")
+    frequent = F.coalesce("__ls_frequent", F.array().cast("array<bigint>"))
     is_frequent = lambda x: has_word(x) & F.array_contains(frequent, line_hash(x))
     text = F.col(text_col)
     some = F.size(frequent) > 0
     gone = F.when(some, F.filter(lines(text), is_frequent)).otherwise(F.array().cast("array<string>"))
     left = F.when(some & text.isNotNull(), F.array_join(F.filter(lines(text), lambda x: ~is_frequent(x)), "\n")).otherwise(text)
-    out = joined.withColumns({"_base": base_counts(text), "_gone": let(gone, lambda g: F.struct(F.size(g).cast("long").alias("lines"), F.coalesce(F.aggregate(g, F.lit(0), lambda a, x: a + F.size(sql_words(x))), F.lit(0)).cast("long").alias("words"))), "cleaned": left})
+    out = joined.withColumns({"__ls_base": base_counts(text), "__ls_gone": let(gone, lambda g: F.struct(F.size(g).cast("long").alias("lines"), F.coalesce(F.aggregate(g, F.lit(0), lambda a, x: a + F.size(sql_words(x))), F.lit(0)).cast("long").alias("words"))), "cleaned": left})
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    out = out.select(*[c for c in out.columns if c not in ("_host", "_frequent", "_base", "_gone")], *[F.col(f"_base.{n}").alias(n) for n in names], F.col("_gone.lines").alias("n_frequent_lines"), (F.col("_base.n_words") - F.col("_gone.words")).alias("words_left"))
+    out = out.select(*[c for c in out.columns if c not in ("__ls_host", "__ls_frequent", "__ls_base", "__ls_gone")], *[F.col(f"__ls_base.{n}").alias(n) for n in names], F.col("__ls_gone.lines").alias("n_frequent_lines"), (F.col("__ls_base.n_words") - F.col("__ls_gone.words")).alias("words_left"))
     failed = reduce(lambda a, b: a | b, [F.col("n_words") < min_words, 100 * F.col("n_repeat_words") > max_repeat * F.col("n_words")])
     depleted = (F.col("n_frequent_lines") > 0) & ((F.col("words_left") < min_words) | (F.col("words_left") < min_left * F.col("n_words")))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~depleted)

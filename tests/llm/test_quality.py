@@ -65,7 +65,7 @@ def test_frequent_lines_and_edges(spark):
     docs += [(100 + i, "share this page now\nshare this page now and some other words that are its own", "h") for i in range(3)]
     docs += [(200, None, "h"), (201, "", "h"), (202, "share this page now", None), (203, "a\x0bb " * 50, None), (204, "\n\n \n", "h"), (205, "x y z " * 3000, "q")]
     want = brute(docs)
-    df = spark.createDataFrame([(*d, "c", 1) for d in docs], "doc_id long, text string, source string, kept2 string, _n int")
+    df = spark.createDataFrame([(*d, "c", 1) for d in docs], "doc_id long, text string, source string, kept string, _n int").withColumn("n_words", F.lit(1))
     got = quality.line_frequency(df).collect()
     assert len(got) == len(docs)
     for r in got:
