@@ -53,53 +53,105 @@ def read_vocabulary(path: str) -> tuple[list[str], dict[int, int], np.ndarray]:
 
 
 class Lattice:
-    """Sums over segmentations of one word at a time. Weights are natural logarithms."""
+    """Sums over segmentations of many words at once. Weights are natural logarithms.
+
+    A word's nodes are the places between its characters; its arcs are the pieces found at each place, by walking the
+    vocabulary's trie one character at a time for all places together.
+    """
 
     def __init__(self, pieces: list[str], bytes_: dict[int, int], weights: np.ndarray):
-        self.log = np.log(np.maximum(weights, 1e-300)).tolist()
-        self.ids = {p: i for i, p in enumerate(pieces) if p}
-        self.of = {p: self.log[i] for p, i in self.ids.items()}
-        self.bytes, self.longest = bytes_, max(map(len, self.ids), default=1)
-
-    def spelled(self, char: str) -> list[int]:
-        """The byte pieces of a character that is no piece."""
-        return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass") if b in self.bytes]
-
-    def forward(self, s: str) -> list[float]:
-        """At j: the log of the summed weight of all segmentations of s[:j]."""
-        get, longest, out = self.of.get, self.longest, [0.0]
-        for j in range(1, len(s) + 1):
-            terms = [out[i] + w for i in range(j - longest if j > longest else 0, j) if (w := get(s[i:j])) is not None]
-            if s[j - 1] not in self.of:
-                terms.append(out[j - 1] + sum(self.log[b] for b in self.spelled(s[j - 1])))
-            if len(terms) == 1:
-                out.append(terms[0])
-            else:
-                top = max(terms)
-                out.append(top + math.log(sum([math.exp(t - top) for t in terms])))
+        self.log, self.bytes = np.log(np.maximum(weights, 1e-300)), bytes_
+        child: dict[tuple[int, str], int] = {}
+        ends: dict[int, int] = {}
+        for i, piece in enumerate(pieces):
+            node = 0
+            for c in piece:
+                node = child.setdefault((node, c), len(child) + 1)
+            if piece:
+                ends[node] = i
+        steps = sorted((n << 21 | ord(c), to) for (n, c), to in child.items())
+        self.keys, self.to = np.array([k for k, _ in steps], np.int64), np.array([t for _, t in steps], np.int64)
+        self.piece = np.full(len(child) + 1, -1, np.int64)
+        self.piece[list(ends)] = list(ends.values())
+
+    def arcs(self, words: list[str]):
+        """(source node, target node, piece or -1, weight) of all arcs, the words' first nodes and each node's place in its word, and
+        the byte pieces of the arcs without a piece."""
+        n = np.array([len(w) + 1 for w in words], np.int64)
+        chars = np.frombuffer("".join([MARK + w for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        word = np.repeat(np.arange(len(words)), n)
+        node = np.arange(len(chars)) + word  # a word has one node more than it has characters
+        stop = np.cumsum(n)[word]
+        at, state, source, target, piece = np.arange(len(chars)), np.zeros(len(chars), np.int64), [], [], []
+        alone, length = np.zeros(len(chars), bool), 0
+        while len(at):
+            length += 1
+            key = state << 21 | chars[at + length - 1]
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            ok = self.keys[k] == key
+            at, state = at[ok], self.to[k[ok]]
+            got = self.piece[state]
+            here = got >= 0
+            source.append(node[at[here]])
+            target.append(node[at[here]] + length)
+            piece.append(got[here])
+            if length == 1:
+                alone[at[here]] = True
+            on = at + length < stop[at]
+            at, state = at[on], state[on]
+        odd = np.flatnonzero(~alone)
+        spelled = [[self.bytes[b] for b in chr(c).encode("utf-8", "surrogatepass") if b in self.bytes] for c in chars[odd].tolist()]
+        source, target, piece = np.concatenate([*source, node[odd]]), np.concatenate([*target, node[odd] + 1]), np.concatenate([*piece, np.full(len(odd), -1)])
+        weight = self.log[piece]
+        if len(odd):
+            weight[-len(odd) :] = [self.log[x].sum() for x in spelled]
+        first = np.cumsum(n + 1) - (n + 1)
+        place = np.arange(len(chars) + len(words)) - np.repeat(first, n + 1)
+        return source, target, piece, weight, first, place, spelled
+
+    @staticmethod
+    def sums(by: np.ndarray, other: np.ndarray, weight: np.ndarray, level: np.ndarray, values: np.ndarray) -> None:
+        """values[b] = log of the sum of exp(values[other] + weight) over arcs with by = b, level by level."""
+        order = np.argsort(level << 40 | by, kind="stable")
+        by, other, weight, level = by[order], other[order], weight[order], level[order]
+        cuts = np.flatnonzero(np.diff(level, prepend=-1, append=-1)) if len(level) else np.zeros(1, int)
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            x, own = values[other[lo:hi]] + weight[lo:hi], by[lo:hi]
+            heads = np.flatnonzero(np.diff(own, prepend=-1))
+            top = np.maximum.reduceat(x, heads)
+            values[own[heads]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(heads, append=len(x)))), heads))
+
+    def forward(self, arcs) -> np.ndarray:
+        source, target, _, weight, first, place, _ = arcs
+        out = np.full(len(place), _NONE)
+        out[first] = 0.0
+        self.sums(target, source, weight, place[target], out)
         return out
 
-    def word(self, word: str) -> float:
-        return self.forward(MARK + word)[-1]
-
-    def expect(self, word: str, times: float, counts: np.ndarray) -> None:
-        """Adds to counts how often each piece is expected in the word's segmentations."""
-        s, get = MARK + word, self.of.get
-        n, ahead = len(s), self.forward(MARK + word)
-        behind = [_NONE] * n + [0.0]
-        for i in range(n - 1, -1, -1):
-            arcs = [(j, s[i:j], w + behind[j]) for j in range(i + 1, min(n, i + self.longest) + 1) if (w := get(s[i:j])) is not None]
-            if s[i] not in self.of:
-                arcs.append((i + 1, None, sum(self.log[b] for b in self.spelled(s[i])) + behind[i + 1]))
-            top = max(a[2] for a in arcs)
-            behind[i] = top + math.log(sum([math.exp(a[2] - top) for a in arcs]))
-            for _, piece, w in arcs:
-                share = times * math.exp(ahead[i] + w - ahead[n])
-                if piece is not None:
-                    counts[self.ids[piece]] += share
-                else:
-                    for b in self.spelled(s[i]):
-                        counts[b] += share
+    def words(self, words: list[str]) -> np.ndarray:
+        """The log of the summed weight of all segmentations of each word."""
+        if not words:
+            return np.zeros(0)
+        arcs = self.arcs(words)
+        return self.forward(arcs)[np.append(arcs[4][1:], len(arcs[5])) - 1]
+
+    def expect(self, words: list[str], times: np.ndarray, counts: np.ndarray) -> None:
+        """Adds to counts how often each piece is expected in the words' segmentations."""
+        if not words:
+            return
+        arcs = self.arcs(words)
+        source, target, piece, weight, first, place, spelled = arcs
+        ahead, last = self.forward(arcs), np.append(first[1:], len(place)) - 1
+        behind = np.full(len(place), _NONE)
+        behind[last] = 0.0
+        self.sums(source, target, weight, place.max() - place[source], behind)
+        word = np.searchsorted(first, source, "right") - 1
+        share = times[word] * np.exp(ahead[source] + weight + behind[target] - ahead[last][word])
+        own = piece >= 0
+        counts += np.bincount(piece[own], share[own], len(counts))
+        for x, pieces in zip(share[~own].tolist(), spelled, strict=True):
+            for i in pieces:
+                counts[i] += x
 
 
 def held_out(id_col: Column, parts: int = 7, part: int = 2) -> Column:
@@ -140,8 +192,9 @@ def fit(counts: DataFrame, n_docs: int, vocabulary: str, rounds: int, prior: flo
         def expect(batches, now=now):
             lattice, out = Lattice(*read_vocabulary(vocabulary)[:2], now), np.zeros(len(now))
             for b in batches:
-                for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    lattice.expect(word, n, out)
+                for i in range(0, b.num_rows, 5000):
+                    part = b.slice(i, 5000)
+                    lattice.expect(part.column(0).to_pylist(), part.column(1).to_numpy().astype(float), out)
             at = np.flatnonzero(out)
             yield pa.record_batch([pa.array(at), pa.array(out[at])], names=["piece", "n"])
 
@@ -176,26 +229,22 @@ def lattice_scores(docs: DataFrame, vocabulary: str, *, rounds: int = 2, prior:
         return pa.table({"word": pa.array(list(words), pa.binary()).cast(pa.string()), "chunk": pa.array([key[0].as_py()] * len(words), pa.int64())})
 
     def weigh(batches):
-        lattice, last, value = Lattice(*read_vocabulary(vocabulary)[:2], weights), None, 0.0
-        for b in batches:
-            out = []
-            for word in b.column(0).to_pylist():
-                if word != last:
-                    last, value = word, lattice.word(word) * log10
-                out.append(value)
-            yield pa.record_batch([*b.columns, pa.array(out, pa.float64())], names=["word", "chunk", "c", "w"])
+        lattice = Lattice(*read_vocabulary(vocabulary)[:2], weights)
+        for b in batches:  # sorted by word, so that a word's rows are next to each other
+            coded = b.column(0).dictionary_encode()
+            value = lattice.words(coded.dictionary.to_pylist()) * log10
+            yield pa.record_batch([*b.columns, pa.array(value[coded.indices.to_numpy()])], names=["word", "chunk", "c", "w"])
 
     def answer(key, group, words):
-        names = [w.encode() for w in words.column("word").to_pylist()]
-        c = words.column("c").to_numpy()
-        base = dict(zip(names, (np.log10((c + 1) / scale)).tolist(), strict=True))
-        known = dict(zip(names, (c > 0).tolist(), strict=True))
-        weight = dict(zip(names, words.column("w").to_pylist(), strict=True))
+        place = {w: i for i, w in enumerate(words.column("word").cast(pa.binary()).to_pylist())}.__getitem__
+        c, weight = words.column("c").to_numpy(), words.column("w").to_numpy()
+        base = np.log10((c + 1) / scale)
         end_base, end_weight = math.log10((n_docs + 1) / scale), math.log10(end)
         rows = []
         for text in group.column("text"):
             w = lowered(text.as_py())
-            rows.append((len(w) + 1, sum(map(known.__getitem__, w)) + (n_docs > 0), sum(map(base.__getitem__, w)) + end_base, sum(map(weight.__getitem__, w)) + end_weight))
+            at = np.fromiter(map(place, w), np.int32, len(w))
+            rows.append((len(w) + 1, int((c[at] > 0).sum()) + (n_docs > 0), float(base[at].sum()) + end_base, float(weight[at].sum()) + end_weight))
         cols = list(zip(*rows, strict=True)) or [()] * 4
         return pa.table({"doc_id": group.column("doc_id"), "held_out": group.column("held_out"), "n_tokens": pa.array(cols[0], pa.int64()), "n_known": pa.array(cols[1], pa.int64()), "train_tokens": pa.array([total] * len(rows), pa.int64()), "base_score": pa.array(cols[2], pa.float64()), "score": pa.array(cols[3], pa.float64())})
 

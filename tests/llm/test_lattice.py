@@ -41,18 +41,23 @@ def test_forward_sums_all_segmentations():
     pieces = ["", "▁", "a", "b", "ab", "▁a", "ba", "▁aba", "", ""]
     weights = np.array([0, 0.1, 0.2, 0.1, 0.2, 0.1, 0.1, 0.1, 0.05, 0.05])
     own = lattice.Lattice(pieces, {0xC3: 8, 0xA9: 9}, weights)
-    p = dict(zip(pieces, weights))
-    for word in ("a", "ab", "abab", "aabba", "b"):
-        ways = [math.prod(p[x] for x in way) for way in segmentations("▁" + word, set(pieces) - {""})]
-        assert math.exp(own.word(word)) == pytest.approx(sum(ways))
-        counts, want = np.zeros(10), np.zeros(10)
-        own.expect(word, 3, counts)
-        for way, w in zip(segmentations("▁" + word, set(pieces) - {""}), ways):
+    p, words = dict(zip(pieces, weights)), ["a", "ab", "abab", "aabba", "b", "ab"]
+    times, counts, want = np.array([3.0, 1, 2, 5, 1, 4]), np.zeros(10), np.zeros(10)
+    got = np.exp(own.words(words))
+    own.expect(words, times, counts)
+    for word, n, value in zip(words, times, got):
+        ways = [(way, math.prod(p[x] for x in way)) for way in segmentations("▁" + word, set(pieces) - {""})]
+        total = sum(w for _, w in ways)
+        assert value == pytest.approx(total)
+        for way, w in ways:
             for x in way:
-                want[pieces.index(x)] += 3 * w / sum(ways)
-        assert counts == pytest.approx(want)
-    assert math.exp(own.word("é")) == pytest.approx(0.1 * 0.05 * 0.05)
-    assert math.isfinite(own.word("ab" * 20_000))
+                want[pieces.index(x)] += n * w / total
+    assert counts == pytest.approx(want)
+    assert np.exp(own.words(["é", "aé"])) == pytest.approx([0.1 * 0.05 * 0.05, (0.1 * 0.2 + 0.1) * 0.05 * 0.05])
+    spelled = np.zeros(10)
+    own.expect(["é"], np.array([2.0]), spelled)
+    assert spelled[[8, 9, 1]].tolist() == [2, 2, 2]
+    assert math.isfinite(own.words(["ab" * 20_000])[0]) and len(own.words([])) == 0
 
 
 def test_expectation_raises_the_likelihood(spark):
@@ -64,7 +69,7 @@ def test_expectation_raises_the_likelihood(spark):
         w, end = lattice.fit(words, 10, path, rounds, 0.01)
         own = lattice.Lattice(*lattice.read_vocabulary(path)[:2], w)
         assert w.sum() <= 1 + 1e-9
-        got.append(50 * own.word("hello") + 3 * own.word("helo") + 40 * own.word("world") + 2 * own.word("é"))
+        got.append(float(own.words(["hello", "helo", "world", "é"]) @ [50, 3, 40, 2]))
     assert got[0] < got[1] < got[2]
 
 
