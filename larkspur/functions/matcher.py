@@ -5,6 +5,7 @@ For documents on the driver (upserts, checks), and what compiled filters are tes
 
 from __future__ import annotations
 
+import math
 import re
 
 from .values import MISSING, TYPE_NAMES, compare, get_path, is_number, kind, literal, type_number
@@ -58,13 +59,13 @@ def _operator(value, op: str, x) -> bool:
         except re.error:
             return False
     if op == "$size":
-        return isinstance(value, list) and is_number(x) and len(value) == int(x)
+        return isinstance(value, list) and is_number(x) and math.isfinite(x) and len(value) == int(x)
     if op == "$all":
         return isinstance(value, list) and isinstance(x, list) and all(any(equal(e, v) for e in value) for v in x)
     if op == "$elemMatch":
         return isinstance(value, list) and isinstance(x, dict) and any(isinstance(e, dict) and _all(e, x) for e in value)
     if op == "$mod":
-        if not (isinstance(x, list) and len(x) == 2 and all(map(is_number, x)) and is_number(value)):
+        if not (isinstance(x, list) and len(x) == 2 and all(map(is_number, [*x, value])) and all(math.isfinite(n) for n in [*x, value])):
             return False
         n, d, r = int(value), int(x[0]), int(x[1])
         return d != 0 and n - d * int(abs(n) // abs(d)) * (1 if (n < 0) == (d < 0) else -1) == r

@@ -80,12 +80,11 @@ def equals(ref: Ref | None, v) -> Column:
         return F.lit(False)
     there = ref.present if ref.present is not None else F.lit(True)
     if v is None:
-        return sure(there & ref.value.isNull())
+        return there & ref.value.isNull()
     if kind_of(ref.dtype) != kind(v):
         return F.lit(False)
     if is_number(v):
-        test = number_test(ref.value, ref.dtype, "$eq", v)
-        return sure(there & ref.value.isNotNull() & test)
+        return there & ref.value.isNotNull() & number_test(ref.value, ref.dtype, "$eq", v)
     if isinstance(v, dict):
         if isinstance(ref.dtype, T.MapType) or [f.name for f in ref.dtype.fields] != list(v):
             return F.lit(False)
@@ -98,7 +97,7 @@ def equals(ref: Ref | None, v) -> Column:
         for i, x in enumerate(v):
             test = test & equals(Ref(F.get(ref.value, F.lit(i)), ref.dtype.elementType), x)
         return sure(there & test)
-    return sure(there & (ref.value == fitting(v, ref.dtype)))
+    return there & ref.value.isNotNull() & (ref.value == fitting(v, ref.dtype))
 
 
 def ordered(ref: Ref | None, op: str, v) -> Column:
@@ -117,7 +116,8 @@ def ordered(ref: Ref | None, op: str, v) -> Column:
         test = _arrays(ref, op, v)
     else:
         test = _OPS[op](ref.value, fitting(v, ref.dtype))
-    return sure(there & F.when(ref.value.isNull(), F.lit(null_test)).otherwise(test))
+    # never null, and in a form that scans can take: c is null or c < v; c is not null and c > v
+    return there & (ref.value.isNull() | test) if null_test else there & ref.value.isNotNull() & test
 
 
 def _steps(op: str, steps: list[tuple[Column, Column]], rest: bool | Column) -> Column:

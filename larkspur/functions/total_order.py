@@ -53,25 +53,30 @@ def rank(v: Column) -> Column:
     return of.otherwise(int(Kind.NUMBER)).cast("int")
 
 
-def sort_key(v: Column) -> Column:
-    """A struct whose ascending order is the total order, missing values first."""
+def sort_key(v: Column, deep: bool = True) -> Column:
+    """A struct whose ascending order is the total order, missing values first. Without deep no Python runs, and documents are
+    equal to each other, and arrays too."""
     r = rank(v)
     is_number, is_date = r == int(Kind.NUMBER), r == int(Kind.DATE)
     number = F.when(is_number, F.try_variant_get(v, "$", "double")).when(is_date, F.unix_micros(F.try_variant_get(v, "$", "timestamp")).cast("double")).when(r == int(Kind.BOOL), F.try_variant_get(v, "$", "boolean").cast("double"))
     exact = F.when(is_number, F.try_variant_get(v, "$", "decimal(38,10)"))
     text = F.when(r == int(Kind.STRING), F.try_variant_get(v, "$", "string"))
-    deep = _encoded(F.when(r.isin(int(Kind.DOCUMENT), int(Kind.ARRAY)), F.to_json(v)))
-    return F.struct(r.alias("rank"), number.alias("number"), exact.alias("exact"), text.alias("text"), deep.alias("deep"))
+    parts = [r.alias("rank"), number.alias("number"), exact.alias("exact"), text.alias("text")]
+    if deep:
+        parts.append(_encoded(F.when(r.isin(int(Kind.DOCUMENT), int(Kind.ARRAY)), F.to_json(v))).alias("deep"))
+    return F.struct(*parts)
 
 
-def literal_key(value) -> Column:
+def literal_key(value, deep: bool = True) -> Column:
     """The same struct for a literal."""
     value = literal(value)
     k = kind(value)
-    number = float(value) if k in (Kind.NUMBER, Kind.BOOL) else None
-    exact = str(value) if k == Kind.NUMBER and abs(value) < 10**28 else None
     if k == Kind.DATE:
-        moment = F.lit(value).cast("timestamp")
-        return F.struct(F.lit(int(k)).alias("rank"), F.unix_micros(moment).cast("double").alias("number"), F.lit(None).cast("decimal(38,10)").alias("exact"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("binary").alias("deep"))
-    deep = bytearray(encode(value)) if k in (Kind.DOCUMENT, Kind.ARRAY) else None
-    return F.struct(F.lit(int(k)).alias("rank"), F.lit(number).cast("double").alias("number"), F.lit(exact).cast("decimal(38,10)").alias("exact"), F.lit(str(value) if k == Kind.STRING else None).cast("string").alias("text"), F.lit(deep).cast("binary").alias("deep"))
+        number = F.unix_micros(F.lit(value).cast("timestamp")).cast("double")
+    else:
+        number = F.lit(float(value) if k in (Kind.NUMBER, Kind.BOOL) else None).cast("double")
+    exact = str(value) if k == Kind.NUMBER and abs(value) < 10**28 else None
+    parts = [F.lit(int(k)).alias("rank"), number.alias("number"), F.lit(exact).cast("decimal(38,10)").alias("exact"), F.lit(str(value) if k == Kind.STRING else None).cast("string").alias("text")]
+    if deep:
+        parts.append(F.lit(bytearray(encode(value)) if k in (Kind.DOCUMENT, Kind.ARRAY) else None).cast("binary").alias("deep"))
+    return F.struct(*parts)

@@ -54,13 +54,8 @@ def _entry(key: str, x, doc: Column) -> Column:
 
 def _key(v: Column, x) -> tuple[Column, Column]:
     """Keys of a value and a literal; only documents and arrays need the part that is made in Python."""
-    own, wanted = sort_key(v), literal_key(x)
-    if kind(x) in (Kind.DOCUMENT, Kind.ARRAY):
-        return own, wanted
-    parts = ("rank", "number", "exact", "text")
-    r = rank(v)
-    scalar = F.struct(r.alias("rank"), *[own[p].alias(p) for p in parts[1:]])
-    return scalar, F.struct(*[wanted[p].alias(p) for p in parts])
+    deep = kind(x) in (Kind.DOCUMENT, Kind.ARRAY)
+    return sort_key(v, deep), literal_key(x, deep)
 
 
 def _equal(v: Column, x) -> Column:
@@ -99,7 +94,7 @@ def _operator(v: Column, op: str, x) -> Column:
     if op == "$mod":
         if not (isinstance(x, list) and len(x) == 2 and all(map(is_number, x)) and int(x[0])):
             return F.lit(False)
-        whole = F.try_variant_get(v, "$", "double").try_cast("bigint")
+        whole = F.coalesce(F.try_variant_get(v, "$", "bigint"), F.try_variant_get(v, "$", "double").try_cast("bigint"))
         return sure((rank(v) == int(Kind.NUMBER)) & (whole % int(x[0]) == int(x[1])))
     return F.lit(False)
 

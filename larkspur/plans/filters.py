@@ -6,6 +6,7 @@ constant, which the optimizer folds; the rest are plain comparisons that reach t
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.errors import IllegalArgumentException
@@ -83,7 +84,7 @@ def _in(ref: Ref | None, values) -> Column:
     tests = [equals(ref, v) for v in values if not any(v is s for s in simple)]
     if simple:
         there = ref.present if ref.present is not None else F.lit(True)
-        tests.append(sure(there & ref.value.isin([constant(v) for v in simple])))
+        tests.append(there & ref.value.isNotNull() & ref.value.isin([constant(v) for v in simple]))
     return _any(tests)
 
 
@@ -108,7 +109,7 @@ def valid_pattern(pattern: str) -> bool:
 def _regex(ref: Ref | None, pattern) -> Column:
     if ref is None or kind_of(ref.dtype) != Kind.STRING or not isinstance(pattern, str) or not valid_pattern(pattern):
         return F.lit(False)
-    return sure(ref.value.rlike(pattern))
+    return ref.value.isNotNull() & ref.value.rlike(pattern)
 
 
 def _is(items: T.DataType, v):
@@ -120,7 +121,7 @@ def _array(ref: Ref | None, op: str, x) -> Column:
         return F.lit(False)
     items = ref.dtype.elementType
     if op == "$size":
-        return sure(F.size(ref.value) == int(x)) if is_number(x) and x == x and abs(x) < 2**31 else F.lit(False)
+        return sure(F.size(ref.value) == int(x)) if is_number(x) and math.isfinite(x) and abs(x) < 2**31 else F.lit(False)
     if op == "$all":
         if not isinstance(x, list):
             return F.lit(False)
@@ -131,7 +132,7 @@ def _array(ref: Ref | None, op: str, x) -> Column:
 
 
 def _mod(ref: Ref | None, x) -> Column:
-    if ref is None or kind_of(ref.dtype) != Kind.NUMBER or not (isinstance(x, list) and len(x) == 2 and all(map(is_number, x))) or int(x[0]) == 0:
+    if ref is None or kind_of(ref.dtype) != Kind.NUMBER or not (isinstance(x, list) and len(x) == 2 and all(map(is_number, x)) and all(map(math.isfinite, x))) or int(x[0]) == 0:
         return F.lit(False)
     whole = ref.value if isinstance(ref.dtype, T.IntegralType) else ref.value.try_cast("bigint")
     return sure(whole % F.lit(int(x[0])) == int(x[1]))
