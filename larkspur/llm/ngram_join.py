@@ -133,7 +133,8 @@ def jaccard_links(docs: DataFrame, *, width: int = 3, threshold: tuple[int, int]
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = total_chars(own)
-    shape = Sketch(max(1, total // 25), 2, 8)  # about a key to 50 characters for each of two schemes
+    # a set of n has about n * (den - num) / num keys in each of two schemes: so many that few may be held repeated falsely
+    shape = Sketch(max(1, total * (threshold[1] - threshold[0]) // (3 * threshold[0])), 3, 16)
     chunked = with_chunks(own, chunk_chars, "doc_id", "text", total)
     num, den = threshold
 
@@ -181,14 +182,16 @@ def jaccard_links(docs: DataFrame, *, width: int = 3, threshold: tuple[int, int]
     same = rows.where(F.col("n") > 0).groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
     member = rows.where(F.col("n") > 0).select("id", "n", "d1", "d2").distinct()
     least = member.join(same, ["n", "d1", "d2"])  # every id with a set, and the least id with the same set
-    reps = saved(rows.where(F.col("keys").isNotNull()).join(same, ["n", "d1", "d2"]).where(F.col("id") == F.col("rep")).dropDuplicates(["id", "d1", "d2"]).select("id", "n", "s", "p", "keys"), "reps")
+    with_keys = rows.where(F.col("keys").isNotNull())
+    reps = saved(with_keys.select("id", "n", "d1", "d2", "p", "keys").join(same, ["n", "d1", "d2"]).where(F.col("id") == F.col("rep")).select("id", "n", "p", "keys"), "reps")
+    sets = with_keys.select("id", "s")
     in_block = reps.select(F.explode("keys").alias("key"), "id")
 
-    found = verify(star_pairs(in_block), reps, threshold)
+    found = verify(star_pairs(in_block), reps, sets, threshold)
     links = saved(found, "found")
     known = components(links)
     rest = search_open(in_block, known, reps, threshold, most)
-    more = saved(verify(rest, reps, threshold), "found")
+    more = saved(verify(rest, reps, sets, threshold), "found")
     copies = least.where(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     known = components(links.unionAll(more).unionAll(copies))
     of = known.select(F.col("id").alias("_id"), "component")
@@ -196,7 +199,7 @@ def jaccard_links(docs: DataFrame, *, width: int = 3, threshold: tuple[int, int]
     return out.select("doc_id", "n_shingles", F.when(F.col("c") != _LATE, F.col("c")).alias("component_id"))
 
 
-def verify(pairs: DataFrame, reps: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def verify(pairs: DataFrame, reps: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Those of the pairs (a, b) that link: first the bound by their points, then the sets."""
     num, den = threshold
 
@@ -220,7 +223,7 @@ def verify(pairs: DataFrame, reps: DataFrame, threshold: tuple[int, int]) -> Dat
     far = reps.select(F.col("id").alias("_b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
     both = pairs.join(near, F.col("a") == F.col("_a")).join(far, F.col("b") == F.col("_b")).select("a", "b", "na", "pa", "nb", "pb")
     likely = both.mapInArrow(bound, "a long, b long")
-    near, far = reps.select(F.col("id").alias("_a"), F.col("s").alias("sa")), reps.select(F.col("id").alias("_b"), F.col("s").alias("sb"))
+    near, far = sets.select(F.col("id").alias("_a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("_b"), F.col("s").alias("sb"))
     return likely.join(near, F.col("a") == F.col("_a")).join(far, F.col("b") == F.col("_b")).select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
