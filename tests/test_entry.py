@@ -31,4 +31,4 @@ def test_nothing_else_imports_the_training_data_part(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path), "HOME": str(tmp_path)})
     for p in (ROOT / "larkspur").rglob("*.py"):
         if "llm" not in p.relative_to(ROOT).parts:
-            assert "llm" not in p.read_text(), p
+            assert ".llm" not in p.read_text(), p
