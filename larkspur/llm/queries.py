@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints, lattice, licences, lines, mixing, ngram_join, packing, quality, substring, toxicity
+from .oracle import ORACLE_SQL
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,4 +63,5 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_licences": op8_licences, "op4_lines": op4_lines, "op1_fingerprints": op1_fingerprints, "op5_ngram_join": op5_ngram_join, "op2_substring": op2_substring, "op10_lattice": op10_lattice, "op3_toxicity": op3_toxicity, "op9_quality": op9_quality, "op6_mixing": op6_mixing, "op7_packing": op7_packing}
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES", "read", "vocabulary"]
