@@ -308,6 +308,76 @@ def _(db: Database) -> DataFrame:
     return db.collection("region").df.select("r_regionkey", "r_name")
 
 
+# more of joins, arrays, writes and commands
+
+pipeline("lookup_array_key", "SELECT a.o_custkey AS _id, count(b.o_custkey) AS n FROM (SELECT o_custkey, string_agg(o_orderstatus, ',' ORDER BY o_orderkey) AS s FROM orders WHERE o_custkey <= 150 GROUP BY 1) a JOIN (SELECT o_custkey, string_agg(o_orderstatus, ',' ORDER BY o_orderkey) AS s FROM orders WHERE o_custkey <= 150 GROUP BY 1) b ON a.s = b.s GROUP BY 1", "orders", [{"$match": {"o_custkey": {"$lte": 150}}}, {"$group": {"_id": "$o_custkey", "status": {"$push": "$o_orderstatus"}}}], after=lambda df: _self_lookup(df))
+pipeline("lookup_overwrites", "SELECT n_nationkey, 1 AS n FROM nation", "nation", [{"$lookup": {"from": "region", "localField": "n_regionkey", "foreignField": "r_regionkey", "as": "n_name"}}], "region", after=lambda df: df.select("n_nationkey", F.size("n_name").alias("n")))
+pipeline("lookup_nested_key", "SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey", "nation", [{"$set": {"at.region": "$n_regionkey"}}, {"$lookup": {"from": "region", "localField": "at.region", "foreignField": "r_regionkey", "as": "r"}}, {"$unwind": "$r"}], "region", after=lambda df: df.select("n_nationkey", "r.r_name"))
+pipeline("lookup_twice", "SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey", "supplier", [{"$lookup": {"from": "nation", "localField": "s_nationkey", "foreignField": "n_nationkey", "as": "n"}}, {"$unwind": "$n"}, {"$lookup": {"from": "region", "localField": "n.n_regionkey", "foreignField": "r_regionkey", "as": "r"}}, {"$unwind": "$r"}], "nation", "region", after=lambda df: df.select("s_suppkey", "n.n_name", "r.r_name"))
+pipeline("sort_then_group", "SELECT o_orderstatus AS _id, count(*) AS n FROM orders GROUP BY 1", "orders", [{"$sort": {"o_totalprice": -1}}, {"$group": {"_id": "$o_orderstatus", "n": {"$count": {}}}}])
+pipeline("sort_limit_group", "SELECT o_orderstatus AS _id, count(*) AS n FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 500) GROUP BY 1", "orders", [{"$sort": {"o_totalprice": -1, "o_orderkey": 1}}, {"$limit": 500}, {"$group": {"_id": "$o_orderstatus", "n": {"$count": {}}}}])
+pipeline("group_in_first_seen_order", "SELECT o_custkey AS _id FROM orders GROUP BY 1 ORDER BY min(o_orderkey) LIMIT 12", "orders", [{"$group": {"_id": "$o_custkey"}}, {"$limit": 12}])
+pipeline("group_first_of_strings", "SELECT c_nationkey AS _id, first(c_name ORDER BY c_mktsegment DESC, c_custkey) AS name FROM customer GROUP BY 1", "customer", [{"$sort": {"c_mktsegment": -1, "c_custkey": 1}}, {"$group": {"_id": "$c_nationkey", "name": {"$first": "$c_name"}}}])
+pipeline("group_literals", "SELECT r_regionkey AS _id, 2.5::DOUBLE AS total, 'x' AS word FROM region", "region", [{"$group": {"_id": "$r_regionkey", "total": {"$sum": 2.5}, "word": {"$first": "x"}}}])
+pipeline("unwind_group", "SELECT vec_id AS _id, count(*) AS n, round(sum(e)::DOUBLE, 3) AS total FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS e FROM embeddings) GROUP BY 1", "embeddings", [{"$unwind": "$embedding"}, {"$group": {"_id": "$vec_id", "n": {"$count": {}}, "total": {"$sum": "$embedding"}}}], after=lambda df: df.withColumn("total", F.round("total", 3)))
+pipeline("unwind_in_order", "SELECT vec_id, embedding[1]::FLOAT AS first FROM embeddings", "embeddings", [{"$unwind": "$embedding"}, {"$group": {"_id": "$vec_id", "first": {"$first": "$embedding"}}}], after=lambda df: df.withColumnRenamed("_id", "vec_id"))
+updated("update_pull_documents", "SELECT o_custkey AS _id, count(*) FILTER (o_totalprice <= 100000) AS n FROM orders WHERE o_custkey <= 200 GROUP BY 1", "orders", {}, {"$pull": {"items": {"p": {"$gt": 100000}}}}, lambda df: df.select("_id", F.size("items").cast("long").alias("n")), lambda db: db.collection("orders").df.where("o_custkey <= 200").groupBy(F.col("o_custkey").alias("_id")).agg(F.collect_list(F.struct(F.col("o_totalprice").alias("p"))).alias("items")))
+updated("update_current_date", "SELECT r_regionkey, true AS dated FROM region", "region", {}, {"$currentDate": {"at": True}}, lambda df: df.select("r_regionkey", F.col("at").isNotNull().alias("dated")))
+updated("update_in_order", "SELECT r_regionkey, (r_regionkey + 1) * 10 AS k FROM region", "region", {}, {"$set": {"k": 0}, "$inc": {"k": 10}, "$rename": {"k": "j"}}, lambda df: df.select("r_regionkey", ((F.col("r_regionkey") + 1) * F.col("j")).alias("k")))
+updated("update_unknown_operator", "SELECT r_regionkey, r_name FROM region", "region", {}, {"$bit": {"r_regionkey": 1}})
+
+
+def _self_lookup(df: DataFrame) -> DataFrame:
+    db = Database(df.sparkSession)
+    db.register("a", df)
+    db.register("b", df)
+    out = db.collection("a").aggregate([{"$lookup": {"from": "b", "localField": "status", "foreignField": "status", "as": "m"}}])
+    return out.select("_id", F.size("m").cast("long").alias("n"))
+
+
+@query("distinct_nested", "SELECT DISTINCT n_regionkey AS value FROM nation", "nation")
+def _(db: Database) -> DataFrame:
+    nested = db.collection("nation").aggregate([{"$replaceRoot": {"newRoot": {"key": "$n_regionkey"}}}]).select(F.struct("key").alias("d"))
+    return Collection(db.spark, "n", nested).distinct("d.key")
+
+
+@query("command_find", "SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 3 ORDER BY c_custkey LIMIT 20", "customer")
+def _(db: Database) -> DataFrame:
+    got = db.run_command({"find": "customer", "filter": {"c_nationkey": 3}, "sort": {"c_custkey": 1}, "limit": 20, "projection": {"_id": 0, "c_custkey": 1, "c_name": 1}, "batchSize": 7})["cursor"]
+    docs = got["firstBatch"]
+    while got["id"]:
+        got = db.run_command({"getMore": got["id"], "collection": "customer", "batchSize": 7})["cursor"]
+        docs += got["nextBatch"]
+    return db.spark.createDataFrame([(d["c_custkey"], d["c_name"]) for d in docs], "c_custkey long, c_name string")
+
+
+@query("command_distinct_and_count", "SELECT (SELECT count(DISTINCT c_mktsegment) FROM customer) AS segments, (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS negative", "customer")
+def _(db: Database) -> DataFrame:
+    values = db.run_command({"distinct": "customer", "key": "c_mktsegment"})["values"]
+    n = db.run_command({"count": "customer", "query": {"c_acctbal": {"$lt": 0}}})["n"]
+    return db.spark.createDataFrame([(len(values), n)], "segments long, negative long")
+
+
+@query("command_delete", "SELECT s_suppkey FROM supplier WHERE s_nationkey <> 5 AND s_suppkey <> (SELECT min(s_suppkey) FROM supplier WHERE s_nationkey = 6)", "supplier")
+def _(db: Database) -> DataFrame:
+    db.run_command({"delete": "supplier", "deletes": [{"q": {"s_nationkey": 5}, "limit": 0}, {"q": {"s_nationkey": 6}, "limit": 1}]})
+    return db.collection("supplier").df.select("s_suppkey")
+
+
+@query("unique_index", "SELECT true AS by_key, false AS by_region, count(*) AS left_over FROM nation", "nation")
+def _(db: Database) -> DataFrame:
+    reply = [db.run_command({"createIndexes": "nation", "indexes": [{"key": {k: 1}, "unique": True}]})["ok"] == 1.0 for k in ("n_nationkey", "n_regionkey")]
+    db.run_command({"insert": "nation", "documents": [{"n_nationkey": 3, "n_name": "again"}]})
+    return db.spark.createDataFrame([(*reply, db.collection("nation").count())], "by_key boolean, by_region boolean, left_over long")
+
+
+@query("catalog", "SELECT 'nation' AS name, 25::BIGINT AS n UNION ALL SELECT 'region', 5", "region", "nation")
+def _(db: Database) -> DataFrame:
+    db.run_command({"drop": "nowhere"})
+    names = [c["name"] for c in db.run_command({"listCollections": 1})["cursor"]["firstBatch"]]
+    return db.spark.createDataFrame([(n, db.run_command({"collStats": n})["count"]) for n in names], "name string, n long")
+
+
 # dynamic documents
 
 
