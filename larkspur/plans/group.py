@@ -46,10 +46,8 @@ def _value(df: DataFrame, op: str, arg) -> Column:
     if op == "$max":
         return F.max(c)
     order = order_struct(df)
-    if op == "$first":
-        return F.min_by(F.struct(c.alias("v")), order)["v"]
-    if op == "$last":
-        return F.max_by(F.struct(c.alias("v")), order)["v"]
+    if op in ("$first", "$last"):  # both keep nulls among the values
+        return (F.min_by if op == "$first" else F.max_by)(c, order)
     pushed = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), c.alias("v")))), lambda e: e["v"])
     return pushed if op == "$push" else F.array_distinct(pushed)
 

@@ -16,11 +16,16 @@ from .projection import HIDDEN, hidden
 
 def with_position(df: DataFrame, natural: list[str] | None) -> DataFrame:
     """The scan's order: by the columns in `natural`, else by partition and row."""
-    if natural:
-        return df.withColumns({f"{HIDDEN}{i}": F.col(c) for i, c in enumerate(natural)})
+    if natural:  # keys: in files every column is nullable, but theirs have no nulls
+        return df.withColumns({f"{HIDDEN}{i}": _not_null(df.schema[c]) for i, c in enumerate(natural)})
     return df.withColumn(f"{HIDDEN}0", F.monotonically_increasing_id())
 
 
+def _not_null(field: T.StructField) -> Column:
+    least = {"tinyint": -128, "smallint": -(2**15), "int": -(2**31), "bigint": -(2**63)}.get(field.dataType.simpleString())
+    return F.col(field.name) if least is None else F.coalesce(F.col(field.name), F.lit(least).cast(field.dataType))
+
+
 def descending(c: Column, dtype: T.DataType) -> Column | None:
     """A column whose ascending order is c's descending one, nulls last; None if there is none for the type."""
     if isinstance(dtype, T.IntegralType):
@@ -61,6 +66,8 @@ def sort_columns(df: DataFrame) -> list[Column]:
 def order_struct(df: DataFrame) -> Column | None:
     """A struct whose ascending order is the documents'; None if a key is a descending string among ascending ones."""
     out = [descending(F.col(c), df.schema[c].dataType) if c.endswith("d") else F.col(c) for c in hidden(df)]
+    if len(out) == 1 and not df.schema[hidden(df)[0]].nullable:
+        return out[0]  # a position by itself needs no struct, and aggregates by hash
     return None if any(c is None for c in out) else F.struct(*[c.alias(f"o{i}") for i, c in enumerate(out)])
 
 
