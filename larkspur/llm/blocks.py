@@ -7,18 +7,24 @@ still hold members of different components are searched, by the caller, for pair
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def star_pairs(rows: DataFrame) -> DataFrame:
-    """a, b: each member with the least id of its block, once. Minima are aggregated before the shuffle and joined back."""
+def star_pairs(rows: DataFrame, shared: int = 1) -> DataFrame:
+    """a, b: members with the least id of their block, where that is so in `shared` blocks or more. Minima are aggregated
+    before the shuffle and joined back."""
     least = rows.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("_max")).where(F.col("b") != F.col("_max"))
-    return rows.join(least.select(F.col("key").alias("_key"), "b"), F.col("key") == F.col("_key")).where(F.col("id") != F.col("b")).select(F.col("id").alias("a"), "b").distinct()
+    return rows.join(least.select(F.col("key").alias("_key"), "b"), F.col("key") == F.col("_key")).where(F.col("id") != F.col("b")).groupBy(F.col("id").alias("a"), "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= shared).select("a", "b")
 
 
 def open_blocks(rows: DataFrame, components: DataFrame, most: int) -> DataFrame:
-    """key, id, component, i, j: members of blocks with several components, one block for each distinct set of members.
+    """key, id, component, part, i, j: members of blocks of three or more with several components (the first round has compared the
+    members of smaller ones), one block for each distinct set of members.
 
     A block of more than `most` members is dealt to parts, and every two parts meet in a group (key, i, j); a
     group holds part i, and part j if it is another.
@@ -26,9 +32,50 @@ def open_blocks(rows: DataFrame, components: DataFrame, most: int) -> DataFrame:
     own = components.select(F.col("id").alias("_id"), F.col("component").alias("_c"))
     named = rows.join(own, rows.id == own["_id"], "left").select("key", "id", F.coalesce("_c", "id").alias("component"))
     sums = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
-    kept = sums.where(F.col("lo") != F.col("hi")).groupBy("n", "x", "y").agg(F.min("key").alias("_key"))
+    kept = sums.where((F.col("lo") != F.col("hi")) & (F.col("n") > 2)).groupBy("n", "x", "y").agg(F.min("key").alias("_key"))
     parts = F.ceil(F.col("n") / most).cast("int")
     part = F.pmod(F.xxhash64(F.lit(5), "id"), parts).cast("int")
     members = named.join(kept, named.key == kept["_key"]).withColumns({"parts": parts, "part": part})
     groups = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("part", k).alias("i"), F.greatest("part", k).alias("j")))
     return members.select("key", "id", "component", "part", F.explode(groups).alias("g")).select("key", "id", "component", "part", "g.i", "g.j")
+
+
+def search_blocks(members: DataFrame, search: Callable, schema: str) -> DataFrame:
+    """search over each group (key, i, j) of `open_blocks`, with what was joined to it; gives a and b of its pairs.
+
+    Groups are small and many, so a task walks its sorted rows and holds one group at a time.
+    """
+
+    def run(batches):
+        left: pa.Table | None = None
+        for b in batches:
+            rows = pa.Table.from_batches([b])
+            rows = pa.concat_tables([left, rows]) if left is not None else rows
+            ids = [rows.column(c).to_numpy() for c in ("key", "i", "j")]
+            new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
+            edges = [0, *new.tolist()]
+            yield from result([search(rows.slice(lo, hi - lo)) for lo, hi in zip(edges, new.tolist(), strict=False)])
+            left = rows.slice(edges[-1])
+        if left is not None:
+            yield from result([search(left)])
+
+    def result(found):
+        a, b = [x for pair in found for x in pair[0]], [x for pair in found for x in pair[1]]
+        kind = pa.int64() if "long" in schema else pa.binary()
+        if a:
+            yield pa.record_batch([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
+
+    return members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
+
+
+def pairs_to_test(comps: list, part: np.ndarray, i: int, j: int):
+    """(x, ys): places whose pairs cross components, each pair once. Pairs within the largest component are not looked at."""
+    names, number = np.unique(np.array(comps, dtype=object), return_inverse=True)
+    major = np.bincount(number).argmax()
+    small = number != major
+    for x in np.flatnonzero(small).tolist():
+        ys = number != number[x]
+        ys &= ~small | (np.arange(len(comps)) < x)
+        if i != j:
+            ys &= part != part[x]
+        yield x, np.flatnonzero(ys)

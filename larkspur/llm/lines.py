@@ -23,13 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import open_blocks, star_pairs
+from .blocks import open_blocks, pairs_to_test, search_blocks, star_pairs
 from .chunks import total_chars
 from .graph import components
-from .ngram_join import Classes, RTree, point
+from .ngram_join import Classes, point
 from .store import saved
 from .substring import Sketch, merge_sketches, pack_cells, repeated
-from .text import mix, run_hashes, signed
+from .text import mix, signed
 
 _U = np.uint64
 _LATE = np.iinfo(np.int64).max
@@ -37,7 +37,9 @@ _RNG = np.random.RandomState(77)
 _A = (_RNG.randint(0, 2**31, 512).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _RNG.randint(0, 2**31, 512).astype(np.uint32)
 #: Lines of fewer shingles than the second take minima under many functions, of the first or more the bins of one.
-LONG, SHORT = 160, 200
+LONG, SHORT = 64, 80
+#: Groups of more lines than this compare counts of shingles before shingles.
+MANY = 64
 
 
 def normal_lines(text: str | None) -> list[tuple[int, bytes]]:
@@ -53,14 +55,29 @@ def digest(line: bytes) -> bytes:
     return xxhash.xxh3_128_digest(line)
 
 
+def rolling(points: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every k values in a row, by doubling."""
+    base, out, have, h, n = 0xD1342543DE82EF95, None, 0, points, 1
+    while n <= k:
+        if k & n:  # what there is so far, then the next n
+            out = h if out is None else out[: len(out) - n] * _U(pow(base, n, 1 << 64)) + h[have : have + len(out) - n]
+            have += n
+        if 2 * n <= k:
+            h = h[:-n] * _U(pow(base, n, 1 << 64)) + h[n:]
+        n *= 2
+    return out
+
+
 def shingle_hashes(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all lines' shingles and where each line's begin; a shorter line is one shingle."""
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(_U)
     n = np.array([len(x) for x in lines], np.int64)
+    points = np.frombuffer(("".join(lines) + "\0" * k).encode("utf-32-le", "surrogatepass"), "<u4").astype(_U)
     own = np.maximum(n - (k - 1), 1)
-    first = np.cumsum(own) - own
-    begin = np.repeat(np.cumsum(n) - n - first, own) + np.arange(own.sum())
-    return run_hashes(mix(points + _U(1)), begin, begin + np.repeat(np.minimum(n, k), own), 0xD1342543DE82EF95), np.append(first, own.sum())
+    first, start = np.cumsum(own) - own, np.cumsum(n) - n
+    h = mix(rolling(points, k))[np.repeat(start - first, own) + np.arange(own.sum())]
+    for i in np.flatnonzero(n < k).tolist():
+        h[first[i]] = xxhash.xxh3_64_intdigest(lines[i].encode("utf-8", "surrogatepass"))
+    return h, np.append(first, own.sum())
 
 
 def band_keys(lines: list[str], k: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,19 +170,19 @@ def distinct_lines(docs: DataFrame, chunks: int, text_col: str, most: int = 8_00
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "chunk long, id binary, text string")
 
 
-def line_links(docs: DataFrame, *, k: int, bands: int, rows: int, threshold: tuple[int, int], chunk_chars: int, most: int, text_col: str) -> DataFrame:
-    """a, b: digests of lines that are alike, enough of them to join each component."""
+def line_components(docs: DataFrame, *, k: int, bands: int, rows: int, threshold: tuple[int, int], chunk_chars: int, most: int, text_col: str) -> DataFrame:
+    """id and component, the least digest in it, of the lines (by digest) that are alike to another."""
     num, den = threshold
     total = total_chars(docs.select(F.col(text_col).alias("text")))
-    chunks, shape = max(1, -(-total // chunk_chars)), Sketch(max(1, total * bands // 250), 2, 8)
+    chunks, shape = max(1, -(-total // chunk_chars)), Sketch(max(1, total * bands // 250), 1, 256)
     lines = distinct_lines(docs, chunks, text_col)
 
     def prepared(group):
         """The distinct lines of a chunk, and the line and key of each band."""
         own: dict = dict(zip(group.column("id").to_pylist(), group.column("text").to_pylist(), strict=True))
         ids, texts, at, keys = list(own), list(own.values()), [], []
-        for i in range(0, len(texts), 2000):
-            line, key = band_keys(texts[i : i + 2000], k, bands, rows)
+        for i in range(0, len(texts), 200):
+            line, key = band_keys(texts[i : i + 200], k, bands, rows)
             at.append(line + i)
             keys.append(key)
         return ids, texts, np.concatenate(at), np.concatenate(keys)
@@ -209,40 +226,49 @@ def line_links(docs: DataFrame, *, k: int, bands: int, rows: int, threshold: tup
     pairs = star_pairs(in_block).join(near, F.col("a") == F.col("_a")).join(far, F.col("b") == F.col("_b")).select("a", "b", "ta", "tb")
     links = saved(pairs.mapInArrow(compare, "a binary, b binary"), "found")
 
-    def search(key, group):
-        texts, part = group.column("text").to_pylist(), group.column("part").to_numpy()
-        ids, comps = group.column("id").to_pylist(), group.column("component").to_pylist()
-        h, first = shingle_hashes(texts, k)
-        hashed = [np.unique(h[first[x] : first[x + 1]]) for x in range(len(texts))]
-        points, sizes = np.array([point(s) for s in hashed]), np.array([len(s) for s in hashed])
-        i, j, a, b = key[1].as_py(), key[2].as_py(), [], []
-        inside = np.flatnonzero(part == j)
-        tree, classes, root = RTree(points[inside], sizes[inside]), Classes(num, den), {c: c for c in comps}
+    def search(group):
+        texts, part, ids, comps = (group.column(c).to_pylist() for c in ("text", "part", "id", "component"))
+        sets, sizes, points, a, b = {}, None, None, [], []
+        if len(texts) > MANY:
+            h, first = shingle_hashes(texts, k)
+            hashed = [np.unique(x) for x in np.split(h, first[1:-1])]
+            sizes, points = np.array([len(x) for x in hashed]), np.array([point(x, 64) for x in hashed])
+        root = {c: c for c in comps}
 
         def find(c):
             while root[c] != c:
                 root[c] = c = root[root[c]]
             return c
 
-        for x in np.flatnonzero(part == i).tolist():
-            own = shingles(texts[x], k)
-            for y in inside[tree.search(points[x], int(sizes[x]), classes)].tolist():
-                if (p := find(comps[x])) != (q := find(comps[y])) and alike(own, shingles(texts[y], k), num, den):
+        def own(x):
+            if x not in sets:
+                sets[x] = shingles(texts[x], k)
+            return sets[x]
+
+        for x, ys in pairs_to_test(comps, np.array(part), group.column("i")[0].as_py(), group.column("j")[0].as_py()):
+            if points is not None:
+                ys = ys[np.minimum(points[ys], points[x]).sum(1) >= Classes(num, den).need(sizes[x], sizes[ys])]
+            for y in ys.tolist():
+                if (p := find(comps[x])) != (q := find(comps[y])) and den * len(own(x)) >= num * len(own(y)) and den * len(own(y)) >= num * len(own(x)) and alike(own(x), own(y), num, den):
                     root[max(p, q)] = min(p, q)
                     a.append(ids[x])
                     b.append(ids[y])
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        return a, b
 
-    open_ = open_blocks(in_block, components(links), most).join(near, F.col("id") == F.col("_a")).withColumnRenamed("ta", "text")
-    return links.unionAll(saved(open_.groupBy("key", "i", "j").applyInArrow(search, "a binary, b binary"), "found"))
+    known = components(links)
+    open_ = open_blocks(in_block, known, most).join(near, F.col("id") == F.col("_a")).withColumnRenamed("ta", "text")
+    more = saved(search_blocks(open_, search, "a binary, b binary"), "found")
+    return components(links.unionAll(more)) if more.limit(1).count() else known
 
 
-def duplicate_lines(docs: DataFrame, *, k: int = 5, bands: int = 16, rows: int = 5, threshold: tuple[int, int] = (80, 100), chunk_chars: int = 8_000_000, most: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_lines(docs: DataFrame, *, k: int = 8, bands: int = 12, rows: int = 4, threshold: tuple[int, int] = (80, 100), chunk_chars: int = 8_000_000, most: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, n_lines (with a word) and removed (numbers of lines that go) of each document with lines; a null id is the largest long."""
-    links = line_links(docs, k=k, bands=bands, rows=rows, threshold=threshold, chunk_chars=chunk_chars, most=most, text_col=text_col)
-    of = components(links).select(F.col("id").alias("_id"), "component")
+    of = line_components(docs, k=k, bands=bands, rows=rows, threshold=threshold, chunk_chars=chunk_chars, most=most, text_col=text_col).select(F.col("id").alias("_id"), "component")
     where = F.struct("doc", "line")
-    each = saved(occurrences(docs, id_col, text_col).distinct(), "occurrences")
+    each = occurrences(docs, id_col, text_col)
+    if docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("__ls_n")).where("__ls_n > 1").limit(1).count():  # ids that repeat give their lines once
+        each = each.distinct()
+    each = saved(each, "occurrences")
     least = each.groupBy("id").agg(F.min(where).alias("first"))
     group = least.join(of, least.id == of["_id"], "left").select("id", F.coalesce("component", "id").alias("component"), "first")
     best = group.groupBy("component").agg(F.min("first").alias("kept")).withColumnRenamed("component", "_c")

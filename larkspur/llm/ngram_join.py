@@ -6,7 +6,8 @@ points' coordinates bound their overlap from above; an R-tree's node bounds it f
 A single tree cannot be spread over tasks, since in so many dimensions every large node's box meets every query.
 So groups also route documents to small blocks: sizes fall in classes of ratio `1 / threshold`, and two sets that link
 differ in at most k elements, k known for a class. With the elements hashed to more than k groups, some group is the same in both; its
-content is a block's key. Blocks lose no link (documents with many empty groups give the empty ones too).
+content is a block's key. With a few more groups linked sets share several keys. Blocks lose no link (documents with many empty
+groups give the empty ones too).
 
 1. Documents are dealt to chunks of bounded size. Each chunk sketches its keys (see `substring`: a merged count-min
    sketch finds those used in several places); documents with such a key give their set, point and keys.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import open_blocks, star_pairs
+from .blocks import open_blocks, pairs_to_test, search_blocks, star_pairs
 from .chunks import total_chars, with_chunks
 from .graph import components
 from .store import saved
@@ -35,9 +36,9 @@ from .text import Words, buffers, lower, mix, run_hashes, signed, slices
 _U = np.uint64
 _LATE = np.iinfo(np.int64).max
 #: Coordinates of a point.
-GROUPS = 64
-#: Groups beyond those that the pigeonhole needs, so that few documents have to give empty ones.
-SPARE = 2
+GROUPS = 256
+#: Linked sets have at least SHARED keys in common; groups beyond those that this needs, so that few documents have to give empty ones.
+SHARED, SPARE = 3, 4
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -83,7 +84,7 @@ def block_keys(s: np.ndarray, classes: Classes) -> np.ndarray:
     for scheme in (c, c - 1):
         if scheme < 0 or not (k := classes.differ(scheme)):
             continue  # sets that may not differ are equal, and equal sets are one
-        m = k + 1 + SPARE
+        m = k + SHARED + SPARE  # SHARED + SPARE of them at least are the same in two linked sets
         group = (place % _U(m)).astype(np.int64)
         order = np.argsort(group, kind="stable")
         cuts = np.searchsorted(group[order], np.arange(m))
@@ -92,13 +93,13 @@ def block_keys(s: np.ndarray, classes: Classes) -> np.ndarray:
         sums = np.add.reduceat(content[order], cuts[full])
         salt = _U(scheme) << _U(32)
         out.append(mix(sums ^ mix(full.astype(_U) + salt)) + size[full].astype(_U))
-        if m - len(full) >= m - k:
+        if m - len(full) > SPARE:
             out.append(mix(mix(np.flatnonzero(size == 0).astype(_U) + salt)))
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((mix(s) >> _U(58)).astype(np.int64), minlength=GROUPS).astype("<i4")
+def point(s: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    return np.bincount((mix(s) >> _U(40)).astype(np.int64) % groups, minlength=groups).astype("<i4")
 
 
 class RTree:
@@ -134,7 +135,7 @@ def jaccard_links(docs: DataFrame, *, width: int = 3, threshold: tuple[int, int]
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = total_chars(own)
     # a set of n has about n * (den - num) / num keys in each of two schemes: so many that few may be held repeated falsely
-    shape = Sketch(max(1, total * (threshold[1] - threshold[0]) // (3 * threshold[0])), 3, 16)
+    shape = Sketch(max(1, total * (threshold[1] - threshold[0]) // (3 * threshold[0])), 1, 4096)
     chunked = with_chunks(own, chunk_chars, "doc_id", "text", total)
     num, den = threshold
 
@@ -187,13 +188,17 @@ def jaccard_links(docs: DataFrame, *, width: int = 3, threshold: tuple[int, int]
     sets = with_keys.select("id", "s")
     in_block = reps.select(F.explode("keys").alias("key"), "id")
 
-    found = verify(star_pairs(in_block), reps, sets, threshold)
+    found = verify(star_pairs(in_block, SHARED), reps, sets, threshold)
     links = saved(found, "found")
     known = components(links)
     rest = search_open(in_block, known, reps, threshold, most)
     more = saved(verify(rest, reps, sets, threshold), "found")
-    copies = least.where(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    known = components(links.unionAll(more).unionAll(copies))
+    if more.limit(1).count():
+        known = components(links.unionAll(more))
+    of = known.select(F.col("id").alias("_rep"), "component")
+    known = least.join(of, F.col("rep") == F.col("_rep"), "left").select("id", F.coalesce("component", "rep").alias("component"))
+    if least.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count():  # ids with several sets join what these join
+        known = components(known.select(F.col("id").alias("a"), F.col("component").alias("b")))
     of = known.select(F.col("id").alias("_id"), "component")
     out = rows.join(of, rows.id == of["_id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("c"))
     return out.select("doc_id", "n_shingles", F.when(F.col("c") != _LATE, F.col("c")).alias("component_id"))
@@ -231,21 +236,16 @@ def search_open(in_block: DataFrame, known: DataFrame, reps: DataFrame, threshol
     """Pairs (a, b) of different components in one block that the bound of their points allows."""
     num, den = threshold
 
-    def search(key, group):
-        part = group.column("part").to_numpy()
-        i, j = (key[k].as_py() for k in (1, 2))
-        ids, comps, sizes = (group.column(c).to_numpy() for c in ("id", "component", "n"))
-        points = np.frombuffer(b"".join(group.column("p").to_pylist()), "<i4").reshape(-1, GROUPS)
-        inside = np.flatnonzero(part == j)
-        tree, classes, a, b = RTree(points[inside], sizes[inside], 16), Classes(num, den), [], []
-        for k in np.flatnonzero(part == i).tolist():
-            hit = inside[tree.search(points[k], int(sizes[k]), classes)]
-            hit = hit[(comps[hit] != comps[k]) & ((ids[hit] < ids[k]) | (i != j))]
-            a.append(np.full(len(hit), ids[k]))
-            b.append(ids[hit])
-        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"a": join(a), "b": join(b)})
+    def search(group):
+        part, comps, ids, sizes = (group.column(c).to_numpy() for c in ("part", "component", "id", "n"))
+        points, classes, a, b = np.frombuffer(b"".join(group.column("p").to_pylist()), "<i4").reshape(-1, GROUPS), Classes(num, den), [], []
+        tree = RTree(points, sizes)
+        for x, ys in pairs_to_test(comps.tolist(), part, group.column("i")[0].as_py(), group.column("j")[0].as_py()):
+            hit = np.intersect1d(tree.search(points[x], int(sizes[x]), classes), ys, assume_unique=True)
+            a += [int(ids[x])] * len(hit)
+            b += ids[hit].tolist()
+        return a, b
 
     points = reps.select(F.col("id").alias("_id"), "n", "p")
     members = open_blocks(in_block, known, most).join(points, F.col("id") == F.col("_id"))
-    return members.groupBy("key", "i", "j").applyInArrow(search, "a long, b long").distinct()
+    return search_blocks(members, search, "a long, b long").distinct()

@@ -34,8 +34,8 @@ _U = np.uint64
 _LATE = np.iinfo(np.int64).max
 _TURN = [0x9FB21C651E98DF25, 0xD6E8FEB86659FD93]
 _SEED = [0x8CB92BA72F3D8DD7, 0x2545F4914F6CDD1D]
-#: Cells in a segment of a sketch's row, at most.
-SEGMENT_CELLS = 1 << 26
+#: Hashes that fall in a segment of a sketch's row, about; and cells of a segment that are counted in an array, else by sorting.
+SEGMENT_HASHES, DENSE_CELLS = 1 << 22, 1 << 27
 
 
 def pack_cells(cells: np.ndarray, several: np.ndarray, universe: int) -> bytes:
@@ -82,18 +82,18 @@ def windows(texts: pa.Array, width: int, kinds: tuple[int, ...]) -> tuple[np.nda
 class Sketch:
     """The shape of the merged sketch: `depth` rows of `cells`, in segments."""
 
-    def __init__(self, n_windows: int, depth: int, spread: int):
+    def __init__(self, n_hashes: int, depth: int, spread: int):
         self.depth = depth
-        self.segments = max(1, -(-n_windows * spread // SEGMENT_CELLS), min(64, n_windows * spread >> 20))
-        self.size = max(1024, -(-n_windows * spread // self.segments))
+        self.segments = max(1, -(-n_hashes // SEGMENT_HASHES), min(64, n_hashes >> 17))
+        self.size = max(1024, -(-n_hashes * spread // self.segments))
 
     def rows(self, h: np.ndarray):
-        """For each row and segment: its number, which windows fall in it, their cells."""
+        """For each row and segment: its number, which hashes fall in it, their cells."""
         for row in range(self.depth):
             x = mix(h + _U(_SEED[row % 2] * (2 * row + 1) & (2**64 - 1)))
             segment = ((x >> _U(32)) * _U(self.segments)) >> _U(32)
-            cell = (((x & _U(0xFFFFFFFF)) * _U(self.size)) >> _U(32)).astype(np.int64)
-            order = np.argsort(segment, kind="stable")
+            cell = (((x * _U(_TURN[0])) >> _U(11)) % _U(self.size)).astype(np.int64)
+            order = np.argsort(segment.astype(np.uint32), kind="stable")
             cuts = np.searchsorted(segment[order], np.arange(self.segments + 1))
             for s in range(self.segments):
                 at = order[cuts[s] : cuts[s + 1]]
@@ -111,15 +111,19 @@ class Sketch:
 
 def merge_sketches(group: pa.Table, shape: Sketch) -> pa.Table:
     """One segment's sketches of all chunks: for each chunk, which of its cells are used twice or more in all."""
-    count = np.zeros(shape.size, np.uint8)
     sketches = group.column("cells")
-    for data in sketches:
-        cells, several = unpack_cells(data.as_py(), shape.size)
-        count[cells] = np.minimum(count[cells] + 1 + several, 2)
-    marks = []
-    for data in sketches:
-        cells, _ = unpack_cells(data.as_py(), shape.size)
-        marks.append(np.packbits(count[cells] > 1).tobytes())
+    if shape.size <= DENSE_CELLS:
+        count = np.zeros(shape.size, np.uint8)
+        for data in sketches:
+            cells, several = unpack_cells(data.as_py(), shape.size)
+            count[cells] = np.minimum(count[cells] + 1 + several, 2)
+        twice = lambda cells: count[cells] > 1
+    else:
+        parts = [unpack_cells(data.as_py(), shape.size) for data in sketches]
+        used = np.sort(np.concatenate([np.concatenate([cells, cells[several]]) for cells, several in parts]))
+        again = np.append(np.unique(used[1:][used[1:] == used[:-1]]), shape.size)
+        twice = lambda cells: again[np.searchsorted(again, cells)] == cells
+    marks = [np.packbits(twice(unpack_cells(data.as_py(), shape.size)[0])).tobytes() for data in sketches]
     return pa.table({"segment": group.column("segment"), "chunk": group.column("chunk"), "marks": pa.array(marks, pa.binary())})
 
 

@@ -93,7 +93,7 @@ def test_keys_share_a_block_whenever_sets_link():
         overlap = len(np.intersect1d(s, t))
         if 100 * overlap >= 90 * (len(s) + len(t) - overlap) and not np.array_equal(s, t):
             linked += 1
-            assert set(J.block_keys(s, classes).tolist()) & set(J.block_keys(t, classes).tolist())
+            assert len(set(J.block_keys(s, classes).tolist()) & set(J.block_keys(t, classes).tolist())) >= J.SHARED
             assert overlap >= classes.need(len(s), len(t))
             assert np.minimum(J.point(s), J.point(t)).sum() >= overlap
     assert linked > 300
@@ -111,6 +111,13 @@ def test_tree_finds_what_a_scan_finds():
         assert sorted(tree.search(points[k], int(n), classes).tolist()) == np.flatnonzero(ok).tolist()
 
 
+@pytest.mark.parametrize("threshold", [(80, 100), (2, 3), (1, 1)])
+def test_other_thresholds(spark, threshold):
+    docs = list(enumerate(family(9, 90)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, J.jaccard_links(df, threshold=threshold).collect())) == brute(docs, *threshold)
+
+
 def test_edges(spark):
     docs = [(5, "a b c d"), (5, "A  b\tc d"), (7, "a b c d"), (None, "a b c d"), (8, None), (9, ""), (9, " \n"), (10, "x"), (11, "X"), (12, "é É"), (13, "long " * 20_000), (14, "long " * 5)]
     df = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, n int, id int")
