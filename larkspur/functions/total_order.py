@@ -31,7 +31,7 @@ def encode(value) -> bytes:
     if k == Kind.BOOL:
         return out + bytes([value])
     if k == Kind.ARRAY:
-        return out + b"".join(map(encode, value)) + b"\xff" * 0 + b"\0"
+        return out + b"".join(map(encode, value)) + b"\0"
     if k == Kind.DOCUMENT:
         return out + struct.pack(">I", len(value)) + b"".join(encode(x) + encode(v) for x, v in value.items())
     return out

@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 
 from ..functions.matcher import matches
 from ..functions.paths import column, field, resolve
-from ..functions.predicates import constant
 from ..functions.values import ObjectId, literal
 from ..plans import pipeline as P
 from ..plans.filters import compile_filter
@@ -355,5 +354,3 @@ def _cast(v, dtype: T.DataType):
         return tuple(_cast(v.get(f.name), f.dataType) for f in dtype.fields)
     return str(v) if isinstance(v, str) else v
 
-
-__all__ = ["Collection", "DuplicateKey", "Index", "UpdateResult", "constant", "index_name"]

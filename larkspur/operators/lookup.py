@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import column, kind_of, resolve
-from ..functions.values import Kind
-from ..plans.order import with_position
+from ..plans.order import add_level, with_position
 from ..plans.projection import hidden, schema_of, visible
 
 
@@ -64,8 +63,6 @@ def flat_lookup(left: DataFrame, foreign, spec: dict, preserve: bool) -> DataFra
     out = left.withColumn("__local", a).join(matched, F.col("__local").eqNullSafe(F.col("__key")), "left" if preserve else "inner")
     out = out.withColumn(name, F.col("__item"))
     if place:
-        from ..plans.order import add_level
-
         out = add_level(out, F.col("__place")).drop("__place")
     return out.drop("__local", "__key", "__item")
 
@@ -80,5 +77,3 @@ def semi_lookup(left: DataFrame, foreign, spec: dict, anti: bool) -> DataFrame:
     out = left.withColumn("__local", a).join(keys, F.col("__local").eqNullSafe(F.col("__key")), "left_anti" if anti else "left_semi").drop("__local")
     return out.withColumn(name, F.array().cast(T.ArrayType(_documents_type(foreign.df)))) if anti else out.drop(name)
 
-
-__all__ = ["Kind", "flat_lookup", "lookup", "semi_lookup"]

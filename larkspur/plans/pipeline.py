@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.paths import column, kind_of, resolve, set_path
-from ..functions.values import Kind, is_number, literal
+from ..functions.paths import column, resolve, set_path
+from ..functions.values import is_number, literal
 from ..operators.lookup import flat_lookup, lookup, semi_lookup
 from .filters import compile_filter
 from .group import group, needs_order
 from .order import add_level, push_sort, sort_columns, with_position
-from .projection import HIDDEN, add_fields, hidden, is_inclusion, project, replace_root, schema_of, unset, visible
+from .projection import add_fields, hidden, is_inclusion, project, replace_root, schema_of, unset, visible
 
 #: What a caller may register: a stage takes the frame and its argument.
 Stage = Callable[["Frame", object], "Frame"]
@@ -253,5 +253,3 @@ def find(source: Source, filter_: dict | None = None, projection: dict | None =
     stages += [{"$project": projection}] if projection else []
     return aggregate(source, stages)
 
-
-__all__ = ["HIDDEN", "STAGES", "STATELESS", "Frame", "Source", "aggregate", "find", "parse", "run", "Kind", "kind_of"]

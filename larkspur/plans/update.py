@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.paths import Ref, column, drop_path, field, kind_of, resolve, set_path
+from ..functions.paths import Ref, column, field, kind_of, resolve, set_path
 from ..functions.predicates import constant, equals, ordered
 from ..functions.values import Kind, is_number, literal
 from .filters import _is, compile_filter
@@ -224,5 +224,3 @@ def _put(doc: dict, path: list[str], x) -> None:
         doc = doc[part]
     doc[path[-1]] = x
 
-
-__all__ = ["OPERATORS", "Updater", "apply_update", "drop_path", "upsert_document"]

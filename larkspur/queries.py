@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from .operators.collection import Collection
 from .operators.database import Database
 from .plans.filters import compile_filter
-from .plans.order import with_position
-from .plans.projection import hidden, visible
 from .plans.update import apply_update
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -410,5 +408,3 @@ FLAGSHIP = [
     {"$limit": 25},
 ]
 pipeline("flagship", "SELECT c_custkey AS _id, round(sum(l_extendedprice), 2) AS revenue, count(*) AS lines, max(o_totalprice) AS dearest FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1 ORDER BY lines DESC, _id LIMIT 25", "customer", FLAGSHIP, "orders", "lineitem", after=lambda df: df.withColumn("revenue", F.round("revenue", 2)))
-
-__all__ = ["FLAGSHIP", "QUERIES", "SQL", "database", "hidden", "visible", "with_position"]
