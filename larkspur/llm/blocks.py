@@ -15,24 +15,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def star_pairs(rows: DataFrame, shared: int = 1) -> DataFrame:
-    """a, b: members with the least id of their block, where that is so in `shared` blocks or more. Minima are aggregated
-    before the shuffle and joined back."""
+def _with_least(rows: DataFrame) -> DataFrame:
+    """key, id and b, the block's least id, of the other members. Minima are aggregated before the shuffle and joined back."""
     least = rows.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("_max")).where(F.col("b") != F.col("_max"))
-    return rows.join(least.select(F.col("key").alias("_key"), "b"), F.col("key") == F.col("_key")).where(F.col("id") != F.col("b")).groupBy(F.col("id").alias("a"), "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= shared).select("a", "b")
+    return rows.join(least.select(F.col("key").alias("_key"), "b"), F.col("key") == F.col("_key")).where(F.col("id") != F.col("b")).select("key", "id", "b")
+
+
+def star_pairs(rows: DataFrame, shared: int = 1) -> DataFrame:
+    """a, b: members with the least id of their block, where that is so in `shared` blocks or more."""
+    pairs = _with_least(rows).groupBy(F.col("id").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.where(F.col("n") >= shared).select("a", "b")
 
 
 def open_blocks(rows: DataFrame, components: DataFrame, most: int) -> DataFrame:
-    """key, id, component, part, i, j: members of blocks of three or more with several components (the first round has compared the
-    members of smaller ones), one block for each distinct set of members.
+    """key, id, component, part, i, j: members of blocks, without the least that the first round has compared with them all, where
+    these are of several components; one block for each distinct set of them.
 
     A block of more than `most` members is dealt to parts, and every two parts meet in a group (key, i, j); a
     group holds part i, and part j if it is another.
     """
     own = components.select(F.col("id").alias("_id"), F.col("component").alias("_c"))
-    named = rows.join(own, rows.id == own["_id"], "left").select("key", "id", F.coalesce("_c", "id").alias("component"))
-    sums = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
-    kept = sums.where((F.col("lo") != F.col("hi")) & (F.col("n") > 2)).groupBy("n", "x", "y").agg(F.min("key").alias("_key"))
+    others = _with_least(rows).select("key", "id")
+    named = others.join(own, others.id == own["_id"], "left").select("key", "id", F.coalesce("_c", "id").alias("component"))
+    hashes = F.xxhash64("component")
+    sums = named.groupBy("key").agg(F.min(hashes).alias("lo"), F.max(hashes).alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
+    kept = sums.where(F.col("lo") != F.col("hi")).groupBy("n", "x", "y").agg(F.min("key").alias("_key"))
     parts = F.ceil(F.col("n") / most).cast("int")
     part = F.pmod(F.xxhash64(F.lit(5), "id"), parts).cast("int")
     members = named.join(kept, named.key == kept["_key"]).withColumns({"parts": parts, "part": part})

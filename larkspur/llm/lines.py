@@ -46,8 +46,10 @@ def normal_lines(text: str | None) -> list[tuple[int, bytes]]:
     """(number, normalised line) of the lines that have a word."""
     out = []
     for i, line in enumerate((text or "").encode().lower().split(b"\n")):
-        if words := line.split():
-            out.append((i, b" ".join(words)))
+        if (bare := line.strip()) and (b"  " in bare or b"\t" in bare or b"\r" in bare or b"\x0b" in bare or b"\x0c" in bare):
+            bare = b" ".join(bare.split())
+        if bare:
+            out.append((i, bare))
     return out
 
 
@@ -143,49 +145,62 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LATE)).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc long, line int, id binary")
 
 
-def distinct_lines(docs: DataFrame, chunks: int, text_col: str, most: int = 8_000_000) -> DataFrame:
-    """chunk, id, text of the lines; a task gives each of its lines once in about `most` characters."""
+def distinct_lines(docs: DataFrame, chunks: int, id_col: str, text_col: str, most: int = 8_000_000) -> DataFrame:
+    """chunk, id, text, doc, line, n of the lines; a task gives each of its lines once in about `most` characters, with the least
+    (doc, line) that has it and how many have."""
 
     def run(batches):
-        seen: dict = {}
+        seen: dict = {}  # digest: [text, doc, line, n]
         held = 0
 
         def table():
-            ids = list(seen)
+            ids, rows = list(seen), list(seen.values())
             numbers = [int.from_bytes(i[:8], "little") % chunks for i in ids]
-            return pa.record_batch([pa.array(numbers, pa.int64()), pa.array(ids, pa.binary()), pa.array(list(seen.values()), pa.binary()).cast(pa.string())], names=["chunk", "id", "text"])
+            column = lambda k, t: pa.array([r[k] for r in rows], t)
+            return pa.record_batch([pa.array(numbers, pa.int64()), pa.array(ids, pa.binary()), column(0, pa.binary()).cast(pa.string()), column(1, pa.int64()), column(2, pa.int32()), column(3, pa.int64())], names=["chunk", "id", "text", "doc", "line", "n"])
 
         for b in batches:
-            for t in b.column(0):
-                for _, x in normal_lines(t.as_py()):
-                    if (i := digest(x)) not in seen:
-                        seen[i] = x
+            for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                for i, x in normal_lines(t.as_py()):
+                    if (have := seen.get(h := digest(x))) is None:
+                        seen[h] = [x, d, i, 1]
                         held += len(x)
+                    else:
+                        have[3] += 1
+                        if (d, i) < (have[1], have[2]):
+                            have[1], have[2] = d, i
                 if held > most:
                     yield table()
                     seen.clear()
                     held = 0
         yield table()
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "chunk long, id binary, text string")
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LATE)).alias("doc"), F.col(text_col).alias("text"))
+    return own.mapInArrow(run, "chunk long, id binary, text string, doc long, line int, n long")
 
 
-def line_components(docs: DataFrame, *, k: int, bands: int, rows: int, threshold: tuple[int, int], chunk_chars: int, most: int, text_col: str) -> DataFrame:
-    """id and component, the least digest in it, of the lines (by digest) that are alike to another."""
+def line_components(docs: DataFrame, *, k: int, bands: int, rows: int, threshold: tuple[int, int], chunk_chars: int, most: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Two tables: id, doc, line (the first that has it) and n of the lines (by digest) that are there twice or may be alike to
+    another; and id and component, the least digest in it, of those that are alike to another but for the least."""
     num, den = threshold
     total = total_chars(docs.select(F.col(text_col).alias("text")))
     chunks, shape = max(1, -(-total // chunk_chars)), Sketch(max(1, total * bands // 250), 1, 256)
-    lines = distinct_lines(docs, chunks, text_col)
+    lines = distinct_lines(docs, chunks, id_col, text_col)
 
     def prepared(group):
-        """The distinct lines of a chunk, and the line and key of each band."""
-        own: dict = dict(zip(group.column("id").to_pylist(), group.column("text").to_pylist(), strict=True))
-        ids, texts, at, keys = list(own), list(own.values()), [], []
+        """The distinct lines of a chunk with their first (doc, line) and number, and the line and key of each band."""
+        own: dict = {}
+        for i, t, d, x, n in zip(*(group.column(c).to_pylist() for c in ("id", "text", "doc", "line", "n")), strict=True):
+            if (have := own.get(i)) is None:
+                own[i] = [t, (d, x), n]
+            else:
+                have[1], have[2] = min(have[1], (d, x)), have[2] + n
+        texts, at, keys = [r[0] for r in own.values()], [], []
         for i in range(0, len(texts), 200):
             line, key = band_keys(texts[i : i + 200], k, bands, rows)
             at.append(line + i)
             keys.append(key)
-        return ids, texts, np.concatenate(at), np.concatenate(keys)
+        return own, texts, np.concatenate(at), np.concatenate(keys)
 
     def sketch(key, group):
         _, _, line, keys = prepared(group)
@@ -196,19 +211,27 @@ def line_components(docs: DataFrame, *, k: int, bands: int, rows: int, threshold
         return merge_sketches(group, shape)
 
     def give(key, group, marks):
-        if not group.num_rows:
-            return pa.table({"id": pa.array([], pa.binary()), "text": pa.array([], pa.string()), "keys": pa.array([], pa.list_(pa.int64()))})
-        ids, texts, line, keys = prepared(group)
-        twice = repeated(shape, keys, line, marks)
-        line, keys = line[twice], signed(keys[twice])
-        order = np.argsort(line, kind="stable")
-        line, keys = line[order], keys[order]
-        which, first = np.unique(line, return_index=True)
-        return pa.table({"id": pa.array([ids[i] for i in which], pa.binary()), "text": pa.array([texts[i] for i in which], pa.string()), "keys": pa.array(np.split(keys, first[1:]) if len(which) else [], pa.list_(pa.int64()))})
+        out = []
+        if group.num_rows:
+            own, _, line, keys = prepared(group)
+            twice = repeated(shape, keys, line, marks)
+            line, keys = line[twice], signed(keys[twice])
+            order = np.argsort(line, kind="stable")
+            cuts = np.searchsorted(line[order], np.arange(len(own) + 1)).tolist()
+            keys = keys[order]
+            for x, (i, (text, (doc, number), n)) in enumerate(own.items()):
+                shared = keys[cuts[x] : cuts[x + 1]]
+                if len(shared):
+                    out.append((i, text, shared, doc, number, n))
+                elif n > 1:
+                    out.append((i, None, None, doc, number, n))
+        column = lambda c, t: pa.array([r[c] for r in out], t)
+        return pa.table({"id": column(0, pa.binary()), "text": column(1, pa.string()), "keys": column(2, pa.list_(pa.int64())), "doc": column(3, pa.int64()), "line": column(4, pa.int32()), "n": column(5, pa.int64())})
 
     sketches = lines.groupBy("chunk").applyInArrow(sketch, "segment long, chunk long, cells binary")
     marks = sketches.groupBy("segment").applyInArrow(merge, "segment long, chunk long, marks binary")
-    likely = saved(lines.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(give, "id binary, text string, keys array<long>"), "lines")
+    likely = saved(lines.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(give, "id binary, text string, keys array<long>, doc long, line int, n long"), "lines")
+    firsts, likely = likely.select("id", "doc", "line", "n"), likely.where(F.col("keys").isNotNull()).select("id", "text", "keys")
     in_block = likely.select(F.explode("keys").alias("key"), "id")
 
     def compare(batches):
@@ -233,7 +256,8 @@ def line_components(docs: DataFrame, *, k: int, bands: int, rows: int, threshold
             h, first = shingle_hashes(texts, k)
             hashed = [np.unique(x) for x in np.split(h, first[1:-1])]
             sizes, points = np.array([len(x) for x in hashed]), np.array([point(x, 64) for x in hashed])
-        root = {c: c for c in comps}
+        root, shared = {c: c for c in comps}, [set(x) for x in group.column("keys").to_pylist()]
+        block = group.column("key")[0].as_py()
 
         def find(c):
             while root[c] != c:
@@ -249,6 +273,8 @@ def line_components(docs: DataFrame, *, k: int, bands: int, rows: int, threshold
             if points is not None:
                 ys = ys[np.minimum(points[ys], points[x]).sum(1) >= Classes(num, den).need(sizes[x], sizes[ys])]
             for y in ys.tolist():
+                if min(shared[x] & shared[y]) != block:  # they meet in another block too, and are compared there
+                    continue
                 if (p := find(comps[x])) != (q := find(comps[y])) and den * len(own(x)) >= num * len(own(y)) and den * len(own(y)) >= num * len(own(x)) and alike(own(x), own(y), num, den):
                     root[max(p, q)] = min(p, q)
                     a.append(ids[x])
@@ -256,25 +282,29 @@ def line_components(docs: DataFrame, *, k: int, bands: int, rows: int, threshold
         return a, b
 
     known = components(links)
-    open_ = open_blocks(in_block, known, most).join(near, F.col("id") == F.col("_a")).withColumnRenamed("ta", "text")
+    open_ = open_blocks(in_block, known, most).join(likely.select(F.col("id").alias("_a"), "text", "keys"), F.col("id") == F.col("_a"))
     more = saved(search_blocks(open_, search, "a binary, b binary"), "found")
-    return components(links.unionAll(more)) if more.limit(1).count() else known
+    return firsts, components(links.unionAll(more)) if more.limit(1).count() else known
 
 
 def duplicate_lines(docs: DataFrame, *, k: int = 8, bands: int = 12, rows: int = 4, threshold: tuple[int, int] = (80, 100), chunk_chars: int = 8_000_000, most: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, n_lines (with a word) and removed (numbers of lines that go) of each document with lines; a null id is the largest long."""
-    of = line_components(docs, k=k, bands=bands, rows=rows, threshold=threshold, chunk_chars=chunk_chars, most=most, text_col=text_col).select(F.col("id").alias("_id"), "component")
-    where = F.struct("doc", "line")
+    firsts, of = line_components(docs, k=k, bands=bands, rows=rows, threshold=threshold, chunk_chars=chunk_chars, most=most, id_col=id_col, text_col=text_col)
+    of = of.unionAll(of.select("component", "component").distinct())  # and the least of each
+    of = of.select(F.col("id").alias("_id"), "component")
+    # (doc, line) as one number that aggregates by hash
+    place = (F.col("doc").cast("decimal(38,0)") * F.lit(2**31).cast("decimal(11,0)") + F.col("line")).cast("decimal(38,0)")
+    told = firsts.join(of, firsts.id == of["_id"], "left").where(F.col("component").isNotNull() | (F.col("n") > 1)).select("id", F.coalesce("component", "id").alias("component"), place.alias("at"))
+    best = told.groupBy("component").agg(F.min("at").alias("kept")).withColumnRenamed("component", "_c")
+    stays = told.join(best, told.component == best["_c"]).select(F.col("id").alias("_id"), "kept")
     each = occurrences(docs, id_col, text_col)
     if docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("__ls_n")).where("__ls_n > 1").limit(1).count():  # ids that repeat give their lines once
         each = each.distinct()
     each = saved(each, "occurrences")
-    least = each.groupBy("id").agg(F.min(where).alias("first"))
-    group = least.join(of, least.id == of["_id"], "left").select("id", F.coalesce("component", "id").alias("component"), "first")
-    best = group.groupBy("component").agg(F.min("first").alias("kept")).withColumnRenamed("component", "_c")
-    stays = group.join(best, group.component == best["_c"]).select(F.col("id").alias("_id"), "kept")
-    told = each.join(stays, each.id == stays["_id"]).select("doc", "line", (where != F.col("kept")).alias("gone"))
-    return told.groupBy("doc").agg(F.count(F.lit(1)).alias("n_lines"), F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("line")))).alias("removed"))
+    gone = each.join(stays, each.id == stays["_id"]).where(place != F.col("kept"))  # lines that are alone stay
+    removed = gone.groupBy(F.col("doc").alias("_doc")).agg(F.sort_array(F.collect_list("line")).alias("removed"))
+    counts = each.groupBy("doc").agg(F.count(F.lit(1)).alias("n_lines"))
+    return counts.join(removed, counts.doc == removed["_doc"], "left").select("doc", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
