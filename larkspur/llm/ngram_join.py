@@ -35,8 +35,10 @@ from .text import Words, buffers, lower, mix, run_hashes, signed, slices
 
 _U = np.uint64
 _LATE = np.iinfo(np.int64).max
-#: Coordinates of a point.
-GROUPS = 256
+#: Coordinates of a point, at least, and elements to a coordinate of larger sets: with fewer, unlike large sets have like counts.
+GROUPS, FILL = 256, 8
+#: Ids of pairs (8 bytes each) that are broadcast at most; beyond, all sets are shuffled.
+BROADCAST_IDS = 200_000
 #: Linked sets have at least SHARED keys in common; groups beyond those that this needs, so that few documents have to give empty ones.
 SHARED, SPARE = 3, 4
 
@@ -98,10 +100,22 @@ def block_keys(s: np.ndarray, classes: Classes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
-def point(s: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+def point(s: np.ndarray, groups: int | None = None) -> np.ndarray:
+    """Counts of a set's elements by group; the number of groups is a power of two that follows the size, unless it is given."""
+    groups = groups or max(GROUPS, 1 << max(0, len(s) // FILL - 1).bit_length())
     return np.bincount((mix(s) >> _U(40)).astype(np.int64) % groups, minlength=groups).astype("<i4")
 
 
+def folded(p: np.ndarray, groups: int) -> np.ndarray:
+    return p.reshape(-1, groups).sum(0)
+
+
+def overlap_bound(p: np.ndarray, q: np.ndarray) -> int:
+    """The summed minima of two points, on as many coordinates as both have."""
+    groups = min(len(p), len(q))
+    return int(np.minimum(folded(p, groups), folded(q, groups)).sum())
+
+
 class RTree:
     """A packed R-tree over count points: nodes hold the upper corner and the range of sizes of `fan` children."""
 
@@ -135,7 +149,7 @@ def jaccard_links(docs: DataFrame, *, width: int = 3, threshold: tuple[int, int]
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = total_chars(own)
     # a set of n has about n * (den - num) / num keys in each of two schemes: so many that few may be held repeated falsely
-    shape = Sketch(max(1, total * (threshold[1] - threshold[0]) // (3 * threshold[0])), 1, 4096)
+    shape = Sketch(max(1, total * (threshold[1] - threshold[0]) // (3 * threshold[0])), 1, 65_536)
     chunked = with_chunks(own, chunk_chars, "doc_id", "text", total)
     num, den = threshold
 
@@ -170,7 +184,7 @@ def jaccard_links(docs: DataFrame, *, width: int = 3, threshold: tuple[int, int]
         cuts = np.searchsorted(row, np.array([*firsts, n]))
         for x, i in enumerate(firsts):
             mine = keys[cuts[x] : cuts[x + 1]][twice[cuts[x] : cuts[x + 1]]]
-            if len(mine):
+            if len(mine) >= SHARED:
                 s[i], p[i], k[i] = sets[i].astype("<u8").tobytes(), point(sets[i]).tobytes(), signed(mine)
         as_long = lambda j: pa.array(np.array([d[j] for d in digest], _U).view(np.int64))
         return pa.table({"doc_id": group.column("doc_id"), "n": pa.array([len(x) for x in sets], pa.int64()), "d1": as_long(0), "d2": as_long(1), "s": pa.array(s, pa.binary()), "p": pa.array(p, pa.binary()), "keys": pa.array(k, pa.list_(pa.int64()))})
@@ -211,9 +225,9 @@ def verify(pairs: DataFrame, reps: DataFrame, sets: DataFrame, threshold: tuple[
     def bound(batches):
         classes = Classes(num, den)
         for b in batches:
-            n, m = b.column(2).to_numpy(), b.column(4).to_numpy()
-            p, q = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<i4").reshape(-1, GROUPS) for c in (3, 5))
-            yield b.select([0, 1]).filter(pa.array(np.minimum(p, q).sum(1) >= classes.need(n, m)))
+            need = classes.need(b.column(2).to_numpy(), b.column(4).to_numpy()).tolist()
+            keep = [overlap_bound(np.frombuffer(p.as_buffer(), "<i4"), np.frombuffer(q.as_buffer(), "<i4")) >= k for p, q, k in zip(b.column(3), b.column(5), need, strict=True)]
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     def compare(batches):
         classes = Classes(num, den)
@@ -227,7 +241,10 @@ def verify(pairs: DataFrame, reps: DataFrame, sets: DataFrame, threshold: tuple[
     near = reps.select(F.col("id").alias("_a"), F.col("n").alias("na"), F.col("p").alias("pa"))
     far = reps.select(F.col("id").alias("_b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
     both = pairs.join(near, F.col("a") == F.col("_a")).join(far, F.col("b") == F.col("_b")).select("a", "b", "na", "pa", "nb", "pb")
-    likely = both.mapInArrow(bound, "a long, b long")
+    likely = saved(both.mapInArrow(bound, "a long, b long"), "likely")
+    ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    if ids.count() <= BROADCAST_IDS:  # then only the sets of these are shuffled
+        sets = sets.join(F.broadcast(ids), "id", "left_semi")
     near, far = sets.select(F.col("id").alias("_a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("_b"), F.col("s").alias("sb"))
     return likely.join(near, F.col("a") == F.col("_a")).join(far, F.col("b") == F.col("_b")).select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
@@ -238,10 +255,12 @@ def search_open(in_block: DataFrame, known: DataFrame, reps: DataFrame, threshol
 
     def search(group):
         part, comps, ids, sizes = (group.column(c).to_numpy() for c in ("part", "component", "id", "n"))
-        points, classes, a, b = np.frombuffer(b"".join(group.column("p").to_pylist()), "<i4").reshape(-1, GROUPS), Classes(num, den), [], []
+        whole, classes, a, b = [np.frombuffer(p.as_buffer(), "<i4") for p in group.column("p")], Classes(num, den), [], []
+        points = np.array([folded(p, GROUPS) for p in whole])
         tree = RTree(points, sizes)
         for x, ys in pairs_to_test(comps.tolist(), part, group.column("i")[0].as_py(), group.column("j")[0].as_py()):
             hit = np.intersect1d(tree.search(points[x], int(sizes[x]), classes), ys, assume_unique=True)
+            hit = np.array([y for y in hit.tolist() if overlap_bound(whole[x], whole[y]) >= classes.need(int(sizes[x]), int(sizes[y]))], np.int64)
             a += [int(ids[x])] * len(hit)
             b += ids[hit].tolist()
         return a, b

@@ -95,10 +95,21 @@ def test_keys_share_a_block_whenever_sets_link():
             linked += 1
             assert len(set(J.block_keys(s, classes).tolist()) & set(J.block_keys(t, classes).tolist())) >= J.SHARED
             assert overlap >= classes.need(len(s), len(t))
-            assert np.minimum(J.point(s), J.point(t)).sum() >= overlap
+            assert J.overlap_bound(J.point(s), J.point(t)) >= overlap
     assert linked > 300
 
 
+def test_large_sets_have_wide_points():
+    rng = np.random.RandomState(5)
+    s, t = (np.unique(rng.randint(0, 2**62, n).astype(np.uint64)) for n in (9000, 7600))
+    part = np.unique(np.concatenate([s[:6000], t[:1500]]))
+    assert (len(J.point(s)), len(J.point(t)), len(J.point(s[:50]))) == (2048, 1024, 256)
+    assert J.point(s).sum() == 9000 and (J.folded(J.point(s), 256) == J.point(s, 256)).all()
+    classes = J.Classes(80, 100)
+    assert J.overlap_bound(J.point(s), J.point(t)) < classes.need(len(s), len(t))
+    assert J.overlap_bound(J.point(s), J.point(part)) >= 6000
+
+
 def test_tree_finds_what_a_scan_finds():
     rng, classes = np.random.RandomState(1), J.Classes(90, 100)
     base = [np.unique(rng.randint(0, 2**62, rng.randint(20, 400)).astype(np.uint64)) for _ in range(40)]
