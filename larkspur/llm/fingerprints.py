@@ -15,8 +15,6 @@ that repeat id and text are one. An empty table gives no rows. Extra columns are
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,44 +93,43 @@ def neighbours(docs: DataFrame) -> DataFrame:
     """
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # the ranges' bounds are sampled, so which range a row is in is written down before it is used twice
-    ids = saved(docs.select("id", "th").distinct().repartitionByRange(parts, F.col("id").desc_nulls_last(), "th").withColumn("part", F.spark_partition_id()), "ids")
-    order = [F.col("id").desc_nulls_last(), F.col("th")]
+    ids = saved(docs.select("id", "th").distinct().repartitionByRange(parts, F.col("id").desc(), "th").withColumn("part", F.spark_partition_id()), "ids")
     at = F.struct(F.col("id").alias("id"), F.col("th").alias("th"))
-    walked = ids.withColumns({"next": F.lead(at).over(Window.partitionBy("part").orderBy(*order))})
-    first = F.struct(F.col("id").isNull(), -F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit(0)), F.col("th"))
-    heads = ids.groupBy("part").agg(F.min_by(at, first).alias("head"))  # a row per range
-    follow = heads.withColumns({"follow": F.coalesce(F.lead("head").over(Window.orderBy("part")), F.first("head").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))}).select(F.col("part").alias("_part"), "follow")
+    walked = ids.withColumn("next", F.lead(at).over(Window.partitionBy("part").orderBy(F.col("id").desc(), "th")))
+    heads = ids.groupBy("part").agg(F.min_by(at, F.struct(F.bitwise_not("id"), "th")).alias("head"))  # a row per range
+    every = Window.orderBy("part")
+    follow = heads.select(F.col("part").alias("_part"), F.coalesce(F.lead("head").over(every), F.first("head").over(every)).alias("follow"))
     out = walked.join(F.broadcast(follow), F.col("part") == F.col("_part"))  # `parts` rows
     return out.select("id", "th", F.coalesce("next", "follow").alias("next")).select("id", "th", F.col("next.id").alias("next_id"), F.col("next.th").alias("next_th"))
 
 
-def _match(pairs: list[tuple[str, str]]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in pairs])
-
-
 def fingerprint_edits(docs: DataFrame, *, k: int = 2, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next.
 
     A document's edited text has its last half (rounded down) replaced by as many code points, or all, of the next
     document's, by descending id; the last is followed by the first.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    # keys that are never null, so that joins and groupings by them share one partitioning
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.col(id_col).isNull().alias("none"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text", "none"))
     rows, distinct = own.agg(F.count(F.lit(1)), F.count_distinct(F.struct("id", "th"))).first()
     if rows != distinct:
-        own = own.groupBy("id", "th").agg(F.min("text").alias("text"))
+        own = own.groupBy("id", "th", "none").agg(F.min("text").alias("text"))
     next_ = saved(neighbours(own), "next")
-    size = own.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.length("text").alias("n"))
-    halves = next_.join(size, _match([("id", "_id"), ("th", "_th")])).select(F.col("id").alias("to"), F.col("th").alias("to_th"), F.col("next_id").alias("_id"), F.col("next_th").alias("_th"), (F.col("n") / 2).cast("int").alias("half"))
-    tails = own.join(halves, _match([("id", "_id"), ("th", "_th")])).select("to", "to_th", "half", F.expr("substring(text, 1, half)").alias("tail"))
-    edited = own.join(tails, _match([("id", "to"), ("th", "to_th")]))
+    size = own.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "none", F.length("text").alias("n"))
+    own = own.select("id", "th", "text")  # in both joins, so that its exchange is used again
+    same = lambda a, b: (F.col(a[0]) == F.col(b[0])) & (F.col(a[1]) == F.col(b[1]))
+    halves = next_.join(size, same(("id", "th"), ("_id", "_th"))).select(F.col("id").alias("to"), F.col("th").alias("to_th"), "none", F.col("next_id").alias("_id"), F.col("next_th").alias("_th"), (F.col("n") / 2).cast("int").alias("half"))
+    tails = own.join(halves, same(("id", "th"), ("_id", "_th"))).select("to", "to_th", "none", "half", F.expr("substring(text, 1, half)").alias("tail"))
+    edited = own.join(tails, same(("id", "th"), ("to", "to_th")))
     whole = F.concat(F.expr("substring(text, 1, length(text) - half)"), F.col("tail"))
-    both = edited.select("id", "th", F.length("text").cast("long").alias("n_chars"), "text", whole.alias("edited"))
-    sides = both.select("id", "th", F.explode(F.array(F.struct(F.lit(0).alias("side"), "n_chars", F.lit("").alias("sha"), F.col("text").alias("text")), F.struct(F.lit(1).alias("side"), "n_chars", F.sha2("edited", 256).alias("sha"), F.col("edited").alias("text")))).alias("s")).select("id", "th", "s.*")
-    signed = saved(signatures(sides, ["id", "th", "side", "n_chars", "sha"], k=k, slots=slots), "signatures")
+    both = edited.select("id", "th", "none", F.length("text").cast("long").alias("n_chars"), "text", whole.alias("edited"))
+    side = lambda i, sha, text: F.struct(F.lit(i).alias("side"), sha.alias("sha"), F.col(text).alias("text"))
+    sides = both.select("id", "th", "none", "n_chars", F.explode(F.array(side(0, F.lit(""), "text"), side(1, F.sha2("edited", 256), "edited"))).alias("s")).select("id", "th", "none", "n_chars", "s.side", "s.sha", "s.text")
+    signed = saved(signatures(sides, ["id", "th", "none", "n_chars", "side", "sha"], k=k, slots=slots), "signatures")
     text_side, edit_side = signed.where("side = 0"), signed.where("side = 1")
-    a = text_side.select("id", "th", F.col("n_chars"), F.col("slots").alias("a"))
-    b = edit_side.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "sha", F.col("slots").alias("b"))
+    a = text_side.select("id", "th", "none", "n_chars", F.col("slots").alias("a"))
+    b = edit_side.select(F.col("id").alias("bid"), F.col("th").alias("bth"), "sha", F.col("slots").alias("b"))
     c = text_side.select(F.col("id").alias("nid"), F.col("th").alias("nth"), F.col("slots").alias("c"))
     step = next_.select(F.col("id").alias("sid"), F.col("th").alias("sth"), "next_id", "next_th")
-    out = a.join(b, _match([("id", "_id"), ("th", "_th")])).join(step, _match([("id", "sid"), ("th", "sth")])).join(c, _match([("next_id", "nid"), ("next_th", "nth")]))
-    return out.select(F.col("id").alias("doc_id"), "n_chars", F.col("sha").alias("edited_sha256"), as_text(F.col("a")).alias("fingerprint"), as_text(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
+    out = a.join(b, same(("id", "th"), ("bid", "bth"))).join(step, same(("id", "th"), ("sid", "sth"))).join(c, same(("next_id", "next_th"), ("nid", "nth")))
+    return out.select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "n_chars", F.col("sha").alias("edited_sha256"), as_text(F.col("a")).alias("fingerprint"), as_text(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
