@@ -26,7 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(docs).where((F.col("n_lines") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    out = lines.dedup_lines(docs, k=lines.PROSE).where((F.col("n_lines") == 0) | (F.col("n_removed") < F.col("n_lines")))
     return with_text(out, docs.columns, "text")
 
 

@@ -38,6 +38,8 @@ _A = (_RNG.randint(0, 2**31, 512).astype(np.uint32) << np.uint32(1)) | np.uint32
 _B = _RNG.randint(0, 2**31, 512).astype(np.uint32)
 #: Lines of fewer shingles than the second take minima under many functions, of the first or more the bins of one.
 LONG, SHORT = 64, 80
+#: Characters of a shingle for corpora: one changed character within a line of 49 still links it at the threshold.
+PROSE = 5
 #: Groups of more lines than this compare counts of shingles before shingles.
 MANY = 64
 
