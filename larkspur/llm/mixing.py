@@ -7,8 +7,8 @@ again by the next bits, until single documents decide. A splitting tree deals th
 taken blocks to output shards: each node draws, without replacement, how many blocks of each source
 go to its left half. The blocks then go to shards in a keyed order, and rows within a shard take a hashed order.
 
-All decisions follow from a document's hash and a small table with a row per source, so neither
-texts nor a hot source's documents are shuffled, and reruns agree.
+All decisions follow from a document's hash and a small table with a row per source, so they shuffle neither
+texts nor a hot source's documents, and reruns agree. Only `draw` moves rows, once, to their shards.
 
 Nulls: a null text has no words; a null source is a source of its own, last; a null doc_id hashes as
 such. Repeated rows of an id are taken alike. An empty table gives no rows. Extra columns pass through `mix`.
@@ -142,8 +142,9 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float
 
 
 def draw(docs: DataFrame, *, seed: int = 7, shards: int = 64, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mixture's rows: each document as often as it is taken, with its shard, and `mix_order`, by which
-    a shard's rows are shuffled."""
+    """The mixture's rows: each document as often as it is taken, with its shard, and `mix_order`. Rows are laid out by
+    them: a shard's rows are in one partition, one after another in the shuffled order."""
     mixed = mix(docs, seed=seed, shards=shards, id_col=id_col, **options)
     out = mixed.select(*docs.columns, F.posexplode("mix_shards").alias("mix_copy", "mix_shard"))
-    return out.withColumn("mix_order", F.xxhash64(F.lit(seed + 1), F.col(id_col), F.col("mix_copy")))
+    out = out.withColumn("mix_order", F.xxhash64(F.lit(seed + 1), F.col(id_col), F.col("mix_copy")))
+    return out.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_order")
