@@ -89,3 +89,51 @@ def scan(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", tex
     found = F.filter(F.transform(units(F.col(text_col)), lambda u: best_match(u, threshold)), lambda x: x.isNotNull())
     each = docs.select(F.col(id_col).cast("long").alias("doc_id"), let(found, lambda f: F.struct(F.array_max(f).alias("best"), F.size(f).alias("n"), F.array_join(F.array_sort(F.array_distinct(F.transform(f, lambda x: x["licence"]))), ",").alias("all"))).alias("f"))
     return each.select("doc_id", F.col("f.best.licence").alias("licence"), F.col("f.best.template").alias("template"), F.coalesce(F.col("f.best.score"), F.lit(0.0)).alias("score"), F.col("f.n").cast("long").alias("n_units"), F.col("f.all").alias("licences"))
+
+
+def window_matches(text: Column, threshold: float) -> Column:
+    """Where templates stand in the words of the whole text, best first: struct of score, place, before (negated first word), template,
+    licence and after (the word behind it).
+
+    A template of n words is compared with every run of n words that begins with one of its bigrams; of runs that overlap the best
+    stays. A match has `bounds`' fewest of the template's bigrams, so a text without any of the longest that can't all be missing is left at once.
+    """
+    own = [(i, name, spdx, len(re.findall("[a-z0-9]+", t.lower())), template_bigrams(t)) for i, (name, spdx, t) in enumerate(TEMPLATES)]
+    gate = {x for *_, b in own for x in sorted(b, key=lambda x: (-len(x), x))[: len(b) - bounds(len(b), threshold)[0] + 1]}
+    words = F.split(F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " ")), " ")
+    shape = "array<struct<score:double,place:int,before:int,template:string,licence:string,after:int>>"
+
+    def of_template(bigrams: Column, i: int, name: str, spdx: str, n: int, b: list[str]) -> Column:
+        m, need = len(b), bounds(len(b), threshold)[0]
+        hits = F.filter(F.sequence(F.lit(0), F.size(bigrams) - 1), lambda at: F.get(bigrams, at).isin(b))
+
+        def scored(hits: Column) -> Column:
+            full = F.filter(hits, lambda at, j: F.coalesce(F.get(hits, j + (need - 1)) <= at + (n - 2), F.lit(False)))
+            return F.transform(full, lambda at: let(F.array_distinct(F.slice(bigrams, at + 1, n - 1)), lambda x: F.struct((F.lit(2.0) * F.size(F.filter(x, lambda y: y.isin(b))) / (F.size(x) + m)).alias("score"), F.lit(-i).alias("place"), (-at).alias("before"), F.lit(name).alias("template"), F.lit(spdx).alias("licence"), F.least(at + n, F.size(bigrams) + 1).alias("after"))))
+
+        return let(hits, lambda h: F.when(F.size(h) >= need, F.filter(scored(h), lambda x: x["score"] >= threshold)).otherwise(F.array().cast(shape)))
+
+    def apart(found: Column) -> Column:
+        meets = lambda x, y: (-x["before"] < y["after"]) & (-y["before"] < x["after"])
+        return F.aggregate(F.sort_array(found, asc=False), F.array().cast(shape), lambda kept, x: F.when(F.exists(kept, lambda y: meets(x, y)), kept).otherwise(F.concat(kept, F.array(x)).cast(shape)))
+
+    def places(bigrams: Column) -> Column:
+        some = F.exists(bigrams, lambda x: x.isin(list(gate)))
+        return F.when(some, let(F.concat(*[of_template(bigrams, *t) for t in own]).cast(shape), apart)).otherwise(F.array().cast(shape))
+
+    def pairs(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
+
+    return let(words, lambda w: F.when(F.size(w) > 1, let(pairs(w), places)).otherwise(F.array().cast(shape)))
+
+
+def scan_all(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`scan` with the templates that stand anywhere in the text: the best match of units and places, n_units and n_places that
+    match, and the licences of both."""
+    text = F.col(text_col)
+    plain = lambda x: F.struct(x["score"].alias("score"), x["place"].alias("place"), x["template"].alias("template"), x["licence"].alias("licence"))
+    found = F.filter(F.transform(units(text), lambda u: best_match(u, threshold)), lambda x: x.isNotNull())
+    both = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(found.alias("u"), F.transform(window_matches(text, threshold), plain).alias("w")).alias("f"))
+    told = let(F.col("f"), lambda f: let(F.concat(f["u"], f["w"]), lambda x: F.struct(F.array_max(x).alias("best"), F.size(f["u"]).alias("n"), F.size(f["w"]).alias("p"), F.array_join(F.array_sort(F.array_distinct(F.transform(x, lambda y: y["licence"]))), ",").alias("all"))))
+    each = both.select("doc_id", told.alias("f"))
+    return each.select("doc_id", F.col("f.best.licence").alias("licence"), F.col("f.best.template").alias("template"), F.coalesce(F.col("f.best.score"), F.lit(0.0)).alias("score"), F.col("f.n").cast("long").alias("n_units"), F.col("f.p").cast("long").alias("n_places"), F.col("f.all").alias("licences"))

@@ -53,6 +53,10 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_licences_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_all(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.line_frequency(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_frequent_lines", "words_left")
@@ -62,6 +66,6 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.lattice_scores(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {"op8_licences": op8_licences, "op4_lines": op4_lines, "op1_fingerprints": op1_fingerprints, "op5_ngram_join": op5_ngram_join, "op2_substring": op2_substring, "op10_lattice": op10_lattice, "op3_toxicity": op3_toxicity, "op9_quality": op9_quality, "op6_mixing": op6_mixing, "op7_packing": op7_packing}
+QUERIES = {"op8_licences": op8_licences, "op4_lines": op4_lines, "op1_fingerprints": op1_fingerprints, "op5_ngram_join": op5_ngram_join, "op2_substring": op2_substring, "op10_lattice": op10_lattice, "op3_toxicity": op3_toxicity, "op9_quality": op9_quality, "op6_mixing": op6_mixing, "op7_packing": op7_packing, "op8_licences_anywhere": op8_licences_anywhere}
 
 __all__ = ["ORACLE_SQL", "QUERIES", "read", "vocabulary"]
