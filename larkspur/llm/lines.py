@@ -36,7 +36,7 @@ _LATE = np.iinfo(np.int64).max
 _RNG = np.random.RandomState(77)
 _A = (_RNG.randint(0, 2**31, 512).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _RNG.randint(0, 2**31, 512).astype(np.uint32)
-#: Lines of fewer shingles than the second take minima under many functions, of the first or more the bins of one.
+#: Lines of fewer distinct shingles than the second take minima under many functions, of the first or more the bins of one.
 LONG, SHORT = 64, 80
 #: Characters of a shingle for corpora: one changed character within a line of 49 still links it at the threshold.
 PROSE = 5
@@ -87,7 +87,9 @@ def shingle_hashes(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
 def band_keys(lines: list[str], k: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(line, key) of all lines' bands."""
     h, first = shingle_hashes(lines, k)
-    size, slots = np.diff(first), bands * rows
+    own = [np.unique(h[i:j]) if j - i >= LONG else h[i:j] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]  # fewer are short anyhow
+    h, size, slots = np.concatenate([h[:0], *own]), np.array([len(x) for x in own], np.int64), bands * rows
+    first = np.append(0, np.cumsum(size))
     out_line, out_key = [], []
 
     def add(which: np.ndarray, minima: np.ndarray, kind: int) -> None:
