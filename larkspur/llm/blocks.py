@@ -1,19 +1,22 @@
 """Candidate pairs from blocks: rows (key, id) say that id is in the block key.
 
-Links are sought in two rounds, so that a block of very many like rows never gives all its pairs. First every member
-is paired with its block's least id. Once those links are verified and their components known, only blocks that
+Links are sought in two rounds, so that a block of very many like rows never gives all its pairs. First members
+are paired with their block's least id. Once those links are verified and their components known, only blocks that
 still hold members of different components are searched, by the caller, for pairs across components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a group of `open_blocks`, as `search_blocks` hands them on.
+GROUP = ("key", "kind", "i", "j")
+
 
 def _with_least(rows: DataFrame) -> DataFrame:
     """key, id and b, the block's least id, of the other members. Minima are aggregated before the shuffle and joined back."""
@@ -28,27 +31,33 @@ def star_pairs(rows: DataFrame, shared: int = 1) -> DataFrame:
 
 
 def open_blocks(rows: DataFrame, components: DataFrame, most: int) -> DataFrame:
-    """key, id, component, part, i, j: members of blocks, without the least that the first round has compared with them all, where
-    these are of several components; one block for each distinct set of them.
+    """key, id, component, minor, part, kind, i, j: members of blocks, without the least that the first round has compared with them
+    all, where these are of several components; one block for each distinct set of them.
 
-    A block of more than `most` members is dealt to parts, and every two parts meet in a group (key, i, j); a
-    group holds part i, and part j if it is another.
+    The largest component of a block needs no pairs within it, so its members are dealt to parts of `most` and each part meets the
+    other, minor, members. Those are dealt to parts too where they are many. A group (key, kind, i, j) holds minor part i, and
+    of kind 0 major part j, of kind 1 minor part j: a large group of like rows stays one row a member.
     """
     own = components.select(F.col("id").alias("_id"), F.col("component").alias("_c"))
     others = _with_least(rows).select("key", "id")
     named = others.join(own, others.id == own["_id"], "left").select("key", "id", F.coalesce("_c", "id").alias("component"))
-    hashes = F.xxhash64("component")
-    sums = named.groupBy("key").agg(F.min(hashes).alias("lo"), F.max(hashes).alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
-    kept = sums.where(F.col("lo") != F.col("hi")).groupBy("n", "x", "y").agg(F.min("key").alias("_key"))
-    parts = F.ceil(F.col("n") / most).cast("int")
-    part = F.pmod(F.xxhash64(F.lit(5), "id"), parts).cast("int")
-    members = named.join(kept, named.key == kept["_key"]).withColumns({"parts": parts, "part": part})
-    groups = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("part", k).alias("i"), F.greatest("part", k).alias("j")))
-    return members.select("key", "id", "component", "part", F.explode(groups).alias("g")).select("key", "id", "component", "part", "g.i", "g.j")
+    sums = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
+    blocks = sums.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    several = blocks.where(F.col("k") > 1).groupBy("n", "x", "y", "top").agg(F.min("key").alias("_key"))
+    parts = lambda n: F.ceil(n / most).cast("int")
+    kept = several.select("_key", F.col("top.component").alias("_top"), parts(F.col("top.n")).alias("p"), parts(F.col("n") - F.col("top.n")).alias("q"))
+    members = named.join(kept, named.key == kept["_key"]).withColumn("minor", F.col("component") != F.col("_top"))
+    members = members.withColumn("part", F.pmod(F.xxhash64(F.lit(5), "id"), F.when(F.col("minor"), F.col("q")).otherwise(F.col("p"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    part = F.col("part")
+    with_minor = F.transform(F.filter(upto("q"), lambda k: k != part), lambda k: place(1, F.least(part, k), F.greatest(part, k)))
+    groups = F.when(F.col("minor"), F.concat(F.transform(upto("p"), lambda k: place(0, part, k)), with_minor)).otherwise(F.transform(upto("q"), lambda k: place(0, k, part)))
+    return members.select("key", "id", "component", "minor", "part", F.explode(groups).alias("g")).select("key", "id", "component", "minor", "part", "g.kind", "g.i", "g.j")
 
 
 def search_blocks(members: DataFrame, search: Callable, schema: str) -> DataFrame:
-    """search over each group (key, i, j) of `open_blocks`, with what was joined to it; gives a and b of its pairs.
+    """search over each group of `open_blocks`, with what was joined to it; gives a and b of its pairs.
 
     Groups are small and many, so a task walks its sorted rows and holds one group at a time.
     """
@@ -58,7 +67,7 @@ def search_blocks(members: DataFrame, search: Callable, schema: str) -> DataFram
         for b in batches:
             rows = pa.Table.from_batches([b])
             rows = pa.concat_tables([left, rows]) if left is not None else rows
-            ids = [rows.column(c).to_numpy() for c in ("key", "i", "j")]
+            ids = [rows.column(c).to_numpy() for c in GROUP]
             new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
             edges = [0, *new.tolist()]
             yield from result([search(rows.slice(lo, hi - lo)) for lo, hi in zip(edges, new.tolist(), strict=False)])
@@ -72,17 +81,18 @@ def search_blocks(members: DataFrame, search: Callable, schema: str) -> DataFram
         if a:
             yield pa.record_batch([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
 
-    return members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
-
-
-def pairs_to_test(comps: list, part: np.ndarray, i: int, j: int):
-    """(x, ys): places whose pairs cross components, each pair once. Pairs within the largest component are not looked at."""
-    names, number = np.unique(np.array(comps, dtype=object), return_inverse=True)
-    major = np.bincount(number).argmax()
-    small = number != major
-    for x in np.flatnonzero(small).tolist():
-        ys = number != number[x]
-        ys &= ~small | (np.arange(len(comps)) < x)
-        if i != j:
-            ys &= part != part[x]
-        yield x, np.flatnonzero(ys)
+    return members.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, schema)
+
+
+def pairs_to_test(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """(x, ys): places in a group whose pairs cross components, each pair of a block once over its groups."""
+    minor, part = group.column("minor").to_numpy(), group.column("part").to_numpy()
+    _, of = np.unique(np.array(group.column("component").to_pylist(), dtype=object), return_inverse=True)
+    kind, i, j = (group.column(c)[0].as_py() for c in ("kind", "i", "j"))
+    place = np.arange(len(minor))
+    for x in np.flatnonzero(minor & (part == i)).tolist():
+        if kind:
+            ys = part == j
+        else:
+            ys = ~minor if j else ~minor | (place < x)
+        yield x, np.flatnonzero(ys & (of != of[x]))

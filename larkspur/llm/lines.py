@@ -1,18 +1,20 @@
 """Line dedup: fuzzy copies of lines found by MinHash, one line kept of each component.
 
 Lines are normalised (A-Z lower-cased, one space between words); blank ones take no part. A line's set is its runs of `k`
-characters. Bands of `rows` minima put like lines into common blocks: `bands` bands, so that lines of the threshold's
-likeness miss all of them about twice in a thousand, and those above it hardly ever. Short lines take a minimum under each of the functions, long
-ones one function whose values are dealt to bins, empty bins borrowing from the next; lengths between take both, so that
-like lines always have a kind in common. Pairs in a block are compared by the Jaccard index of their sets, and union-find joins the links.
-Of each component the line of the least (doc_id, line) stays.
+characters. A signature has `bands` times `rows` minima, and a band's key is a hash of its own: lines of the threshold's likeness miss
+all bands about twice in a thousand, those above it hardly ever, and with seven rows unlike lines of one language share next to none
+as the corpus grows. Minima are drawn by rounds: a round deals all shingles to the slots by one hash, later rounds only
+matter to lines with slots still empty, and what a few rounds leave empty takes a minimum of its own. So a long line costs one hash a shingle,
+and any two lines agree in a slot with their Jaccard index as probability. Pairs in a block are compared by the Jaccard index of their
+sets, and union-find joins the links. Of each component the line of the least (doc_id, line) stays.
 
 A line's text is shuffled once, to chunks by its digest, after each task has dropped its own copies. Each chunk sketches its lines'
 bands (the merged count-min sketch of `substring`), and only lines with a band that another line has go on. The occurrences
 of a common line are narrow rows, whose least is aggregated before the shuffle and joined back.
 
-Nulls: a null text has no lines; rows with a null id are one document, the last. Rows that repeat an id keep and lose the same line
-numbers. An empty table gives no rows. `dedup_lines` keeps extra columns.
+A document is its id and text. Nulls: a null text has no lines; a null id comes last in order. Rows that repeat id and text keep and lose the
+same lines; rows that repeat an id with other texts are documents each. Very long lines and texts are compared whole, in one
+task's memory. An empty table gives no rows. `dedup_lines` keeps extra columns.
 """
 
 from __future__ import annotations
@@ -20,28 +22,27 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import open_blocks, pairs_to_test, search_blocks, star_pairs
 from .chunks import total_chars
 from .graph import components
-from .ngram_join import Classes, point
 from .store import saved
 from .substring import Sketch, merge_sketches, pack_cells, repeated
 from .text import mix, signed
 
 _U = np.uint64
 _LATE = np.iinfo(np.int64).max
-_RNG = np.random.RandomState(77)
-_A = (_RNG.randint(0, 2**31, 512).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
-_B = _RNG.randint(0, 2**31, 512).astype(np.uint32)
-#: Lines of fewer distinct shingles than the second take minima under many functions, of the first or more the bins of one.
-LONG, SHORT = 64, 80
-#: Characters of a shingle for corpora: one changed character within a line of 49 still links it at the threshold.
+_NONE = np.iinfo(np.uint32).max
+_A = np.random.RandomState(77).randint(0, 2**31, 4096).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+_STEP = 0x9E3779B97F4A7C15
+#: Rounds that deal shingles to slots before the slots left take their own minima, and lines that are signed at a time.
+ROUNDS, LINES = 24, 200
+#: Characters of a shingle: one changed character within a line of 49 still links it at the threshold.
 PROSE = 5
-#: Groups of more lines than this compare counts of shingles before shingles.
-MANY = 64
+#: Digests of lines (16 bytes each) that are broadcast at most, to shuffle only the texts that pairs need.
+BROADCAST_IDS = 200_000
 
 
 def normal_lines(text: str | None) -> list[tuple[int, bytes]]:
@@ -84,44 +85,52 @@ def shingle_hashes(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.append(first, own.sum())
 
 
+def scatter(x: np.ndarray, r) -> np.ndarray:
+    """Another 32-bit hash of hashes for each r."""
+    x = x * _A[r]
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x2C1B3C6D)
+    return x
+
+
+def minima(h: np.ndarray, first: np.ndarray, slots: int) -> np.ndarray:
+    """(line, slot): a minimum over each line's shingles. Of an earlier round is less than of a later one."""
+    size, n, h = np.diff(first), len(first) - 1, (h >> _U(32)).astype(np.uint32)
+    out = np.full((n, slots), _NONE, np.uint32)
+    flat, open_, own, base = out.reshape(-1), np.arange(n), h, np.repeat(np.arange(n) * slots, size)
+    low, high, wide = np.uint32(0xFFFFFF), np.uint32(16), np.uint32(slots)
+
+    def of(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The shingles of lines, one after another, and where each line's begin."""
+        start = np.cumsum(size[lines]) - size[lines]
+        return h[np.repeat(first[:-1][lines] - start, size[lines]) + np.arange(size[lines].sum())], start
+
+    for r in range(ROUNDS):
+        x = scatter(own, r)
+        np.minimum.at(flat, base + (((x >> high) * wide) >> high), (x & low) | np.uint32(r << 24))
+        if r < 8 or r % 4 == 3:
+            left = open_[(out[open_] == _NONE).any(1)]
+            if not len(left):
+                return out
+            if len(left) < len(open_):
+                open_ = left
+                own, base = of(open_)[0], np.repeat(open_ * slots, size[open_])
+    line, slot = np.nonzero(out == _NONE)
+    for lo in range(0, len(line), 1024):
+        at, to = line[lo : lo + 1024], slot[lo : lo + 1024]
+        own, start = of(at)
+        out[at, to] = np.uint32(ROUNDS << 24) | (np.minimum.reduceat(scatter(own, np.repeat(to + ROUNDS, size[at])), start) >> np.uint32(8))
+    return out
+
+
 def band_keys(lines: list[str], k: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(line, key) of all lines' bands."""
     h, first = shingle_hashes(lines, k)
-    own = [np.unique(h[i:j]) if j - i >= LONG else h[i:j] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]  # fewer are short anyhow
-    h, size, slots = np.concatenate([h[:0], *own]), np.array([len(x) for x in own], np.int64), bands * rows
-    first = np.append(0, np.cumsum(size))
-    out_line, out_key = [], []
-
-    def add(which: np.ndarray, minima: np.ndarray, kind: int) -> None:
-        x = np.full((len(which), bands), mix(np.array([kind + 1], _U))[0], _U) + np.arange(bands, dtype=_U) * _U(0x9E3779B97F4A7C15)
-        parts = minima.astype(_U).reshape(len(which), bands, rows)
-        for r in range(rows):
-            x = mix(x ^ parts[:, :, r])
-        out_line.append(np.repeat(which, bands))
-        out_key.append(x.ravel())
-
-    def chosen(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = size[which]
-        start = np.cumsum(n) - n
-        return h[np.repeat(first[:-1][which] - start, n) + np.arange(n.sum())], start
-
-    if len(short := np.flatnonzero(size < SHORT)):
-        own, start = chosen(short)
-        low, minima = (own >> _U(32)).astype(np.uint32), np.empty((len(short), slots), np.uint32)
-        for j in range(slots):
-            minima[:, j] = np.minimum.reduceat(low * _A[j] + _B[j], start)
-        add(short, minima, 0)
-    if len(long := np.flatnonzero(size >= LONG)):
-        own, _ = chosen(long)
-        none = np.iinfo(np.uint64).max
-        flat = np.full(len(long) * slots, none, _U)
-        at = np.repeat(np.arange(len(long)) * slots, size[long]) + (((own >> _U(32)) * _U(slots)) >> _U(32)).astype(np.int64)
-        np.minimum.at(flat, at, mix(own))
-        bins = flat.reshape(-1, slots)
-        place = np.where(np.concatenate([bins, bins], 1) != none, np.arange(2 * slots), 4 * slots)
-        near = np.minimum.accumulate(place[:, ::-1], 1)[:, ::-1][:, :slots]
-        add(long, np.take_along_axis(bins, near % slots, 1) + (near - np.arange(slots)).astype(_U) * _U(0xC2B2AE3D27D4EB4F), 1)
-    return np.concatenate(out_line) if out_line else np.zeros(0, np.int64), np.concatenate(out_key) if out_key else np.zeros(0, _U)
+    parts = minima(h, first, bands * rows).astype(_U).reshape(len(lines), bands, rows)
+    x = np.full((len(lines), bands), _U(1), _U) + np.arange(bands, dtype=_U) * _U(_STEP)
+    for r in range(rows):
+        x = mix(x ^ parts[:, :, r])
+    return np.repeat(np.arange(len(lines)), bands), x.ravel()
 
 
 def shingles(line: str, k: int) -> set[str]:
@@ -133,81 +142,156 @@ def alike(x: set, y: set, num: int, den: int) -> bool:
     return den * both >= num * (len(x) + len(y) - both)
 
 
+def known_docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, doc (never null), th (a hash of the text) and text."""
+    own = F.col(id_col).cast("long")
+    return docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(_LATE)).alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+
+
+def place(doc: Column, line: Column, th: Column) -> Column:
+    """The order of occurrences as one number, which aggregates by hash: document, line, and some bits of the text's hash."""
+    whole = lambda x: x.cast("decimal(38,0)")
+    high = (whole(doc) * F.lit(2**62).cast("decimal(19,0)")).cast("decimal(38,0)")
+    return (high + whole(F.shiftleft(line.cast("long"), 31).bitwiseOR(F.shiftrightunsigned(th, 33)))).cast("decimal(38,0)")
+
+
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, line and id (the digest) of every line that has a word."""
+    """doc_id, doc and th of each document, and line and id (the digest) of each of its lines that have a word."""
 
     def run(batches):
         for b in batches:
-            doc, line, ids = [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            line, ids, cuts = [], [], [0]
+            for t in b.column(3):
                 for i, x in normal_lines(t.as_py()):
-                    doc.append(d)
                     line.append(i)
                     ids.append(digest(x))
-            yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(ids, pa.binary())], names=["doc", "line", "id"])
+                cuts.append(len(line))
+            lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), x) for x in (pa.array(line, pa.int32()), pa.array(ids, pa.binary()))]
+            yield pa.record_batch([*b.columns[:3], *lists], names=["doc_id", "doc", "th", "lines", "ids"])
 
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LATE)).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc long, line int, id binary")
+    return known_docs(docs, id_col, text_col).mapInArrow(run, "doc_id long, doc long, th long, lines array<int>, ids array<binary>")
 
 
 def distinct_lines(docs: DataFrame, chunks: int, id_col: str, text_col: str, most: int = 8_000_000) -> DataFrame:
-    """chunk, id, text, doc, line, n of the lines; a task gives each of its lines once in about `most` characters, with the least
-    (doc, line) that has it and how many have."""
+    """chunk, id, text, doc, line, th, n of the lines; a task gives each of its lines once in about `most` characters, with the least
+    (doc, line, th) that has it and how many have."""
 
     def run(batches):
-        seen: dict = {}  # digest: [text, doc, line, n]
+        seen: dict = {}  # digest: [text, (doc, line, th), n]
         held = 0
 
         def table():
             ids, rows = list(seen), list(seen.values())
             numbers = [int.from_bytes(i[:8], "little") % chunks for i in ids]
-            column = lambda k, t: pa.array([r[k] for r in rows], t)
-            return pa.record_batch([pa.array(numbers, pa.int64()), pa.array(ids, pa.binary()), column(0, pa.binary()).cast(pa.string()), column(1, pa.int64()), column(2, pa.int32()), column(3, pa.int64())], names=["chunk", "id", "text", "doc", "line", "n"])
+            column = lambda k, t: pa.array([r[1][k] for r in rows], t)
+            return pa.record_batch([pa.array(numbers, pa.int64()), pa.array(ids, pa.binary()), pa.array([r[0] for r in rows], pa.binary()).cast(pa.string()), column(0, pa.int64()), column(1, pa.int32()), column(2, pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["chunk", "id", "text", "doc", "line", "th", "n"])
 
         for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for d, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 for i, x in normal_lines(t.as_py()):
-                    if (have := seen.get(h := digest(x))) is None:
-                        seen[h] = [x, d, i, 1]
+                    if (have := seen.get(own := digest(x))) is None:
+                        seen[own] = [x, (d, i, h), 1]
                         held += len(x)
                     else:
-                        have[3] += 1
-                        if (d, i) < (have[1], have[2]):
-                            have[1], have[2] = d, i
+                        have[2] += 1
+                        have[1] = min(have[1], (d, i, h))
                 if held > most:
                     yield table()
                     seen.clear()
                     held = 0
         yield table()
 
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LATE)).alias("doc"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, "chunk long, id binary, text string, doc long, line int, n long")
+    own = known_docs(docs, id_col, text_col).select("doc", F.shiftrightunsigned("th", 33).alias("th"), "text")
+    return own.mapInArrow(run, "chunk long, id binary, text string, doc long, line int, th long, n long")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
+    """Those of the pairs (a, b) that link."""
+    num, den = threshold
+
+    def compare(batches):
+        last, other = None, set()
+        for b in batches:
+            keep = []
+            for x, y, i in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if i != last:
+                    last, other = i, shingles(y, k)
+                n, m = max(len(x) - k + 1, 1), len(other)
+                keep.append(den * n >= num * m and alike(shingles(x, k), other, num, den))
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    near, far = texts.select(F.col("id").alias("_a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("_b"), F.col("text").alias("tb"))
+    return pairs.join(near, F.col("a") == F.col("_a")).join(far, F.col("b") == F.col("_b")).select("a", "b", "ta", "tb").mapInArrow(compare, "a binary, b binary")
+
+
+def needed(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """texts, without those that are not among ids where these are few."""
+    return texts.join(F.broadcast(ids), "id", "left_semi") if ids.count() <= BROADCAST_IDS else texts
+
+
+def cross_links(group: pa.Table, k: int, num: int, den: int) -> tuple[list, list]:
+    """Links between components within a group of `blocks`, as few as join what links; texts and keys are columns of the group.
+
+    A pair that shares a lesser key is left to that block.
+    """
+    texts, ids, comps = (group.column(c).to_pylist() for c in ("text", "id", "component"))
+    h, first = shingle_hashes(texts, k)
+    sets = [np.unique(x) for x in np.split(h, first[1:-1])]
+    size = np.array([len(x) for x in sets])
+    start = np.cumsum(size) - size
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, block = np.zeros(flat.max() + 1, bool), group.column("key")[0].as_py()
+    lists = group.column("keys").combine_chunks()
+    keys, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
+    names, number = np.unique(keys[cuts[0] : cuts[-1]], return_inverse=True)
+    cuts, less = cuts - cuts[0], names < block  # every list holds the block's key
+    _, of = np.unique(np.array(comps, dtype=object), return_inverse=True)
+    root, a, b = np.arange(of.max() + 1), [], []
+    for x, ys in pairs_to_test(group):
+        ys = ys[(root[of[ys]] != root[of[x]]) & (den * size[ys] >= num * size[x]) & (den * size[x] >= num * size[ys])]
+        if not len(ys):
+            continue
+        own = number[cuts[x] : cuts[x + 1]]
+        met = np.zeros(len(names), bool)
+        met[own[less[own]]] = True
+        ys = ys[~np.logical_or.reduceat(met[number], cuts[:-1])[ys]]
+        mark[flat[start[x] : start[x] + size[x]]] = True
+        both = np.add.reduceat(mark[flat], start, dtype=np.int64)[ys]
+        mark[flat[start[x] : start[x] + size[x]]] = False
+        for y in ys[den * both >= num * (size[x] + size[ys] - both)].tolist():
+            p, q = root[of[x]], root[of[y]]
+            if p != q:
+                root[root == p] = q
+                a.append(ids[x])
+                b.append(ids[y])
+    return a, b
 
 
 def line_components(docs: DataFrame, *, k: int, bands: int, rows: int, threshold: tuple[int, int], chunk_chars: int, most: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Two tables: id, doc, line (the first that has it) and n of the lines (by digest) that are there twice or may be alike to
+    """Two tables: id, at (the first place that has it) and n of the lines (by digest) that are there twice or may be alike to
     another; and id and component, the least digest in it, of those that are alike to another but for the least."""
     num, den = threshold
     total = total_chars(docs.select(F.col(text_col).alias("text")))
-    chunks, shape = max(1, -(-total // chunk_chars)), Sketch(max(1, total * bands // 250), 1, 256)
+    chunks, shape = max(1, -(-total // chunk_chars)), Sketch(max(1, total * bands // 250), 1, 4096)
     lines = distinct_lines(docs, chunks, id_col, text_col)
 
     def prepared(group):
-        """The distinct lines of a chunk with their first (doc, line) and number, and the line and key of each band."""
+        """The distinct lines of a chunk with their first (doc, line, th) and number, and the line and key of each band."""
         own: dict = {}
-        for i, t, d, x, n in zip(*(group.column(c).to_pylist() for c in ("id", "text", "doc", "line", "n")), strict=True):
+        for i, t, d, x, h, n in zip(*(group.column(c).to_pylist() for c in ("id", "text", "doc", "line", "th", "n")), strict=True):
             if (have := own.get(i)) is None:
-                own[i] = [t, (d, x), n]
+                own[i] = [t, (d, x, h), n]
             else:
-                have[1], have[2] = min(have[1], (d, x)), have[2] + n
+                have[1], have[2] = min(have[1], (d, x, h)), have[2] + n
         texts, at, keys = [r[0] for r in own.values()], [], []
-        for i in range(0, len(texts), 200):
-            line, key = band_keys(texts[i : i + 200], k, bands, rows)
+        for i in range(0, len(texts), LINES):
+            line, key = band_keys(texts[i : i + LINES], k, bands, rows)
             at.append(line + i)
             keys.append(key)
-        return own, texts, np.concatenate(at), np.concatenate(keys)
+        return own, np.concatenate(at), np.concatenate(keys)
 
     def sketch(key, group):
-        _, _, line, keys = prepared(group)
+        _, line, keys = prepared(group)
         out = [(n, pack_cells(used, several, shape.size)) for n, used, several, _, _ in shape.cells(keys, line) if len(used)]
         return pa.table({"segment": pa.array([n for n, _ in out], pa.int64()), "chunk": pa.array([key[0].as_py()] * len(out), pa.int64()), "cells": pa.array([c for _, c in out], pa.binary())})
 
@@ -217,105 +301,59 @@ def line_components(docs: DataFrame, *, k: int, bands: int, rows: int, threshold
     def give(key, group, marks):
         out = []
         if group.num_rows:
-            own, _, line, keys = prepared(group)
+            own, line, keys = prepared(group)
             twice = repeated(shape, keys, line, marks)
-            line, keys = line[twice], signed(keys[twice])
-            order = np.argsort(line, kind="stable")
-            cuts = np.searchsorted(line[order], np.arange(len(own) + 1)).tolist()
-            keys = keys[order]
-            for x, (i, (text, (doc, number), n)) in enumerate(own.items()):
+            cuts = np.searchsorted(line[twice], np.arange(len(own) + 1)).tolist()
+            keys = signed(keys[twice])
+            for x, (i, (text, at, n)) in enumerate(own.items()):
                 shared = keys[cuts[x] : cuts[x + 1]]
                 if len(shared):
-                    out.append((i, text, shared, doc, number, n))
+                    out.append((i, text, shared, *at, n))
                 elif n > 1:
-                    out.append((i, None, None, doc, number, n))
+                    out.append((i, None, None, *at, n))
         column = lambda c, t: pa.array([r[c] for r in out], t)
-        return pa.table({"id": column(0, pa.binary()), "text": column(1, pa.string()), "keys": column(2, pa.list_(pa.int64())), "doc": column(3, pa.int64()), "line": column(4, pa.int32()), "n": column(5, pa.int64())})
+        return pa.table({"id": column(0, pa.binary()), "text": column(1, pa.string()), "keys": column(2, pa.list_(pa.int64())), "doc": column(3, pa.int64()), "line": column(4, pa.int32()), "th": column(5, pa.int64()), "n": column(6, pa.int64())})
 
     sketches = lines.groupBy("chunk").applyInArrow(sketch, "segment long, chunk long, cells binary")
     marks = sketches.groupBy("segment").applyInArrow(merge, "segment long, chunk long, marks binary")
-    likely = saved(lines.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(give, "id binary, text string, keys array<long>, doc long, line int, n long"), "lines")
-    firsts, likely = likely.select("id", "doc", "line", "n"), likely.where(F.col("keys").isNotNull()).select("id", "text", "keys")
+    likely = saved(lines.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(give, "id binary, text string, keys array<long>, doc long, line int, th long, n long"), "lines")
+    firsts = likely.select("id", place(F.col("doc"), F.col("line"), F.shiftleft("th", 33)).alias("at"), "n")
+    likely = likely.where(F.col("keys").isNotNull()).select("id", "text", "keys")
     in_block = likely.select(F.explode("keys").alias("key"), "id")
 
-    def compare(batches):
-        last, other = None, set()
-        for b in batches:
-            keep = []
-            for x, y, i in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if i != last:
-                    last, other = i, shingles(y, k)
-                n, m = max(len(x) - k + 1, 1), len(other)
-                keep.append(den * n >= num * m and alike(shingles(x, k), other, num, den))
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    known = components(saved(verify(star_pairs(in_block), likely, k, threshold), "found"))
+    open_ = saved(open_blocks(in_block, known, most), "open")
+    texts = needed(likely, open_.select("id").distinct()).select(F.col("id").alias("_a"), "text", "keys")
+    more = saved(search_blocks(open_.join(texts, F.col("id") == F.col("_a")), lambda group: cross_links(group, k, num, den), "a binary, b binary"), "found")
+    if more.limit(1).count():  # a component is a star, which these links join to others
+        known = components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
+    return firsts, known
+
 
-    near, far = likely.select(F.col("id").alias("_a"), F.col("text").alias("ta")), likely.select(F.col("id").alias("_b"), F.col("text").alias("tb"))
-    pairs = star_pairs(in_block).join(near, F.col("a") == F.col("_a")).join(far, F.col("b") == F.col("_b")).select("a", "b", "ta", "tb")
-    links = saved(pairs.mapInArrow(compare, "a binary, b binary"), "found")
-
-    def search(group):
-        texts, part, ids, comps = (group.column(c).to_pylist() for c in ("text", "part", "id", "component"))
-        sets, sizes, points, a, b = {}, None, None, [], []
-        if len(texts) > MANY:
-            h, first = shingle_hashes(texts, k)
-            hashed = [np.unique(x) for x in np.split(h, first[1:-1])]
-            sizes, points = np.array([len(x) for x in hashed]), np.array([point(x, 64) for x in hashed])
-        root, shared = {c: c for c in comps}, [set(x) for x in group.column("keys").to_pylist()]
-        block = group.column("key")[0].as_py()
-
-        def find(c):
-            while root[c] != c:
-                root[c] = c = root[root[c]]
-            return c
-
-        def own(x):
-            if x not in sets:
-                sets[x] = shingles(texts[x], k)
-            return sets[x]
-
-        for x, ys in pairs_to_test(comps, np.array(part), group.column("i")[0].as_py(), group.column("j")[0].as_py()):
-            if points is not None:
-                ys = ys[np.minimum(points[ys], points[x]).sum(1) >= Classes(num, den).need(sizes[x], sizes[ys])]
-            for y in ys.tolist():
-                if min(shared[x] & shared[y]) != block:  # they meet in another block too, and are compared there
-                    continue
-                if (p := find(comps[x])) != (q := find(comps[y])) and den * len(own(x)) >= num * len(own(y)) and den * len(own(y)) >= num * len(own(x)) and alike(own(x), own(y), num, den):
-                    root[max(p, q)] = min(p, q)
-                    a.append(ids[x])
-                    b.append(ids[y])
-        return a, b
-
-    known = components(links)
-    open_ = open_blocks(in_block, known, most).join(likely.select(F.col("id").alias("_a"), "text", "keys"), F.col("id") == F.col("_a"))
-    more = saved(search_blocks(open_, search, "a binary, b binary"), "found")
-    return firsts, components(links.unionAll(more)) if more.limit(1).count() else known
-
-
-def duplicate_lines(docs: DataFrame, *, k: int = 8, bands: int = 12, rows: int = 4, threshold: tuple[int, int] = (80, 100), chunk_chars: int = 8_000_000, most: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, n_lines (with a word) and removed (numbers of lines that go) of each document with lines; a null id is the largest long."""
+def duplicate_lines(docs: DataFrame, *, k: int = PROSE, bands: int = 26, rows: int = 7, threshold: tuple[int, int] = (80, 100), chunk_chars: int = 8_000_000, most: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, doc and th (what names the document: see `known_docs`), n_lines (with a word) and removed (numbers of lines that go) of
+    each row."""
     firsts, of = line_components(docs, k=k, bands=bands, rows=rows, threshold=threshold, chunk_chars=chunk_chars, most=most, id_col=id_col, text_col=text_col)
     of = of.unionAll(of.select("component", "component").distinct())  # and the least of each
     of = of.select(F.col("id").alias("_id"), "component")
-    # (doc, line) as one number that aggregates by hash
-    place = (F.col("doc").cast("decimal(38,0)") * F.lit(2**31).cast("decimal(11,0)") + F.col("line")).cast("decimal(38,0)")
-    told = firsts.join(of, firsts.id == of["_id"], "left").where(F.col("component").isNotNull() | (F.col("n") > 1)).select("id", F.coalesce("component", "id").alias("component"), place.alias("at"))
+    told = firsts.join(of, firsts.id == of["_id"], "left").where(F.col("component").isNotNull() | (F.col("n") > 1)).select("id", F.coalesce("component", "id").alias("component"), "at")
     best = told.groupBy("component").agg(F.min("at").alias("kept")).withColumnRenamed("component", "_c")
     stays = told.join(best, told.component == best["_c"]).select(F.col("id").alias("_id"), "kept")
-    each = occurrences(docs, id_col, text_col)
-    if docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("__ls_n")).where("__ls_n > 1").limit(1).count():  # ids that repeat give their lines once
-        each = each.distinct()
-    each = saved(each, "occurrences")
-    gone = each.join(stays, each.id == stays["_id"]).where(place != F.col("kept"))  # lines that are alone stay
-    removed = gone.groupBy(F.col("doc").alias("_doc")).agg(F.sort_array(F.collect_list("line")).alias("removed"))
-    counts = each.groupBy("doc").agg(F.count(F.lit(1)).alias("n_lines"))
-    return counts.join(removed, counts.doc == removed["_doc"], "left").select("doc", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    rows_ = saved(occurrences(docs, id_col, text_col), "occurrences")
+    each = rows_.select("doc", "th", F.explode(F.arrays_zip("lines", "ids")).alias("x")).select("doc", "th", F.col("x.lines").alias("line"), F.col("x.ids").alias("id"))
+    gone = each.join(stays, each.id == stays["_id"]).where(place(F.col("doc"), F.col("line"), F.col("th")) != F.col("kept"))  # lines that are alone stay
+    removed = gone.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    out = rows_.select("doc_id", "doc", "th", F.size("lines").alias("n_lines")).join(removed, (F.col("doc") == F.col("_doc")) & (F.col("th") == F.col("_th")), "left")
+    return out.select("doc_id", "doc", "th", F.col("n_lines").cast("long").alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with n_lines and n_removed, their text without the removed lines. Columns of these names are replaced."""
     docs = docs.drop(*({"n_lines", "n_removed"} - {id_col, text_col}))
-    told = duplicate_lines(docs, id_col=id_col, text_col=text_col, **options).withColumnsRenamed({"doc": "__ls_doc", "n_lines": "__ls_n", "removed": "__ls_removed"})
-    joined = docs.join(told, F.coalesce(docs[id_col].cast("long"), F.lit(_LATE)) == told["__ls_doc"], "left")
+    told = duplicate_lines(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc").alias("__ls_doc"), F.col("th").alias("__ls_th"), F.col("n_lines").alias("__ls_n"), F.col("removed").alias("__ls_removed"))
+    told = told.where(F.col("__ls_n") > 0).distinct()  # rows that repeat id and text have the same lines
+    named = (F.coalesce(docs[id_col].cast("long"), F.lit(_LATE)) == told["__ls_doc"]) & (F.xxhash64(docs[text_col]) == told["__ls_th"])
+    joined = docs.join(told, named, "left")
     lines = F.split(F.col(text_col), "\n", -1)
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__ls_removed", i)), "\n")
     text = F.when(F.size("__ls_removed") > 0, left).otherwise(F.col(text_col))

@@ -5,9 +5,10 @@ points' coordinates bound their overlap from above; an R-tree's node bounds it f
 
 A single tree cannot be spread over tasks, since in so many dimensions every large node's box meets every query.
 So groups also route documents to small blocks: sizes fall in classes of ratio `1 / threshold`, and two sets that link
-differ in at most k elements, k known for a class. With the elements hashed to more than k groups, some group is the same in both; its
-content is a block's key. With a few more groups linked sets share several keys. Blocks lose no link (documents with many empty
-groups give the empty ones too).
+differ in at most k elements, k known for a class. With elements in more than k groups, some group is the same in both; its
+content is a block's key, and with a few more, linked sets share several keys. There are as many groups as leave sets of the class
+enough of them that are not empty, so that sets with nothing in common meet nowhere. Blocks lose no link: a set with too many
+empty groups, which is about one in millions, gives the empty ones too.
 
 1. Documents are dealt to chunks of bounded size. Each chunk sketches its keys (see `substring`: a merged count-min
    sketch finds those used in several places); documents with such a key give their set, point and keys.
@@ -39,8 +40,8 @@ _LATE = np.iinfo(np.int64).max
 GROUPS, FILL = 256, 8
 #: Ids of pairs (8 bytes each) that are broadcast at most; beyond, all sets are shuffled.
 BROADCAST_IDS = 200_000
-#: Linked sets have at least SHARED keys in common; groups beyond those that this needs, so that few documents have to give empty ones.
-SHARED, SPARE = 3, 4
+#: Linked sets have at least SHARED keys in common; standard deviations by which groups that are not empty may be fewer than expected.
+SHARED, SPARE = 3, 5.0
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -62,7 +63,7 @@ class Classes:
     """Classes of set sizes, and how many elements two linked sets may differ in. A link: den * overlap >= num * union."""
 
     def __init__(self, num: int, den: int):
-        self.num, self.den, self.lows = num, den, [1]
+        self.num, self.den, self.lows, self.dealt = num, den, [1], {}
 
     def of(self, n: int) -> int:
         while self.lows[-1] <= n:
@@ -74,6 +75,28 @@ class Classes:
         top = self.den * self.lows[c] // self.num
         return (top + self.den * top // self.num) * (self.den - self.num) // (self.den + self.num)
 
+    def groups(self, c: int) -> tuple[int, int]:
+        """How many groups sets of class c are hashed to, and how many of two linked sets' groups are the same and not empty at least.
+
+        The least number of groups with which a set of the class's least size fills enough but for SPARE standard deviations.
+        """
+        if c not in self.dealt:
+            n, k = self.lows[c], self.differ(c)
+            for shared in range(SHARED, 0, -1):
+                m = k + shared
+                while m < 64 * n and self.filled(n, m) < k + shared:
+                    m += 1 + m // 200
+                self.dealt[c] = m, shared
+                if m < 64 * n:
+                    break
+        return self.dealt[c]
+
+    @staticmethod
+    def filled(n: int, m: int) -> float:
+        """Groups of m that n elements fill, at least but for SPARE standard deviations."""
+        empty, two = m * (1 - 1 / m) ** n, m * (m - 1) * (1 - 2 / m) ** n if m > 1 else 0.0
+        return m - empty - SPARE * max(0.0, two + empty - empty * empty) ** 0.5
+
     def need(self, a, b):
         """The least overlap of linked sets of sizes a and b."""
         return -(-self.num * (a + b) // (self.den + self.num))
@@ -86,17 +109,17 @@ def block_keys(s: np.ndarray, classes: Classes) -> np.ndarray:
     for scheme in (c, c - 1):
         if scheme < 0 or not (k := classes.differ(scheme)):
             continue  # sets that may not differ are equal, and equal sets are one
-        m = k + SHARED + SPARE  # SHARED + SPARE of them at least are the same in two linked sets
+        m, shared = classes.groups(scheme)
         group = (place % _U(m)).astype(np.int64)
         order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(m))
-        size = np.bincount(group, minlength=m)
-        full = np.flatnonzero(size)
-        sums = np.add.reduceat(content[order], cuts[full])
+        cuts = np.flatnonzero(np.diff(group[order], prepend=-1))
+        full = group[order][cuts]
+        sums, size = np.add.reduceat(content[order], cuts), np.diff(cuts, append=len(s))
         salt = _U(scheme) << _U(32)
-        out.append(mix(sums ^ mix(full.astype(_U) + salt)) + size[full].astype(_U))
-        if m - len(full) > SPARE:
-            out.append(mix(mix(np.flatnonzero(size == 0).astype(_U) + salt)))
+        keys = mix(sums ^ mix(full.astype(_U) + salt)) + size.astype(_U)
+        if len(full) < k + shared:
+            keys = np.append(keys, mix(mix(np.setdiff1d(np.arange(m), full).astype(_U) + salt)))
+        out += [keys, *(mix(keys + _U(r)) for r in range(1, -(-SHARED // shared)))]  # as many keys in common as SHARED
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
@@ -141,7 +164,7 @@ class RTree:
         return self.order[at]
 
 
-def jaccard_links(docs: DataFrame, *, width: int = 3, threshold: tuple[int, int] = (90, 100), chunk_chars: int = 8_000_000, most: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_links(docs: DataFrame, *, width: int = 3, threshold: tuple[int, int] = (90, 100), chunk_chars: int = 8_000_000, most: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of each row. threshold: a link is den * overlap >= num * union.
 
     most: points in an R-tree of the second round; larger blocks are searched in parts.
@@ -208,7 +231,7 @@ def jaccard_links(docs: DataFrame, *, width: int = 3, threshold: tuple[int, int]
     rest = search_open(in_block, known, reps, threshold, most)
     more = saved(verify(rest, reps, sets, threshold), "found")
     if more.limit(1).count():
-        known = components(links.unionAll(more))
+        known = components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))  # a component is a star
     of = known.select(F.col("id").alias("_rep"), "component")
     known = least.join(of, F.col("rep") == F.col("_rep"), "left").select("id", F.coalesce("component", "rep").alias("component"))
     if least.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count():  # ids with several sets join what these join
@@ -254,11 +277,11 @@ def search_open(in_block: DataFrame, known: DataFrame, reps: DataFrame, threshol
     num, den = threshold
 
     def search(group):
-        part, comps, ids, sizes = (group.column(c).to_numpy() for c in ("part", "component", "id", "n"))
+        ids, sizes = (group.column(c).to_numpy() for c in ("id", "n"))
         whole, classes, a, b = [np.frombuffer(p.as_buffer(), "<i4") for p in group.column("p")], Classes(num, den), [], []
         points = np.array([folded(p, GROUPS) for p in whole])
         tree = RTree(points, sizes)
-        for x, ys in pairs_to_test(comps.tolist(), part, group.column("i")[0].as_py(), group.column("j")[0].as_py()):
+        for x, ys in pairs_to_test(group):
             hit = np.intersect1d(tree.search(points[x], int(sizes[x]), classes), ys, assume_unique=True)
             hit = np.array([y for y in hit.tolist() if overlap_bound(whole[x], whole[y]) >= classes.need(int(sizes[x]), int(sizes[y]))], np.int64)
             a += [int(ids[x])] * len(hit)

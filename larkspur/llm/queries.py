@@ -33,7 +33,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.duplicate_lines(docs, k=lines.PROSE).select(F.col("doc").alias("doc_id"), "n_lines", F.size("removed").alias("n_removed"), "removed")
+    return lines.duplicate_lines(docs).select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

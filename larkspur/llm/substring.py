@@ -94,10 +94,10 @@ class Sketch:
             segment = ((x >> _U(32)) * _U(self.segments)) >> _U(32)
             cell = (((x * _U(_TURN[0])) >> _U(11)) % _U(self.size)).astype(np.int64)
             order = np.argsort(segment.astype(np.uint32), kind="stable")
-            cuts = np.searchsorted(segment[order], np.arange(self.segments + 1))
-            for s in range(self.segments):
-                at = order[cuts[s] : cuts[s + 1]]
-                yield row * self.segments + s, at, cell[at]
+            cuts = np.flatnonzero(np.diff(segment[order].astype(np.int64), prepend=-1, append=-1)) if len(h) else []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):  # segments that have hashes
+                at = order[lo:hi]
+                yield row * self.segments + int(segment[at[0]]), at, cell[at]
 
     def cells(self, h: np.ndarray, text: np.ndarray):
         """For each row and segment: its number, the sorted cells that are used, if by several texts, which windows, each's place among the cells."""

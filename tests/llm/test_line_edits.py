@@ -32,12 +32,12 @@ def test_equal_sets_share_all_bands():
     like = [("-" * 60, "-" * 100), ("=" * 70, "=" * 5000), ("ab" * 35, "ab" * 300), ("- * + " * 12, "- * + " * 40)]
     for x, y in like:
         for k in (5, 8):
-            line, key = L.band_keys([x, "some other line", y], k, 12, 4)
+            line, key = L.band_keys([x, "some other line", y], k, 26, 7)
             assert L.shingles(x, k) == L.shingles(y, k) and set(key[line == 0].tolist()) == set(key[line == 2].tolist())
 
 
 def test_separators_and_periodic_lines(spark):
     docs = list(enumerate(["-" * 60, "-" * 100, "ab" * 35, "ab" * 90, "- * + " * 12, "- * + " * 40, "a line of its own"]))
     for k in (5, 8):
-        got = {r.doc: (r.n_lines, r.removed) for r in L.duplicate_lines(spark.createDataFrame(docs, "doc_id long, text string"), k=k).collect()}
+        got = {r.doc_id: (r.n_lines, r.removed) for r in L.duplicate_lines(spark.createDataFrame(docs, "doc_id long, text string"), k=k).collect()}
         assert got == brute(docs, k) and sum(len(gone) for _, gone in got.values()) == 3

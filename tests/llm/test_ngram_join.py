@@ -150,3 +150,12 @@ def test_query_against_brute_force(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(map(tuple, __spark_entry__.queries()["op5_ngram_join"](spark, d).collect()))
     assert got == brute(docs)
+
+
+@pytest.mark.parametrize("num", [80, 90])
+def test_unlike_sets_share_no_block(num):
+    """Nothing in common, no key in common: blocks don't grow with the corpus."""
+    rng, classes = np.random.RandomState(num), J.Classes(num, 100)
+    for n, sets in ((6, 3000), (15, 2000), (100, 1000), (1000, 400)):
+        keys = np.concatenate([np.unique(J.block_keys(np.unique(rng.randint(0, 2**62, n).astype(np.uint64)), classes)) for _ in range(sets)])
+        assert len(np.unique(keys)) == len(keys), n
