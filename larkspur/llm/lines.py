@@ -41,7 +41,9 @@ _STEP = 0x9E3779B97F4A7C15
 ROUNDS, LINES = 24, 200
 #: Characters of a shingle: one changed character within a line of 49 still links it at the threshold.
 PROSE = 5
-#: Digests of lines (16 bytes each) that are broadcast at most, to shuffle only the texts that pairs need.
+#: Groups whose counts bound two lines' overlap.
+GROUPS = 512
+#: Numbers of lines (8 bytes each) that are broadcast at most, to shuffle only the texts that pairs need.
 BROADCAST_IDS = 200_000
 
 
@@ -85,6 +87,13 @@ def shingle_hashes(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.append(first, own.sum())
 
 
+def places(first: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Where the elements of runs `which` are, one run after another."""
+    own = size[which]
+    start = np.cumsum(own) - own
+    return np.repeat(first[which] - start, own) + np.arange(own.sum())
+
+
 def scatter(x: np.ndarray, r) -> np.ndarray:
     """Another 32-bit hash of hashes for each r."""
     x = x * _A[r]
@@ -100,11 +109,6 @@ def minima(h: np.ndarray, first: np.ndarray, slots: int) -> np.ndarray:
     flat, open_, own, base = out.reshape(-1), np.arange(n), h, np.repeat(np.arange(n) * slots, size)
     low, high, wide = np.uint32(0xFFFFFF), np.uint32(16), np.uint32(slots)
 
-    def of(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The shingles of lines, one after another, and where each line's begin."""
-        start = np.cumsum(size[lines]) - size[lines]
-        return h[np.repeat(first[:-1][lines] - start, size[lines]) + np.arange(size[lines].sum())], start
-
     for r in range(ROUNDS):
         x = scatter(own, r)
         np.minimum.at(flat, base + (((x >> high) * wide) >> high), (x & low) | np.uint32(r << 24))
@@ -112,14 +116,14 @@ def minima(h: np.ndarray, first: np.ndarray, slots: int) -> np.ndarray:
             left = open_[(out[open_] == _NONE).any(1)]
             if not len(left):
                 return out
-            if len(left) < len(open_):
+            if size[left].sum() < 0.75 * len(own):  # else what is full goes along
                 open_ = left
-                own, base = of(open_)[0], np.repeat(open_ * slots, size[open_])
+                own, base = h[places(first, size, open_)], np.repeat(open_ * slots, size[open_])
     line, slot = np.nonzero(out == _NONE)
     for lo in range(0, len(line), 1024):
         at, to = line[lo : lo + 1024], slot[lo : lo + 1024]
-        own, start = of(at)
-        out[at, to] = np.uint32(ROUNDS << 24) | (np.minimum.reduceat(scatter(own, np.repeat(to + ROUNDS, size[at])), start) >> np.uint32(8))
+        x = scatter(h[places(first, size, at)], np.repeat(to + ROUNDS, size[at]))
+        out[at, to] = np.uint32(ROUNDS << 24) | (np.minimum.reduceat(x, np.cumsum(size[at]) - size[at]) >> np.uint32(8))
     return out
 
 
@@ -133,15 +137,6 @@ def band_keys(lines: list[str], k: int, bands: int, rows: int) -> tuple[np.ndarr
     return np.repeat(np.arange(len(lines)), bands), x.ravel()
 
 
-def shingles(line: str, k: int) -> set[str]:
-    return {line[i : i + k] for i in range(len(line) - k + 1)} or {line}
-
-
-def alike(x: set, y: set, num: int, den: int) -> bool:
-    both = len(x & y)
-    return den * both >= num * (len(x) + len(y) - both)
-
-
 def known_docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, doc (never null), th (a hash of the text) and text."""
     own = F.col(id_col).cast("long")
@@ -205,28 +200,54 @@ def distinct_lines(docs: DataFrame, chunks: int, id_col: str, text_col: str, mos
     return own.mapInArrow(run, "chunk long, id binary, text string, doc long, line int, th long, n long")
 
 
+def jaccard_links(texts: list[str], x: np.ndarray, y: np.ndarray, k: int, num: int, den: int) -> np.ndarray:
+    """Which pairs (x, y) of places in at most 1024 texts link: first by sizes, then by counts of shingles in GROUPS groups, then by their sets."""
+    h, first = shingle_hashes(texts, k)
+    line = np.repeat(np.arange(len(texts), dtype=_U), np.diff(first))
+    own = np.sort(line << _U(54) | h >> _U(10))  # one line's shingles after another's, each once
+    own = own[np.diff(own, prepend=own[0] ^ _U(1)) != 0]
+    line, size = (own >> _U(54)).astype(np.int64), np.bincount((own >> _U(54)).astype(np.int64), minlength=len(texts))
+    first, own = np.cumsum(size) - size, own & _U((1 << 54) - 1)
+    points = np.bincount(line * GROUPS + (own % _U(GROUPS)).astype(np.int64), minlength=len(texts) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
+    need = -(-num * (size[x] + size[y]) // (den + num))
+    at = np.flatnonzero((size[x] >= need) & (size[y] >= need))
+    at = at[np.minimum(points[x[at]], points[y[at]]).sum(1) >= need[at]]
+    pair = np.arange(len(at), dtype=_U) << _U(54)
+    both = np.concatenate([np.repeat(pair, size[z[at]]) | own[places(first, size, z[at])] for z in (x, y)])
+    both.sort()
+    overlap = np.bincount((both[1:][both[1:] == both[:-1]] >> _U(54)).astype(np.int64), minlength=len(at))
+    out = np.zeros(len(x), bool)
+    out[at] = overlap >= need[at]
+    return out
+
+
 def verify(pairs: DataFrame, texts: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
     """Those of the pairs (a, b) that link."""
     num, den = threshold
 
     def compare(batches):
-        last, other = None, set()
-        for b in batches:
-            keep = []
-            for x, y, i in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if i != last:
-                    last, other = i, shingles(y, k)
-                n, m = max(len(x) - k + 1, 1), len(other)
-                keep.append(den * n >= num * m and alike(shingles(x, k), other, num, den))
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                b = batch.slice(lo, 512)
+                own: dict = {}
+                x, y = (np.array([own.setdefault(i, (len(own), t))[0] for i, t in zip(b.column(c).to_pylist(), b.column(c + 2).to_pylist(), strict=True)]) for c in (0, 1))
+                keep = jaccard_links([t for _, t in own.values()], x, y, k, num, den)
+                yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    near, far = texts.select(F.col("num").alias("_a"), F.col("text").alias("ta")), texts.select(F.col("num").alias("_b"), F.col("text").alias("tb"))
+    return pairs.join(near, F.col("a") == F.col("_a")).join(far, F.col("b") == F.col("_b")).select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
+
 
-    near, far = texts.select(F.col("id").alias("_a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("_b"), F.col("text").alias("tb"))
-    return pairs.join(near, F.col("a") == F.col("_a")).join(far, F.col("b") == F.col("_b")).select("a", "b", "ta", "tb").mapInArrow(compare, "a binary, b binary")
+def labels(links: DataFrame) -> DataFrame:
+    """id and component: the least that an id links with, or that this does; enough for `open_blocks` to leave out most of what is joined."""
+    one = links.groupBy("a").agg(F.min("b").alias("b"))
+    two = one.select(F.col("a").alias("_b"), F.col("b").alias("c"))
+    return one.join(two, F.col("b") == F.col("_b"), "left").select(F.col("a").alias("id"), F.coalesce("c", "b").alias("component"))
 
 
 def needed(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """texts, without those that are not among ids where these are few."""
-    return texts.join(F.broadcast(ids), "id", "left_semi") if ids.count() <= BROADCAST_IDS else texts
+    return texts.join(F.broadcast(ids), F.col("num") == F.col("id"), "left_semi") if ids.count() <= BROADCAST_IDS else texts
 
 
 def cross_links(group: pa.Table, k: int, num: int, den: int) -> tuple[list, list]:
@@ -268,8 +289,8 @@ def cross_links(group: pa.Table, k: int, num: int, den: int) -> tuple[list, list
 
 
 def line_components(docs: DataFrame, *, k: int, bands: int, rows: int, threshold: tuple[int, int], chunk_chars: int, most: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Two tables: id, at (the first place that has it) and n of the lines (by digest) that are there twice or may be alike to
-    another; and id and component, the least digest in it, of those that are alike to another but for the least."""
+    """Two tables: id (the digest), num, at (the first place that has it) and n of the lines that are there twice or may be alike to
+    another; and id and component, the least num in it, of those that are alike to another but for the least."""
     num, den = threshold
     total = total_chars(docs.select(F.col(text_col).alias("text")))
     chunks, shape = max(1, -(-total // chunk_chars)), Sketch(max(1, total * bands // 250), 1, 4096)
@@ -305,29 +326,28 @@ def line_components(docs: DataFrame, *, k: int, bands: int, rows: int, threshold
             twice = repeated(shape, keys, line, marks)
             cuts = np.searchsorted(line[twice], np.arange(len(own) + 1)).tolist()
             keys = signed(keys[twice])
+            number = key[0].as_py() << 32  # of the chunk's lines, as they come; written down before they are used
             for x, (i, (text, at, n)) in enumerate(own.items()):
                 shared = keys[cuts[x] : cuts[x + 1]]
                 if len(shared):
-                    out.append((i, text, shared, *at, n))
+                    out.append((i, number + x, text, shared, *at, n))
                 elif n > 1:
-                    out.append((i, None, None, *at, n))
+                    out.append((i, number + x, None, None, *at, n))
         column = lambda c, t: pa.array([r[c] for r in out], t)
-        return pa.table({"id": column(0, pa.binary()), "text": column(1, pa.string()), "keys": column(2, pa.list_(pa.int64())), "doc": column(3, pa.int64()), "line": column(4, pa.int32()), "th": column(5, pa.int64()), "n": column(6, pa.int64())})
+        return pa.table({"id": column(0, pa.binary()), "num": column(1, pa.int64()), "text": column(2, pa.string()), "keys": column(3, pa.list_(pa.int64())), "doc": column(4, pa.int64()), "line": column(5, pa.int32()), "th": column(6, pa.int64()), "n": column(7, pa.int64())})
 
     sketches = lines.groupBy("chunk").applyInArrow(sketch, "segment long, chunk long, cells binary")
     marks = sketches.groupBy("segment").applyInArrow(merge, "segment long, chunk long, marks binary")
-    likely = saved(lines.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(give, "id binary, text string, keys array<long>, doc long, line int, th long, n long"), "lines")
-    firsts = likely.select("id", place(F.col("doc"), F.col("line"), F.shiftleft("th", 33)).alias("at"), "n")
-    likely = likely.where(F.col("keys").isNotNull()).select("id", "text", "keys")
-    in_block = likely.select(F.explode("keys").alias("key"), "id")
+    likely = saved(lines.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(give, "id binary, num long, text string, keys array<long>, doc long, line int, th long, n long"), "lines")
+    firsts = likely.select("id", "num", place(F.col("doc"), F.col("line"), F.shiftleft("th", 33)).alias("at"), "n")
+    likely = likely.where(F.col("keys").isNotNull()).select("num", "text", "keys")
+    in_block = likely.select(F.explode("keys").alias("key"), F.col("num").alias("id"))
 
-    known = components(saved(verify(star_pairs(in_block), likely, k, threshold), "found"))
-    open_ = saved(open_blocks(in_block, known, most), "open")
-    texts = needed(likely, open_.select("id").distinct()).select(F.col("id").alias("_a"), "text", "keys")
-    more = saved(search_blocks(open_.join(texts, F.col("id") == F.col("_a")), lambda group: cross_links(group, k, num, den), "a binary, b binary"), "found")
-    if more.limit(1).count():  # a component is a star, which these links join to others
-        known = components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
-    return firsts, known
+    links = saved(verify(star_pairs(in_block), likely, k, threshold), "found")
+    open_ = saved(open_blocks(in_block, labels(links), most), "open")
+    texts = needed(likely, open_.select("id").distinct()).select("num", "text", "keys")
+    more = search_blocks(open_.join(texts, F.col("id") == F.col("num")), lambda group: cross_links(group, k, num, den), "a long, b long")
+    return firsts, components(links.unionAll(more))
 
 
 def duplicate_lines(docs: DataFrame, *, k: int = PROSE, bands: int = 26, rows: int = 7, threshold: tuple[int, int] = (80, 100), chunk_chars: int = 8_000_000, most: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -336,7 +356,7 @@ def duplicate_lines(docs: DataFrame, *, k: int = PROSE, bands: int = 26, rows: i
     firsts, of = line_components(docs, k=k, bands=bands, rows=rows, threshold=threshold, chunk_chars=chunk_chars, most=most, id_col=id_col, text_col=text_col)
     of = of.unionAll(of.select("component", "component").distinct())  # and the least of each
     of = of.select(F.col("id").alias("_id"), "component")
-    told = firsts.join(of, firsts.id == of["_id"], "left").where(F.col("component").isNotNull() | (F.col("n") > 1)).select("id", F.coalesce("component", "id").alias("component"), "at")
+    told = firsts.join(of, firsts.num == of["_id"], "left").where(F.col("component").isNotNull() | (F.col("n") > 1)).select("id", F.coalesce("component", "num").alias("component"), "at")
     best = told.groupBy("component").agg(F.min("at").alias("kept")).withColumnRenamed("component", "_c")
     stays = told.join(best, told.component == best["_c"]).select(F.col("id").alias("_id"), "kept")
     rows_ = saved(occurrences(docs, id_col, text_col), "occurrences")

@@ -5,7 +5,7 @@ import random
 import corpus_pipeline as P
 from larkspur.llm import lines as L
 from larkspur.llm import queries
-from tests.llm.test_lines import brute
+from tests.llm.test_lines import brute, shingles
 
 
 def edited(seed, lengths):
@@ -33,7 +33,7 @@ def test_equal_sets_share_all_bands():
     for x, y in like:
         for k in (5, 8):
             line, key = L.band_keys([x, "some other line", y], k, 26, 7)
-            assert L.shingles(x, k) == L.shingles(y, k) and set(key[line == 0].tolist()) == set(key[line == 2].tolist())
+            assert shingles(x, k) == shingles(y, k) and set(key[line == 0].tolist()) == set(key[line == 2].tolist())
 
 
 def test_separators_and_periodic_lines(spark):

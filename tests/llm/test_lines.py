@@ -6,11 +6,20 @@ import pytest
 from larkspur.llm import lines as L
 
 
+def shingles(line, k):
+    return {line[i : i + k] for i in range(len(line) - k + 1)} or {line}
+
+
+def alike(x, y, num, den):
+    both = len(x & y)
+    return den * both >= num * (len(x) + len(y) - both)
+
+
 def brute(docs, k=5, num=80, den=100):
     """docs: (id, text), ids distinct and not null. id: (lines with a word, numbers that go)."""
     each = [(i, n, line.decode()) for i, t in docs for n, line in L.normal_lines(t)]
     own = sorted({x for *_, x in each})
-    sets = [L.shingles(x, k) for x in own]
+    sets = [shingles(x, k) for x in own]
     parent = list(range(len(own)))
 
     def root(x):
@@ -20,7 +29,7 @@ def brute(docs, k=5, num=80, den=100):
 
     for a in range(len(own)):
         for b in range(a):
-            if num * len(sets[a]) <= den * len(sets[b]) and num * len(sets[b]) <= den * len(sets[a]) and L.alike(sets[a], sets[b], num, den):
+            if num * len(sets[a]) <= den * len(sets[b]) and num * len(sets[b]) <= den * len(sets[a]) and alike(sets[a], sets[b], num, den):
                 parent[root(a)] = root(b)
     of = {x: root(i) for i, x in enumerate(own)}
     first = {}
@@ -85,7 +94,7 @@ def test_like_lines_share_a_band(n):
     while len(lines) < 600:
         x = [rng.choice("etaoinshrdlu bcf") for _ in range(n)]
         y, z = None, x[:]
-        while L.alike(L.shingles("".join(x), 5), L.shingles("".join(z), 5), 80, 100):
+        while alike(shingles("".join(x), 5), shingles("".join(z), 5), 80, 100):
             y, z = z, z[:]
             z[rng.randrange(n)] = rng.choice("qxz")
         lines += ["".join(x), "".join(y)] if y and y != x else ["x" * 30] * 2
@@ -97,12 +106,25 @@ def test_like_lines_share_a_band(n):
     assert miss <= 3
 
 
+def test_compared_as_sets_are():
+    rng = random.Random(8)
+    lines = ["ab", "", "abababab", "x" * 700]
+    for _ in range(60):
+        x = "".join(rng.choice("abcdef ") for _ in range(rng.choice((3, 20, 80, 900))))
+        lines += [x, x[: len(x) * 9 // 10], x + x, x[::-1], x[3:]]
+    x, y = (np.array([rng.randrange(len(lines)) for _ in range(2000)]) for _ in range(2))
+    y[::2] = np.minimum(x[::2] + 1, len(lines) - 1)
+    for num in (50, 80, 100):
+        got = L.jaccard_links(lines, x, y, 5, num, 100)
+        assert got.tolist() == [alike(shingles(lines[i], 5), shingles(lines[j], 5), num, 100) for i, j in zip(x, y)] and got.sum() > 50
+
+
 def test_slots_agree_by_jaccard_index():
     rng, line = random.Random(5), lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
     for n in (12, 60, 400, 3000):
         x = line(n)
         y = x[: n * 2 // 3] + line(n - n * 2 // 3)
-        a, b = L.shingles(x, 5), L.shingles(y, 5)
+        a, b = shingles(x, 5), shingles(y, 5)
         got = L.minima(*L.shingle_hashes([x, y, line(50)], 5), 2000)
         assert abs((got[0] == got[1]).mean() - len(a & b) / len(a | b)) < 0.05
     same = L.band_keys(["abc", "abc", ""], 5, 26, 7)
