@@ -4,14 +4,15 @@ Windows have one of several context sizes (tiers). A document gives as many whol
 size as it fills; what remains is routed to the smallest tier that holds it. Each tier is packed from the
 longest down: a remainder opens a window of its tier, the window's gap takes the longest remainders of this or a
 shorter tier that fit, and when none fits one is cut to close the gap. Windows of a tier are dealt to step groups of equal
-token counts. Only the last window of a pool can be short; it is cut into tier sizes, and what is then left
-is padded.
+token counts; a group's number is its partition's alone, and a partition's last group of a tier is the only one that can be short.
+Only the last window of a pool can be short; it is cut into tier sizes, and what is then left is padded.
 
 Pools follow the partitions of the input: no shuffle, and a lost task packs the same rows again. A pool
 holds at most `pool_tokens` ids.
 
 Nulls: a null text is empty (one piece, the end id); a null doc_id is carried. Repeated rows are packed
-each. An empty table gives no rows. Extra columns are ignored.
+each. Remainders of equal length go by their order in the partition. A very long text is encoded whole, in one task's memory.
+An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ class Encoder:
 
     The file's merges are numbered as its ids are, so the quicker rank encoder over the same vocabulary and
     pattern gives the same ids. Texts with characters on whose classes the two libraries' tables may
-    differ go to the tokenizer itself.
+    differ go to the tokenizer itself, and so do those with runs of one kind too long for the other's regular expressions.
     """
 
     #: The pattern of byte-level BPE vocabularies of this kind. Fixed value.
@@ -50,6 +51,7 @@ class Encoder:
         ranks = {bytes(byte[c] for c in piece): i for piece, i in ids.items() if all(c in byte for c in piece)}
         self.ranked = tiktoken.Encoding(path, pat_str=self.PARTS, mergeable_ranks=ranks, special_tokens={})
         self.plain = re.compile("[\n\r\t\x20-\x7e\xa1-\u017f\u0391-\u03a1\u03a3-\u03a9\u03b1-\u03c9\u0410-\u044f\u2018-\u201d\u4e00-\u9fa5\u3041-\u3096\u30a1-\u30fa]*").fullmatch
+        self.run = re.compile(r"\s{4096}|\S{65536}").search
         self.path, self.tokenizer = path, None
 
     def exact(self, text: str) -> np.ndarray:
@@ -61,23 +63,25 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def __call__(self, text: str) -> bytes:
-        ids = self.ranked.encode_to_numpy(text) if self.plain(text) else self.exact(text)
+        quick = self.plain(text) and not self.run(text)
+        ids = self.ranked.encode_to_numpy(text) if quick else self.exact(text)
         return ids.astype("<u4", copy=False).tobytes()
 
 
 class Pool:
     """Packs one pool of remainders; pieces come out as rows of SCHEMA."""
 
-    def __init__(self, tiers: list[int], step_tokens: int, first_sequence: int):
-        self.tiers, self.step_tokens = tiers, step_tokens
-        self.sequence, self.dealt = first_sequence, dict.fromkeys(tiers, 0)
+    def __init__(self, tiers: list[int], step_tokens: int, first: int):
+        """first: of the pool's sequences and step groups."""
+        self.tiers, self.step_tokens, self.first = tiers, step_tokens, first
+        self.sequence, self.dealt = first, dict.fromkeys(tiers, 0)
         self.items: dict[int, list] = {t: [] for t in tiers}  # by tier: (length, order, doc_id, start, ids, doc_tokens)
         self.rows: list[tuple] = []
         self.order = self.held = 0
 
     def window(self, tier: int, pieces: list[tuple]) -> None:
         """pieces: (length, order, doc_id, start, ids, doc_tokens), in their order in the window."""
-        group, at = self.dealt[tier] // max(1, self.step_tokens // tier), 0
+        group, at = self.first + self.dealt[tier] // max(1, self.step_tokens // tier), 0
         self.dealt[tier] += 1
         for length, _, doc, start, ids, total in pieces:
             self.rows.append((doc, start, length, zlib.crc32(ids), total, self.sequence, at, tier, group))

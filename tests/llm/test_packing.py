@@ -65,6 +65,27 @@ def test_step_groups_hold_equal_tokens(spark):
     assert all(n == 4096 for (t, g), n in group.items() if g < last[t])
 
 
+def test_step_groups_are_a_partitions_own(spark):
+    docs = [(i, "word " * (37 * i % 900)) for i in range(240)]
+    rows = pack_documents(spark.createDataFrame([(*d, "x") for d in docs], SCHEMA).repartition(4), vocabulary(), step_tokens=4096).collect()
+    group, parts = defaultdict(int), defaultdict(set)
+    for r in rows:
+        group[r.tier, r.step_group] += r.length
+        parts[r.tier, r.step_group].add(r.sequence_id >> 36)
+    assert all(len(p) == 1 for p in parts.values()) and len(set().union(*parts.values())) == 4
+    short = defaultdict(int)
+    for (t, g), n in group.items():
+        assert n <= 4096
+        short[t, g >> 36] += n < 4096
+    assert max(short.values()) <= 1
+
+
+def test_long_runs(spark):
+    """Runs beyond what regular expressions take at once."""
+    docs = [(1, " " * 1_000_000 + "a"), (2, "\n" * 1_000_000), (3, "ab" * 500_000), (4, "a" + " \n" * 300_000 + "b"), (5, "-" * 200_000), (6, "é" * 100_000 + "\t" * 5000)]
+    assert check(pack_documents(spark.createDataFrame([(*d, "x") for d in docs], SCHEMA).repartition(3), vocabulary()).collect(), docs) <= 3
+
+
 def test_empty_and_nulls(spark):
     assert pack_documents(spark.createDataFrame([], SCHEMA), vocabulary()).collect() == []
     rows = pack_documents(spark.createDataFrame([(None, "a b", "x"), (5, None, None), (5, None, None)], SCHEMA).coalesce(1), vocabulary()).collect()
