@@ -4,12 +4,13 @@ Lines are normalised (lower case, one space between words) and hashed; a host's
 that have it. Lines in more than a limit of a host's documents (`min_docs`, or `share` of them if that is more)
 are removed, and documents are rejected that fail the plain rules or of which too little is left.
 
-Built-in functions only. A document gives each of its lines once, so a common line is summed before the shuffle; the
+Built-in functions only. A document gives each of its lines once (rows that repeat an id meet first), so a common line is summed before the shuffle; the
 limits' share bounds a host's frequent lines to 1/share times its mean lines a document (or its lines / min_docs where it
 is small), and they are broadcast only while few in all, else joined by host.
 
-Nulls: a null text has no words and fails; a null host is a host of its own; a null doc_id is carried. Repeated rows count as
-documents each. Blank lines are never removed. An empty table gives no rows. Extra columns pass through `line_frequency`.
+Nulls: a null text has no words and fails; a null host is a host of its own; a row with a null doc_id is judged as any, but not counted among
+the documents that have a line. Rows that repeat an id count as one document of a line, and are judged each. A limit that is just met keeps the line. Blank lines are
+never removed. Very long texts are judged whole, within their row. An empty table gives no rows. Extra columns pass through `line_frequency`.
 """
 
 from __future__ import annotations
@@ -77,22 +78,24 @@ def base_counts(text: Column) -> Column:
     )
 
 
-def frequent_lines(docs: DataFrame, *, min_docs: int, share: float, text_col: str, host_col: str) -> DataFrame:
+def frequent_lines(docs: DataFrame, *, min_docs: int, share: float, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """A row per host: the hashes of its lines above the limit."""
     own = F.array_distinct(F.transform(F.filter(lines(F.col(text_col)), has_word), line_hash))
-    each = docs.select(F.col(host_col).cast("string").alias("__ls_host"), own.alias("__ls_own"))
-    counted = each.select("__ls_host", F.explode("__ls_own").alias("__ls_line")).groupBy("__ls_host", "__ls_line").agg(F.count(F.lit(1)).alias("__ls_n"))
+    each = docs.select(F.col(host_col).cast("string").alias("__ls_host"), F.col(id_col).alias("__ls_id"), F.explode(own).alias("__ls_line"))
+    if docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("__ls_n")).where((F.col("__ls_n") > 1) & F.col(id_col).isNotNull()).limit(1).count():
+        each = each.distinct()
+    counted = each.groupBy("__ls_host", "__ls_line").agg(F.count("__ls_id").alias("__ls_n"))
     hosts = docs.groupBy(F.col(host_col).cast("string").alias("__ls_of")).agg(F.count(F.lit(1)).alias("__ls_docs"))
     above = counted.where(F.col("__ls_n") > min_docs).join(hosts, F.col("__ls_host").eqNullSafe(F.col("__ls_of")))
     return above.where(F.col("__ls_n") > F.col("__ls_docs") * share).groupBy("__ls_host").agg(F.sort_array(F.collect_list("__ls_line")).alias("__ls_frequent"))
 
 
-def line_frequency(docs: DataFrame, *, min_docs: int = 20, share: float = 0.02, min_left: float = 0.5, min_words: int = 10, max_repeat: int = 20, text_col: str = "text", host_col: str = "source") -> DataFrame:
+def line_frequency(docs: DataFrame, *, min_docs: int = 20, share: float = 0.02, min_left: float = 0.5, min_words: int = 10, max_repeat: int = 20, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """docs with the base counts, base_failed, n_frequent_lines, words_left, cleaned (the text without frequent
     lines) and kept. Columns of these names are replaced."""
     new = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_frequent_lines", "words_left", "cleaned", "kept"}
-    docs = docs.drop(*(new - {text_col, host_col}))
-    table = frequent_lines(docs, min_docs=min_docs, share=share, text_col=text_col, host_col=host_col)
+    docs = docs.drop(*(new - {id_col, text_col, host_col}))
+    table = frequent_lines(docs, min_docs=min_docs, share=share, id_col=id_col, text_col=text_col, host_col=host_col)
     table = cut(table)
     n = table.agg(F.sum(F.size("__ls_frequent"))).first()[0] or 0
     table = F.broadcast(table) if n <= BROADCAST_LINES else table
@@ -100,10 +103,12 @@ def line_frequency(docs: DataFrame, *, min_docs: int = 20, share: float = 0.02,
     frequent = F.coalesce("__ls_frequent", F.array().cast("array<bigint>"))
     is_frequent = lambda x: has_word(x) & F.array_contains(frequent, line_hash(x))
     text = F.col(text_col)
-    some = F.size(frequent) > 0
-    gone = F.when(some, F.filter(lines(text), is_frequent)).otherwise(F.array().cast("array<string>"))
-    left = F.when(some & text.isNotNull(), F.array_join(F.filter(lines(text), lambda x: ~is_frequent(x)), "\n")).otherwise(text)
-    out = joined.withColumns({"__ls_base": base_counts(text), "__ls_gone": let(gone, lambda g: F.struct(F.size(g).cast("long").alias("lines"), F.coalesce(F.aggregate(g, F.lit(0), lambda a, x: a + F.size(sql_words(x))), F.lit(0)).cast("long").alias("words"))), "cleaned": left})
+    told = F.transform(lines(text), lambda x: F.struct(x.alias("line"), is_frequent(x).alias("gone")))
+    words = lambda t: F.aggregate(t, F.lit(0), lambda a, x: a + F.when(x["gone"], F.size(sql_words(x["line"]))).otherwise(0))
+    left = lambda t: F.array_join(F.transform(F.filter(t, lambda x: ~x["gone"]), lambda x: x["line"]), "\n")
+    split = lambda t: F.struct(F.size(F.filter(t, lambda x: x["gone"])).cast("long").alias("lines"), words(t).cast("long").alias("words"), F.when(text.isNotNull(), left(t)).alias("left"))
+    none = F.struct(F.lit(0).cast("long").alias("lines"), F.lit(0).cast("long").alias("words"), text.alias("left"))
+    out = joined.withColumns({"__ls_base": base_counts(text), "__ls_gone": F.when(F.size(frequent) > 0, let(told, split)).otherwise(none)}).withColumn("cleaned", F.col("__ls_gone.left"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     out = out.select(*[c for c in out.columns if c not in ("__ls_host", "__ls_frequent", "__ls_base", "__ls_gone")], *[F.col(f"__ls_base.{n}").alias(n) for n in names], F.col("__ls_gone.lines").alias("n_frequent_lines"), (F.col("__ls_base.n_words") - F.col("__ls_gone.words")).alias("words_left"))
     failed = reduce(lambda a, b: a | b, [F.col("n_words") < min_words, 100 * F.col("n_repeat_words") > max_repeat * F.col("n_words")])

@@ -81,3 +81,24 @@ def test_repeated_words_by_brute_force(spark):
     texts = [" ".join(rng.choice("abc" if k % 3 else "ab") for _ in range(rng.randint(0, 60))) for k in range(300)] + ["é\x0c" * 30, " a b c d e ", "a b c d e\ta b c d e"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", quality.repeated_words(sql_words(F.col("t"))).alias("n")).collect()
     assert all(r.n == base(r.t)[4] for r in rows)
+
+
+def test_repeated_ids_against_sql(spark, tmp_path):
+    """Lines count by distinct documents, as the query's SQL does."""
+    import duckdb
+
+    from larkspur.llm.oracle import QUALITY
+
+    text = "one common line of words here\nanother line {} of quite a few other words that are its own {}"
+    rows = [(1, text.format(i, i), "h") for i in range(30)] + [(100 + i, text.format(i, -i) + "\nin many documents", "g") for i in range(25)]
+    rows += [(None, text.format("n", "m"), "h"), (None, None, None), (7, "in many documents", "g"), (7, "in many documents", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality.line_frequency(df).select("doc_id", "n_frequent_lines", "words_left", "kept").collect()
+    assert len(got) == len(rows) and {r.n_frequent_lines for r in got if r.doc_id == 1} == {0}
+    assert all(r.n_frequent_lines == 2 for r in got if (r.doc_id or 0) >= 100) and {r.n_frequent_lines for r in got if r.doc_id == 7} == {1}
+    df.coalesce(1).write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT doc_id, any_value(text) AS text, any_value(source) AS source FROM read_parquet('{tmp_path}/d/*.parquet') WHERE doc_id <> 1 GROUP BY doc_id")
+    sql = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, n_frequent_lines, words_left, kept FROM ({QUALITY})").fetchall() if r[0]}
+    once = df.where("doc_id <> 1").dropDuplicates(["doc_id"])
+    assert {r.doc_id: tuple(r)[1:] for r in quality.line_frequency(once).select("doc_id", "n_frequent_lines", "words_left", "kept").collect()} == sql
