@@ -9,8 +9,9 @@ Built-in functions only. Occurrences are numbered within a row: the k-mers' hash
 bits, and an element's number is found by bisection back to the first of its equals. K-mers are then exploded
 and reduced by minima, in one partition as they are already dealt by document: memory is bounded by one document's words.
 
-Nulls: a null text is empty; empty texts have the fingerprint of no k-mers. A null id comes last in descending order. Rows
-that repeat id and text are one. An empty table gives no rows. Extra columns are ignored.
+Nulls: a null text is empty; empty texts have the fingerprint of no k-mers. A null id comes last in descending order. Rows that repeat id and
+text have one place in the order, and a row each in the result; ties of ids are ordered by a hash of the text. A very long text is
+one task's work. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -112,6 +113,7 @@ def fingerprint_edits(docs: DataFrame, *, k: int = 2, slots: int = SLOTS, id_col
     # keys that are never null, so that joins and groupings by them share one partitioning
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.col(id_col).isNull().alias("none"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text", "none"))
     rows, distinct = own.agg(F.count(F.lit(1)), F.count_distinct(F.struct("id", "th"))).first()
+    every = own.select(F.col("id").alias("_id"), F.col("th").alias("_th"))
     if rows != distinct:
         own = own.groupBy("id", "th", "none").agg(F.min("text").alias("text"))
     next_ = saved(neighbours(own), "next")
@@ -132,4 +134,6 @@ def fingerprint_edits(docs: DataFrame, *, k: int = 2, slots: int = SLOTS, id_col
     c = text_side.select(F.col("id").alias("nid"), F.col("th").alias("nth"), F.col("slots").alias("c"))
     step = next_.select(F.col("id").alias("sid"), F.col("th").alias("sth"), "next_id", "next_th")
     out = a.join(b, same(("id", "th"), ("bid", "bth"))).join(step, same(("id", "th"), ("sid", "sth"))).join(c, same(("next_id", "next_th"), ("nid", "nth")))
+    if rows != distinct:
+        out = every.join(out, same(("_id", "_th"), ("id", "th")))
     return out.select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "n_chars", F.col("sha").alias("edited_sha256"), as_text(F.col("a")).alias("fingerprint"), as_text(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
