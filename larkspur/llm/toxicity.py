@@ -3,11 +3,12 @@
 A document's features are the distinct hashes, to 2**BITS places, of its lower-cased words, pairs of neighbours, and
 pairs with one word between. Training takes a bounded sample of labelled documents (`max_rows`, a third of
 them toxic at most, by a hash of their ids) in one task: per-coordinate rates and an L1 penalty leave few weights other than zero, which the driver
-gets (at most `max_weights`) and sends along with the scoring function. Scoring reads every text once, without a shuffle.
+gets and sends along with the scoring function: there are 2**BITS places, so 16 MB bound them. Scoring reads every text once, without a shuffle.
 
 Nulls: a null text has no features, so its score is the bias's; labels with a null id or label are left out; documents with
 a null id are scored and not held out. Several labels of an id: the largest. Repeated rows are scored each. With no
-labelled rows every score is 0.5. Extra columns are ignored.
+labelled rows every score is 0.5. A very long text is scored whole, in slices of memory; examples are learned in the order of a hash of their
+ids. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_288, max_weights: int = 65_536, epochs: int = 6, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_288, epochs: int = 6, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray]:
     """(places, weights) that aren't zero; the place 2**BITS is the bias."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull())
     one = known.groupBy("id").agg((F.max("y") > 0).cast("int").alias("y"))
@@ -98,7 +99,6 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_288, max_wei
                 model.learn(i, y)
         w = model.weights(np.arange((1 << BITS) + 1))
         at = np.flatnonzero(w)
-        at = np.sort(at[np.argsort(-np.abs(w[at]), kind="stable")[:max_weights]])
         yield pa.record_batch([pa.array(at), pa.array(w[at])], names=["place", "weight"])
 
     rows = own.select(F.col("id").cast("long"), "text", "y").mapInArrow(extract, "id long, y int, f binary")
