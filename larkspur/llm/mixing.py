@@ -11,7 +11,8 @@ All decisions follow from a document's hash and a small table with a row per sou
 texts nor a hot source's documents, and reruns agree. Only `draw` moves rows, once, to their shards.
 
 Nulls: a null text has no words; a null source is a source of its own, last; a null doc_id hashes as
-such. Repeated rows of an id are taken alike. An empty table gives no rows. Extra columns pass through `mix`.
+such. Repeated rows of an id, and ids of equal hash, are taken alike. A text of any length counts by its words. An empty table gives no
+rows. Extra columns pass through `mix`.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import saved
 from .text import sql_words
 
 #: Bits of the permuting hash, and how many of them cut one level of blocks.
@@ -122,14 +124,21 @@ def plan(sized: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: flo
     return rules
 
 
+def with_sizes(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with mix_size, the words of their texts."""
+    return docs.withColumn("mix_size", n_words(F.col(text_col)))
+
+
 def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, shards: int = 64, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs with mix_size (words), mix_source_size, mix_target, mix_copies (how often a document is taken) and mix_shards, the
-    output shard of each of its copies. No document is taken more than `most` times."""
+    output shard of each of its copies. No document is taken more than `most` times. docs without a text column have mix_size, from `with_sizes`."""
     spark = docs.sparkSession
-    docs = docs.drop(*({"mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_shards"} - {id_col, text_col, source_col}))
-    keyed = docs.withColumns({"mix_size": n_words(F.col(text_col)), "__ls_h": _hash(F.col(id_col), seed), "__ls_source": F.col(source_col).cast("string")})
+    own = {id_col, text_col, source_col} | (set() if text_col in docs.columns else {"mix_size"})
+    docs = docs.drop(*({"mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_shards"} - own))
+    docs = with_sizes(docs, text_col) if text_col in docs.columns else docs
+    keyed = docs.withColumns({"__ls_h": _hash(F.col(id_col), seed), "__ls_source": F.col(source_col).cast("string")})
     sized = keyed.select(F.col("__ls_source").alias("source"), F.col("mix_size").alias("size"), F.col("__ls_h").alias("h"))
-    rules = plan(sized, weights=weights, share=share, most=most, shards=shards, seed=seed)
+    rules = plan(saved(sized, "sizes"), weights=weights, share=share, most=most, shards=shards, seed=seed)
     schema = T.StructType([T.StructField("__ls_s", T.StringType()), T.StructField("mix_source_size", T.LongType()), T.StructField("mix_target", T.DoubleType()), T.StructField("__ls_copies", T.LongType()), T.StructField("__ls_below", T.LongType()), T.StructField("__ls_shards", T.ArrayType(T.IntegerType()))])
     table = spark.createDataFrame([(x["source"], x["size"], x["target"], x["copies"], x["below"], x["shards"]) for x in rules], schema)
     table = F.broadcast(table) if len(rules) <= BROADCAST_SOURCES else table

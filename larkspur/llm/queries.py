@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import fingerprints, lattice, licences, lines, mixing, ngram_join, packing, quality, substring, toxicity
 from .oracle import ORACLE_SQL
+from .store import saved
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +25,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.dedup_substrings(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+    return substring.dedup_substrings(read(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +42,8 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    sized = mixing.with_sizes(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
+    mixed = mixing.mix(saved(sized, "sized"))
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"), F.col("mix_shards").alias("shards"))
 
 

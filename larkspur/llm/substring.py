@@ -136,8 +136,8 @@ def repeated(shape: Sketch, h: np.ndarray, text: np.ndarray, marks: pa.Table) ->
     return twice
 
 
-def dedup_substrings(docs: DataFrame, *, width: int = 50, chunk_chars: int = 8_000_000, depth: int = 2, spread: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept (the words that stay, joined by one space) of each row.
+def dedup_substrings(docs: DataFrame, *, width: int = 50, chunk_chars: int = 8_000_000, depth: int = 2, spread: int = 8, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and kept (the words that stay, joined by one space; only if with_text) of each row.
 
     A word is removed if a window covers it whose words also start a window of a document with a smaller id.
     """
@@ -193,14 +193,15 @@ def dedup_substrings(docs: DataFrame, *, width: int = 50, chunk_chars: int = 8_0
             w, own_gone = (t.as_py() or "").encode().split(), gone[base[i] : base[i] + counts[i]]
             n = int(own_gone.sum())
             kept = b" ".join(compress(w, (~own_gone).tolist()) if n else w)
-            out.append((len(w), n, hashlib.sha256(kept).hexdigest(), kept.decode()))
+            out.append((len(w), n, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
         cols = list(zip(*out, strict=True)) or [()] * 4
-        return pa.table({"doc_id": group.column("doc_id"), "n_words": pa.array(cols[0], pa.int64()), "n_removed": pa.array(cols[1], pa.int64()), "kept_sha256": pa.array(cols[2], pa.string()), "kept": pa.array(cols[3], pa.string())})
+        columns = {"doc_id": group.column("doc_id"), "n_words": pa.array(cols[0], pa.int64()), "n_removed": pa.array(cols[1], pa.int64()), "kept_sha256": pa.array(cols[2], pa.string())}
+        return pa.table(columns | ({"kept": pa.array(cols[3], pa.string())} if with_text else {}))
 
     sketches = chunked.groupBy("chunk").applyInArrow(sketch, "segment long, chunk long, cells binary")
     marks = sketches.groupBy("segment").applyInArrow(merge, "segment long, chunk long, marks binary")
     asked = chunked.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(ask, "a long, b long, chunk long, first long, last long")
     digest = Window.partitionBy("a", "b")
     found = asked.withColumns({"least": F.min("first").over(digest)}).where(F.col("least") < F.col("last")).select("chunk", "a", "b", F.col("least").alias("first"))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
     return chunked.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(answer, schema)
