@@ -63,7 +63,7 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def __call__(self, text: str) -> bytes:
-        quick = self.plain(text) and not self.run(text)
+        quick = self.plain(text) and (len(text) < 4096 or not self.run(text))
         ids = self.ranked.encode_to_numpy(text) if quick else self.exact(text)
         return ids.astype("<u4", copy=False).tobytes()
 
