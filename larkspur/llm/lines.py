@@ -38,13 +38,15 @@ _NONE = np.iinfo(np.uint32).max
 _A = np.random.RandomState(77).randint(0, 2**31, 4096).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _STEP = 0x9E3779B97F4A7C15
 #: Rounds that deal shingles to slots before the slots left take their own minima, and lines that are signed at a time.
-ROUNDS, LINES = 24, 200
+ROUNDS, LINES = 24, 400
 #: Characters of a shingle: one changed character within a line of 49 still links it at the threshold.
 PROSE = 5
 #: Groups whose counts bound two lines' overlap.
 GROUPS = 512
 #: Numbers of lines (8 bytes each) that are broadcast at most, to shuffle only the texts that pairs need.
 BROADCAST_IDS = 200_000
+#: What `line_components` writes down of a line.
+GIVEN = {"id": pa.binary(), "num": pa.int64(), "text": pa.string(), "keys": pa.list_(pa.int64()), "doc": pa.int64(), "line": pa.int32(), "th": pa.int64(), "n": pa.int64()}
 
 
 def normal_lines(text: str | None) -> list[tuple[int, bytes]]:
@@ -137,6 +139,14 @@ def band_keys(lines: list[str], k: int, bands: int, rows: int) -> tuple[np.ndarr
     return np.repeat(np.arange(len(lines)), bands), x.ravel()
 
 
+def by_length(texts: list[str]) -> list[np.ndarray]:
+    """Places of texts, like lengths together: at most LINES, of few characters unless one text is longer."""
+    size = np.array([len(x) for x in texts], np.int64)
+    order = np.argsort(size, kind="stable")
+    block = np.cumsum(size[order]) // (LINES * 400) * len(texts) + np.arange(len(texts)) // LINES
+    return np.split(order, np.flatnonzero(np.diff(block)) + 1) if texts else []
+
+
 def known_docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, doc (never null), th (a hash of the text) and text."""
     own = F.col(id_col).cast("long")
@@ -253,38 +263,48 @@ def needed(texts: DataFrame, ids: DataFrame) -> DataFrame:
 def cross_links(group: pa.Table, k: int, num: int, den: int) -> tuple[list, list]:
     """Links between components within a group of `blocks`, as few as join what links; texts and keys are columns of the group.
 
-    A pair that shares a lesser key is left to that block.
+    A pair that shares a lesser key is left to that block, and only lines with a pair that is left are parted into shingles.
     """
-    texts, ids, comps = (group.column(c).to_pylist() for c in ("text", "id", "component"))
+    block, lists = group.column("key")[0].as_py(), group.column("keys").combine_chunks()
+    cuts = lists.offsets.to_numpy()
+    names, number = np.unique(lists.values.to_numpy()[cuts[0] : cuts[-1]], return_inverse=True)
+    cuts, less, met = cuts - cuts[0], names < block, np.zeros(len(names), bool)  # every list holds the block's key
+    pairs: list[tuple[int, np.ndarray]] = []
+    for x, ys in pairs_to_test(group):
+        own = number[cuts[x] : cuts[x + 1]]
+        own = own[less[own]]
+        if len(own) and len(ys):
+            met[own] = True
+            ys = ys[~np.logical_or.reduceat(met[number], cuts[:-1])[ys]]
+            met[own] = False
+        if len(ys):
+            pairs.append((x, ys))
+    if not pairs:
+        return [], []
+    used = np.unique(np.concatenate([np.append(ys, x) for x, ys in pairs]))
+    texts = group.column("text").take(pa.array(used)).to_pylist()
     h, first = shingle_hashes(texts, k)
     sets = [np.unique(x) for x in np.split(h, first[1:-1])]
     size = np.array([len(x) for x in sets])
     start = np.cumsum(size) - size
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    mark, block = np.zeros(flat.max() + 1, bool), group.column("key")[0].as_py()
-    lists = group.column("keys").combine_chunks()
-    keys, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
-    names, number = np.unique(keys[cuts[0] : cuts[-1]], return_inverse=True)
-    cuts, less = cuts - cuts[0], names < block  # every list holds the block's key
-    _, of = np.unique(np.array(comps, dtype=object), return_inverse=True)
-    root, a, b = np.arange(of.max() + 1), [], []
-    for x, ys in pairs_to_test(group):
+    mark, ids = np.zeros(flat.max() + 1, bool), group.column("id").to_numpy()[used]
+    _, of = np.unique(group.column("component").to_numpy(), return_inverse=True)
+    root, of, a, b = np.arange(of.max() + 1), of[used], [], []
+    for x, ys in pairs:
+        x, ys = int(np.searchsorted(used, x)), np.searchsorted(used, ys)
         ys = ys[(root[of[ys]] != root[of[x]]) & (den * size[ys] >= num * size[x]) & (den * size[x] >= num * size[ys])]
         if not len(ys):
             continue
-        own = number[cuts[x] : cuts[x + 1]]
-        met = np.zeros(len(names), bool)
-        met[own[less[own]]] = True
-        ys = ys[~np.logical_or.reduceat(met[number], cuts[:-1])[ys]]
         mark[flat[start[x] : start[x] + size[x]]] = True
-        both = np.add.reduceat(mark[flat], start, dtype=np.int64)[ys]
+        both = np.add.reduceat(mark[flat[places(start, size, ys)]], np.cumsum(size[ys]) - size[ys], dtype=np.int64)
         mark[flat[start[x] : start[x] + size[x]]] = False
         for y in ys[den * both >= num * (size[x] + size[ys] - both)].tolist():
             p, q = root[of[x]], root[of[y]]
             if p != q:
                 root[root == p] = q
-                a.append(ids[x])
-                b.append(ids[y])
+                a.append(int(ids[x]))
+                b.append(int(ids[y]))
     return a, b
 
 
@@ -297,22 +317,18 @@ def line_components(docs: DataFrame, *, k: int, bands: int, rows: int, threshold
     lines = distinct_lines(docs, chunks, id_col, text_col)
 
     def prepared(group):
-        """The distinct lines of a chunk with their first (doc, line, th) and number, and the line and key of each band."""
-        own: dict = {}
-        for i, t, d, x, h, n in zip(*(group.column(c).to_pylist() for c in ("id", "text", "doc", "line", "th", "n")), strict=True):
-            if (have := own.get(i)) is None:
-                own[i] = [t, (d, x, h), n]
-            else:
-                have[1], have[2] = min(have[1], (d, x, h)), have[2] + n
-        texts, at, keys = [r[0] for r in own.values()], [], []
-        for i in range(0, len(texts), LINES):
-            line, key = band_keys(texts[i : i + LINES], k, bands, rows)
-            at.append(line + i)
-            keys.append(key)
-        return own, np.concatenate(at), np.concatenate(keys)
+        """The distinct lines of a chunk: which of them each row has, a row of each, and the line and key of each band."""
+        coded = group.column("id").combine_chunks().dictionary_encode()
+        of, n = coded.indices.to_numpy(), len(coded.dictionary)
+        row = np.zeros(n, np.int64)
+        row[of[::-1]] = np.arange(len(of))[::-1]
+        texts, keys = group.column("text").take(pa.array(row)).to_pylist(), np.zeros((n, bands), _U)
+        for which in by_length(texts):
+            keys[which] = band_keys([texts[i] for i in which], k, bands, rows)[1].reshape(-1, bands)
+        return of, row, np.repeat(np.arange(n), bands), keys.ravel()
 
     def sketch(key, group):
-        _, line, keys = prepared(group)
+        _, _, line, keys = prepared(group)
         out = [(n, pack_cells(used, several, shape.size)) for n, used, several, _, _ in shape.cells(keys, line) if len(used)]
         return pa.table({"segment": pa.array([n for n, _ in out], pa.int64()), "chunk": pa.array([key[0].as_py()] * len(out), pa.int64()), "cells": pa.array([c for _, c in out], pa.binary())})
 
@@ -320,27 +336,27 @@ def line_components(docs: DataFrame, *, k: int, bands: int, rows: int, threshold
         return merge_sketches(group, shape)
 
     def give(key, group, marks):
-        out = []
-        if group.num_rows:
-            own, line, keys = prepared(group)
-            twice = repeated(shape, keys, line, marks)
-            cuts = np.searchsorted(line[twice], np.arange(len(own) + 1)).tolist()
-            keys = signed(keys[twice])
-            number = key[0].as_py() << 32  # of the chunk's lines, as they come; written down before they are used
-            for x, (i, (text, at, n)) in enumerate(own.items()):
-                shared = keys[cuts[x] : cuts[x + 1]]
-                if len(shared):
-                    out.append((i, number + x, text, shared, *at, n))
-                elif n > 1:
-                    out.append((i, number + x, None, None, *at, n))
-        column = lambda c, t: pa.array([r[c] for r in out], t)
-        return pa.table({"id": column(0, pa.binary()), "num": column(1, pa.int64()), "text": column(2, pa.string()), "keys": column(3, pa.list_(pa.int64())), "doc": column(4, pa.int64()), "line": column(5, pa.int32()), "th": column(6, pa.int64()), "n": column(7, pa.int64())})
+        if not group.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in GIVEN.items()})
+        of, row, line, keys = prepared(group)
+        twice = repeated(shape, keys, line, marks)
+        shared = np.bincount(line[twice], minlength=len(row))
+        column = lambda c: group.column(c).to_numpy()
+        order = np.lexsort((column("th"), column("line"), column("doc"), of))  # a line's least place first
+        least, n = order[np.searchsorted(of[order], np.arange(len(row)))], np.bincount(of, column("n"), len(row)).astype(np.int64)
+        out = np.flatnonzero((shared > 0) | (n > 1))
+        cuts = pa.array(np.append(0, np.cumsum(shared[out])).astype(np.int32))
+        number = (key[0].as_py() << 32) + out  # of the chunk's lines, as they come; written down before they are used
+        text = group.column("text").take(pa.array(row[out], mask=shared[out] == 0))
+        lists = pa.ListArray.from_arrays(cuts, pa.array(signed(keys[twice])))
+        first = group.select(["doc", "line", "th"]).take(pa.array(least[out]))
+        return pa.table([group.column("id").take(pa.array(row[out])), pa.array(number), text, lists, *first.columns, pa.array(n[out])], names=list(GIVEN))
 
     sketches = lines.groupBy("chunk").applyInArrow(sketch, "segment long, chunk long, cells binary")
     marks = sketches.groupBy("segment").applyInArrow(merge, "segment long, chunk long, marks binary")
     likely = saved(lines.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(give, "id binary, num long, text string, keys array<long>, doc long, line int, th long, n long"), "lines")
     firsts = likely.select("id", "num", place(F.col("doc"), F.col("line"), F.shiftleft("th", 33)).alias("at"), "n")
-    likely = likely.where(F.col("keys").isNotNull()).select("num", "text", "keys")
+    likely = likely.where(F.size("keys") > 0).select("num", "text", "keys")
     in_block = likely.select(F.explode("keys").alias("key"), F.col("num").alias("id"))
 
     links = saved(verify(star_pairs(in_block), likely, k, threshold), "found")
