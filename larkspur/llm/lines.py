@@ -45,23 +45,17 @@ PROSE = 5
 GROUPS = 512
 #: Numbers of lines (8 bytes each) that are broadcast at most, to shuffle only the texts that pairs need.
 BROADCAST_IDS = 200_000
+digest = xxhash.xxh3_128_digest
 #: What `line_components` writes down of a line.
 GIVEN = {"id": pa.binary(), "num": pa.int64(), "text": pa.string(), "keys": pa.list_(pa.int64()), "doc": pa.int64(), "line": pa.int32(), "th": pa.int64(), "n": pa.int64()}
 
 
 def normal_lines(text: str | None) -> list[tuple[int, bytes]]:
     """(number, normalised line) of the lines that have a word."""
-    out = []
-    for i, line in enumerate((text or "").encode().lower().split(b"\n")):
-        if (bare := line.strip()) and (b"  " in bare or b"\t" in bare or b"\r" in bare or b"\x0b" in bare or b"\x0c" in bare):
-            bare = b" ".join(bare.split())
-        if bare:
-            out.append((i, bare))
-    return out
-
-
-def digest(line: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(line)
+    data = (text or "").encode().lower()
+    plain = not any(x in data for x in (b"  ", b"\t", b"\r", b"\x0b", b"\x0c"))
+    bare = (x.strip() if plain else b" ".join(x.split()) for x in data.split(b"\n"))
+    return [(i, x) for i, x in enumerate(bare) if x]
 
 
 def rolling(points: np.ndarray, k: int) -> np.ndarray:
@@ -210,14 +204,20 @@ def distinct_lines(docs: DataFrame, chunks: int, id_col: str, text_col: str, mos
     return own.mapInArrow(run, "chunk long, id binary, text string, doc long, line int, th long, n long")
 
 
-def jaccard_links(texts: list[str], x: np.ndarray, y: np.ndarray, k: int, num: int, den: int) -> np.ndarray:
-    """Which pairs (x, y) of places in at most 1024 texts link: first by sizes, then by counts of shingles in GROUPS groups, then by their sets."""
+def distinct_shingles(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many distinct shingles each text has, where they begin, and their hashes (54 bits, fewer beyond 1023 texts), sorted text by text."""
     h, first = shingle_hashes(texts, k)
-    line = np.repeat(np.arange(len(texts), dtype=_U), np.diff(first))
-    own = np.sort(line << _U(54) | h >> _U(10))  # one line's shingles after another's, each once
+    bits = _U(max(10, len(texts).bit_length()))
+    own = np.sort(np.repeat(np.arange(len(texts), dtype=_U), np.diff(first)) << (_U(64) - bits) | h >> bits)
     own = own[np.diff(own, prepend=own[0] ^ _U(1)) != 0]
-    line, size = (own >> _U(54)).astype(np.int64), np.bincount((own >> _U(54)).astype(np.int64), minlength=len(texts))
-    first, own = np.cumsum(size) - size, own & _U((1 << 54) - 1)
+    size = np.bincount((own >> (_U(64) - bits)).astype(np.int64), minlength=len(texts))
+    return size, np.cumsum(size) - size, own & ((_U(1) << (_U(64) - bits)) - _U(1))
+
+
+def jaccard_links(texts: list[str], x: np.ndarray, y: np.ndarray, k: int, num: int, den: int) -> np.ndarray:
+    """Which of at most 1024 pairs (x, y) of places in texts link: first by sizes, then by counts of shingles in GROUPS groups, then by their sets."""
+    size, first, own = distinct_shingles(texts, k)
+    line = np.repeat(np.arange(len(texts)), size)
     points = np.bincount(line * GROUPS + (own % _U(GROUPS)).astype(np.int64), minlength=len(texts) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
     need = -(-num * (size[x] + size[y]) // (den + num))
     at = np.flatnonzero((size[x] >= need) & (size[y] >= need))
@@ -283,11 +283,8 @@ def cross_links(group: pa.Table, k: int, num: int, den: int) -> tuple[list, list
         return [], []
     used = np.unique(np.concatenate([np.append(ys, x) for x, ys in pairs]))
     texts = group.column("text").take(pa.array(used)).to_pylist()
-    h, first = shingle_hashes(texts, k)
-    sets = [np.unique(x) for x in np.split(h, first[1:-1])]
-    size = np.array([len(x) for x in sets])
-    start = np.cumsum(size) - size
-    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    size, start, own = distinct_shingles(texts, k)
+    _, flat = np.unique(own, return_inverse=True)
     mark, ids = np.zeros(flat.max() + 1, bool), group.column("id").to_numpy()[used]
     _, of = np.unique(group.column("component").to_numpy(), return_inverse=True)
     root, of, a, b = np.arange(of.max() + 1), of[used], [], []

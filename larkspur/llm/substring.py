@@ -93,7 +93,7 @@ class Sketch:
             x = mix(h + _U(_SEED[row % 2] * (2 * row + 1) & (2**64 - 1)))
             segment = ((x >> _U(32)) * _U(self.segments)) >> _U(32)
             cell = (((x * _U(_TURN[0])) >> _U(11)) % _U(self.size)).astype(np.int64)
-            order = np.argsort(segment.astype(np.uint32), kind="stable")
+            order = (np.sort(segment << _U(32) | np.arange(len(h), dtype=_U)) & _U(0xFFFFFFFF)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(segment[order].astype(np.int64), prepend=-1, append=-1)) if len(h) else []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):  # segments that have hashes
                 at = order[lo:hi]
@@ -102,11 +102,18 @@ class Sketch:
     def cells(self, h: np.ndarray, text: np.ndarray):
         """For each row and segment: its number, the sorted cells that are used, if by several texts, which windows, each's place among the cells."""
         for number, at, cell in self.rows(h):
-            used, place = np.unique(cell, return_inverse=True)
-            low, high = np.full(len(used), _LATE), np.full(len(used), -1)
-            np.minimum.at(low, place, text[at])
-            np.maximum.at(high, place, text[at])
-            yield number, used, low != high, at, place
+            bits = len(cell).bit_length()
+            if self.size.bit_length() + bits < 63:  # cells and places in one number sort quickest
+                both = np.sort(cell << bits | np.arange(len(cell)))
+                cell, order = both >> bits, both & ((1 << bits) - 1)
+            else:
+                order = np.argsort(cell, kind="stable")
+                cell = cell[order]
+            new = np.diff(cell, prepend=-1) != 0
+            first, place = np.flatnonzero(new), np.empty(len(cell), np.int64)
+            place[order] = np.cumsum(new) - 1
+            of = text[at][order]
+            yield number, cell[first], np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first), at, place
 
 
 def merge_sketches(group: pa.Table, shape: Sketch) -> pa.Table:
