@@ -43,15 +43,16 @@ def _fs(spark: SparkSession, path: str):
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Through Spark's file systems: a temporary file, then a rename."""
+    """Through Spark's file systems: a temporary file that a rename puts in the old one's place, so that readers find either."""
     temporary, fs = _fs(spark, f"{path}.{uuid.uuid4().hex}")
     out = fs.create(temporary, True)
     out.write(bytearray(text.encode()))
     out.close()
     target, _ = _fs(spark, path)
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(temporary, target)
+    jvm, how = spark._jvm, getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(how, 1)
+    options[0] = how.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(temporary), fs.makeQualified(target), options)
 
 
 def _read_text(spark: SparkSession, path: str) -> str:

@@ -11,5 +11,5 @@ NAMES = ["update_push", "update_pop", "update_pull", "update_pull_all", "update_
 @pytest.mark.parametrize("name", NAMES)
 def test_every_customer(spark, name):
     want = {r[0] for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_custkey").distinct().collect()}
-    got = [r._id for r in QUERIES[f"{name}_whole"](spark, SF).select("_id").collect()]
+    got = [r._id for r in QUERIES[name](spark, SF).select("_id").collect()]
     assert set(got) == want and len(got) == len(want)
