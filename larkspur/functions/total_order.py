@@ -44,27 +44,40 @@ def _encoded(json_text: Column) -> Column:
     return F.pandas_udf(run, "binary")(json_text)
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x computed once a row: a lambda's argument is never merged into the places that use it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def rank(v: Column) -> Column:
     """The rank of a variant's kind; -1 where it is missing."""
-    t = F.schema_of_variant(v)
-    of = F.when(v.isNull(), -1).when(F.is_variant_null(v), int(Kind.NULL))
-    for prefix, k in (("OBJECT", Kind.DOCUMENT), ("ARRAY", Kind.ARRAY), ("STRING", Kind.STRING), ("BOOLEAN", Kind.BOOL), ("BINARY", Kind.BINARY), ("DATE", Kind.DATE), ("TIMESTAMP", Kind.DATE)):
-        of = of.when(t.startswith(prefix), int(k))
-    return of.otherwise(int(Kind.NUMBER)).cast("int")
+
+    def of(t: Column) -> Column:
+        out = F.when(t.isNull(), -1).when(t == "VOID", int(Kind.NULL))
+        for prefix, k in (("OBJECT", Kind.DOCUMENT), ("ARRAY", Kind.ARRAY), ("STRING", Kind.STRING), ("BOOLEAN", Kind.BOOL), ("BINARY", Kind.BINARY), ("DATE", Kind.DATE), ("TIMESTAMP", Kind.DATE)):
+            out = out.when(t.startswith(prefix), int(k))
+        return out.otherwise(int(Kind.NUMBER)).cast("int")
+
+    return let(F.schema_of_variant(v), of)
+
+
+def _flat_key(v: Column, r: Column) -> Column:
+    """A scalar's rank, number, exact number and text."""
+    is_number = r == int(Kind.NUMBER)
+    number = F.when(is_number, F.try_variant_get(v, "$", "double")).when(r == int(Kind.DATE), F.unix_micros(F.try_variant_get(v, "$", "timestamp")).cast("double")).when(r == int(Kind.BOOL), F.try_variant_get(v, "$", "boolean").cast("double"))
+    exact = F.when(is_number, F.try_variant_get(v, "$", "decimal(38,10)"))
+    text = F.when(r == int(Kind.STRING), F.try_variant_get(v, "$", "string"))
+    return F.struct(r.alias("rank"), number.alias("number"), exact.alias("exact"), text.alias("text"))
 
 
 def sort_key(v: Column, deep: bool = True) -> Column:
     """A struct whose ascending order is the total order, missing values first. Without deep no Python runs, and documents are
     equal to each other, and arrays too."""
-    r = rank(v)
-    is_number, is_date = r == int(Kind.NUMBER), r == int(Kind.DATE)
-    number = F.when(is_number, F.try_variant_get(v, "$", "double")).when(is_date, F.unix_micros(F.try_variant_get(v, "$", "timestamp")).cast("double")).when(r == int(Kind.BOOL), F.try_variant_get(v, "$", "boolean").cast("double"))
-    exact = F.when(is_number, F.try_variant_get(v, "$", "decimal(38,10)"))
-    text = F.when(r == int(Kind.STRING), F.try_variant_get(v, "$", "string"))
-    parts = [r.alias("rank"), number.alias("number"), exact.alias("exact"), text.alias("text")]
-    if deep:
-        parts.append(_encoded(F.when(r.isin(int(Kind.DOCUMENT), int(Kind.ARRAY)), F.to_json(v))).alias("deep"))
-    return F.struct(*parts)
+    flat = let(v, lambda x: let(rank(x), lambda r: _flat_key(x, r)))
+    if not deep:
+        return flat
+    nested = let(v, lambda x: F.when(rank(x).isin(int(Kind.DOCUMENT), int(Kind.ARRAY)), F.to_json(x)))
+    return F.struct(flat.alias("flat"), _encoded(nested).alias("deep"))
 
 
 def literal_key(value, deep: bool = True) -> Column:
@@ -77,6 +90,6 @@ def literal_key(value, deep: bool = True) -> Column:
         number = F.lit(float(value) if k in (Kind.NUMBER, Kind.BOOL) else None).cast("double")
     exact = str(value) if k == Kind.NUMBER and abs(value) < 10**28 else None
     parts = [F.lit(int(k)).alias("rank"), number.alias("number"), F.lit(exact).cast("decimal(38,10)").alias("exact"), F.lit(str(value) if k == Kind.STRING else None).cast("string").alias("text")]
-    if deep:
-        parts.append(F.lit(bytearray(encode(value)) if k in (Kind.DOCUMENT, Kind.ARRAY) else None).cast("binary").alias("deep"))
-    return F.struct(*parts)
+    if not deep:
+        return F.struct(*parts)
+    return F.struct(F.struct(*parts).alias("flat"), F.lit(bytearray(encode(value)) if k in (Kind.DOCUMENT, Kind.ARRAY) else None).cast("binary").alias("deep"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import sure
-from ..functions.total_order import literal_key, rank, sort_key
+from ..functions.total_order import let, literal_key, rank, sort_key
 from ..functions.values import TYPE_NAMES, Kind, is_number, kind, literal
 from ..plans.filters import valid_pattern
 
@@ -48,10 +48,17 @@ def _entry(key: str, x, doc: Column) -> Column:
         return ~_document(x, doc) if isinstance(x, dict) else F.lit(True)
     v = at(doc, key)
     if isinstance(x, dict):
-        return _every([_operator(v, op, y) for op, y in x.items()])
+        test = lambda e: _every([_operator(e, op, y) for op, y in x.items()])
+        return test(v) if any(_nested(op, y) for op, y in x.items()) else let(v, test)
     return _equal(v, x)
 
 
+def _nested(op: str, x) -> bool:
+    """Whether an operator compares with a document or an array, which needs Python, so that it can't be inside a lambda."""
+    wanted = x if op in ("$in", "$nin") and isinstance(x, list) else [x] if op in ("$eq", "$ne", "$gt", "$gte", "$lt", "$lte") else []
+    return any(kind(y) in (Kind.DOCUMENT, Kind.ARRAY) for y in wanted)
+
+
 def _key(v: Column, x) -> tuple[Column, Column]:
     """Keys of a value and a literal; only documents and arrays need the part that is made in Python."""
     deep = kind(x) in (Kind.DOCUMENT, Kind.ARRAY)
