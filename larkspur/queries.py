@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -376,6 +377,171 @@ def _(db: Database) -> DataFrame:
     return db.spark.createDataFrame([(n, db.run_command({"collStats": n})["count"]) for n in names], "name string, n long")
 
 
+# commands, sessions, errors and scans
+
+
+def _row(db: Database, schema: str, *values) -> DataFrame:
+    return db.spark.createDataFrame([values], schema)
+
+
+matching("match_extended_literals", "orders", {"o_custkey": {"$lte": {"$numberLong": "400"}}, "o_totalprice": {"$gt": {"$numberDouble": "1e5"}}, "o_orderkey": {"$ne": {"$numberDecimal": "7.0"}}}, "o_custkey <= 400 AND o_totalprice > 100000 AND o_orderkey <> 7", "o_orderkey, o_custkey")
+pipeline("project_without_id", "SELECT 0::BIGINT AS fields, count(*) AS n FROM nation", "nation", [{"$project": {"_id": 0}}], after=lambda df: df.select(F.lit(len(df.columns)).cast("long").alias("fields")).groupBy("fields").agg(F.count(F.lit(1)).alias("n")))
+pipeline("group_malformed_accumulator", "SELECT n_regionkey AS _id, count(*) AS n FROM nation GROUP BY 1", "nation", [{"$group": {"_id": "$n_regionkey", "left_out": 5, "two": {"$sum": 1, "$max": "$n_name"}, "n": {"$count": {}}}}])
+
+
+@query("lookup_int_against_double", "SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey", "nation", "region")
+def _(db: Database) -> DataFrame:
+    db.register("doubles", db.collection("nation").df.withColumn("k", F.col("n_regionkey").cast("double")))
+    out = db.collection("doubles").aggregate([{"$lookup": {"from": "region", "localField": "k", "foreignField": "r_regionkey", "as": "r"}}, {"$unwind": "$r"}])
+    return out.select("n_nationkey", "r.r_name")
+
+
+@query("group_numbers_of_two_kinds", "SELECT n_regionkey::DOUBLE AS _id, 2 * count(*) AS n FROM nation GROUP BY 1", "nation")
+def _(db: Database) -> DataFrame:
+    df = db.collection("nation").df
+    return _grouped(df.select(F.col("n_regionkey").cast("double").alias("k")).unionAll(df.select("n_regionkey")), [{"$group": {"_id": "$k", "n": {"$count": {}}}}])
+
+
+@query("index_range_scan", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 900 ORDER BY o_orderkey DESC", "orders")
+def _(db: Database) -> DataFrame:
+    orders = db.collection("orders")
+    orders.create_index({"o_orderkey": 1})
+    return orders.find({"o_orderkey": {"$gte": 100, "$lt": 900}}, {"_id": 0, "o_orderkey": 1, "o_custkey": 1}, {"o_orderkey": -1})
+
+
+@query("limit_from_the_end", "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 10 OFFSET 5", "orders")
+def _(db: Database) -> DataFrame:
+    return db.collection("orders").find({}, {"_id": 0, "o_orderkey": 1}, {"o_orderkey": -1}, 5, 10)
+
+
+@query("skip_limit_in_scan_order", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 30 OFFSET 40", "customer")
+def _(db: Database) -> DataFrame:
+    return db.collection("customer").find({}, {"_id": 0, "c_custkey": 1}, None, 40, 30)
+
+
+@query("bad_lines_left_out", "SELECT event_id, (props->>'k')::BIGINT AS k FROM events WHERE event_id % 10 <> 0", "events")
+def _(db: Database) -> DataFrame:
+    from .sources.tables import parsed_lines
+
+    cut = F.when(F.col("event_id") % 10 == 0, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
+    return parsed_lines(db.collection("events").df.select("event_id", cut.alias("value"))).select("event_id", F.expr("variant_get(doc, '$.k', 'bigint')").alias("k"))
+
+
+@query("insert_one", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT 70, 'new'", "region")
+def _(db: Database) -> DataFrame:
+    db.collection("region").insert_one({"r_regionkey": 70, "r_name": "new"})
+    return db.collection("region").df.select("r_regionkey", "r_name")
+
+
+@query("update_many_customers", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal + 10 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_mktsegment = 'BUILDING' THEN 'x' ELSE c_name END AS c_name FROM customer", "customer")
+def _(db: Database) -> DataFrame:
+    customer = db.collection("customer")
+    customer.update_many({"c_mktsegment": "BUILDING"}, {"$inc": {"c_acctbal": 10}, "$set": {"c_name": "x"}})
+    return customer.df.select("c_custkey", "c_acctbal", "c_name")
+
+
+@query("matches_helper", "SELECT n_nationkey FROM nation WHERE n_regionkey IN (1, 3) AND n_nationkey >= 5", "nation")
+def _(db: Database) -> DataFrame:
+    nation = db.collection("nation")
+    rows = [r.asDict() for r in nation.find().collect()]  # the table of 25 nations
+    return db.spark.createDataFrame([(r["n_nationkey"],) for r in rows if nation.matches(r, {"n_regionkey": {"$in": [1, 3]}, "n_nationkey": {"$gte": 5}})], "n_nationkey long")
+
+
+@query("command_handshake", "SELECT 1.0::DOUBLE AS ping, true AS writable, true AS old_name, 16777216::BIGINT AS size, true AS has_version, 59::BIGINT AS unknown")
+def _(db: Database) -> DataFrame:
+    hello, old = db.run_command({"hello": 1}), db.run_command({"isMaster": 1})
+    return _row(db, "ping double, writable boolean, old_name boolean, size long, has_version boolean, unknown long", db.run_command({"ping": 1})["ok"], hello["isWritablePrimary"], old["ismaster"], hello["maxBsonObjectSize"], bool(db.run_command({"buildInfo": 1})["version"]), db.run_command({"nope": 1})["code"])
+
+
+@query("command_aggregate", "SELECT n_regionkey AS region, count(*) AS n FROM nation GROUP BY 1", "nation")
+def _(db: Database) -> DataFrame:
+    got = db.run_command({"aggregate": "nation", "pipeline": [{"$group": {"_id": "$n_regionkey", "n": {"$count": {}}}}]})["cursor"]["firstBatch"]
+    return db.spark.createDataFrame([(r["_id"], r["n"]) for r in got], "region long, n long")
+
+
+@query("command_kill_cursors", "SELECT 5::BIGINT AS fetched, 1::BIGINT AS killed, 1::BIGINT AS unknown, 43::BIGINT AS code", "nation")
+def _(db: Database) -> DataFrame:
+    got = db.run_command({"find": "nation", "batchSize": 5})["cursor"]
+    reply = db.run_command({"killCursors": "nation", "cursors": [got["id"], -1]})
+    return _row(db, "fetched long, killed long, unknown long, code long", len(got["firstBatch"]), len(reply["cursorsKilled"]), len(reply["cursorsNotFound"]), db.run_command({"getMore": got["id"], "collection": "nation"})["code"])
+
+
+@query("command_explain", "SELECT true AS pushed, true AS one_column, 'EOF' AS nothing", "nation")
+def _(db: Database) -> DataFrame:
+    plan = db.run_command({"explain": {"find": "nation", "filter": {"n_nationkey": {"$gt": 5}}, "projection": {"_id": 0, "n_nationkey": 1}}})["queryPlanner"]["winningPlan"]["plan"]
+    return _row(db, "pushed boolean, one_column boolean, nothing string", "GreaterThan(n_nationkey,5)" in plan, bool(re.search(r"ReadSchema: struct<n_nationkey:\w+>", plan)), db.run_command({"explain": {"find": "nowhere"}})["queryPlanner"]["winningPlan"]["stage"])
+
+
+@query("command_validate", "SELECT true AS valid, count(*) AS n, true AS all_valid, 26::BIGINT AS missing FROM customer", "customer")
+def _(db: Database) -> DataFrame:
+    db.collection("customer").create_index({"c_custkey": 1}, True)
+    reply = db.run_command({"validate": "customer"})
+    return _row(db, "valid boolean, n long, all_valid boolean, missing long", reply["valid"], reply["nrecords"], db.validate()["valid"], db.run_command({"validate": "nowhere"})["code"])
+
+
+@query("command_drop", "SELECT 'nation' AS name", "region", "nation")
+def _(db: Database) -> DataFrame:
+    db.run_command({"drop": "region"})
+    return db.spark.createDataFrame([(n,) for n in db.list_collections()], "name string")
+
+
+@query("session_scope", "SELECT 5::BIGINT AS outside, 6::BIGINT AS after, 225::BIGINT AS old, 251::BIGINT AS ended, 0::BIGINT AS sessions", "region")
+def _(db: Database) -> DataFrame:
+    lsid = {"id": db.start_session()}
+    about = {"lsid": lsid, "txnNumber": 4, "autocommit": False}
+    insert = {"insert": "region", "documents": [{"r_regionkey": 60, "r_name": "later"}]}
+    db.run_command({**insert, **about})
+    outside = db.collection("region").count()
+    db.run_command({"commitTransaction": 1, **about})
+    old, ended = (db.run_command({**insert, **about, "txnNumber": n})["code"] for n in (3, 4))
+    db.run_command({"refreshSessions": [lsid]})
+    after = db.collection("region").count()
+    db.run_command({"endSessions": [lsid]})
+    return _row(db, "outside long, after long, old long, ended long, sessions long", outside, after, old, ended, len(db.sessions))
+
+
+@query("write_conflict", "SELECT 112::BIGINT AS code, count(*) + 1 AS n FROM region", "region")
+def _(db: Database) -> DataFrame:
+    about = {"lsid": {"id": "one"}, "txnNumber": 1, "autocommit": False}
+    db.run_command({"insert": "region", "documents": [{"r_regionkey": 61, "r_name": "staged"}], **about})
+    db.run_command({"insert": "region", "documents": [{"r_regionkey": 62, "r_name": "between"}]})
+    return _row(db, "code long, n long", db.run_command({"commitTransaction": 1, **about})["code"], db.collection("region").count())
+
+
+@query("writers_at_once", "SELECT count(*) + 4 AS n, 4::BIGINT AS added FROM region", "region")
+def _(db: Database) -> DataFrame:
+    from concurrent.futures import ThreadPoolExecutor
+
+    region = db.collection("region")
+    with ThreadPoolExecutor(4) as pool:
+        added = list(pool.map(lambda i: region.insert_one({"r_regionkey": 80 + i, "r_name": "one of four"}), range(4)))
+    return _row(db, "n long, added long", region.count(), len(set(added)))
+
+
+#: Commands that must fail as bad values, by what is wrong with them.
+BAD_COMMANDS = {
+    "unknown stage": {"aggregate": "region", "pipeline": [{"$nope": 1}]},
+    "two fields in a stage": {"aggregate": "region", "pipeline": [{"$limit": 1, "$skip": 1}]},
+    "lookup without as": {"aggregate": "region", "pipeline": [{"$lookup": {"from": "region", "localField": "a", "foreignField": "b"}}]},
+    "lookup without from": {"aggregate": "region", "pipeline": [{"$lookup": {"localField": "a", "foreignField": "b", "as": "c"}}]},
+    "unwind without a path": {"aggregate": "region", "pipeline": [{"$unwind": {}}]},
+    "count without a name": {"aggregate": "region", "pipeline": [{"$count": ""}]},
+    "unknown accumulator": {"aggregate": "region", "pipeline": [{"$group": {"_id": None, "x": {"$median": "$r_regionkey"}}}]},
+    "name of a field": {"insert": "region", "documents": [{"$r_name": 1}]},
+    "empty name of a field": {"insert": "region", "documents": [{"": 1}]},
+    "null id": {"insert": "region", "documents": [{"_id": None}]},
+    "array as id": {"insert": "region", "documents": [{"_id": [1]}]},
+    "name of a collection": {"insert": "system.x", "documents": [{"a": 1}]},
+}
+
+
+@query("bad_commands", "SELECT unnest([" + ", ".join(f"'{x}'" for x in BAD_COMMANDS) + "]) AS what, 2::BIGINT AS code, 5::BIGINT AS n", "region")
+def _(db: Database) -> DataFrame:
+    codes = {what: db.run_command(c).get("code") for what, c in BAD_COMMANDS.items()}
+    n = db.collection("region").count()
+    return db.spark.createDataFrame([(what, code, n) for what, code in codes.items()], "what string, code long, n long")
+
+
 # dynamic documents
 
 

@@ -6,6 +6,7 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -14,14 +15,25 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A document per line; lines that can't be read are left out."""
+    """A document per line; lines that can't be read are left out, `unreadable_lines` gives them."""
     reader = spark.read.option("mode", "DROPMALFORMED")
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """A document per line as one VARIANT column `doc`: any mixture of kinds."""
-    return spark.read.text(path).selectExpr("try_parse_json(value) AS doc").where("doc IS NOT NULL")
+    """A document per line as one VARIANT column `doc`: any mixture of kinds. Lines that can't be read are left out."""
+    return parsed_lines(spark.read.text(path)).drop("value")
+
+
+def unreadable_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines, as `value`, that the readers of documents leave out; blank ones don't count."""
+    lines = spark.read.text(path)
+    return lines.where("try_parse_json(value) IS NULL AND trim(value) <> ''")
+
+
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """lines (a column `value`) with their documents as `doc`, without those that can't be read."""
+    return lines.withColumn("doc", F.expr("try_parse_json(value)")).where("doc IS NOT NULL")
 
 
 def write_snapshot(df: DataFrame, root: str) -> str:
