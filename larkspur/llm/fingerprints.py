@@ -1,13 +1,14 @@
 """Document fingerprints: Order MinHash, whose likeness falls with edit distance and not only with common content.
 
 A text's k-mers are runs of `k` words (a shorter text is one), numbered by occurrence, so that the second "a b" differs from the first.
-Each of `slots` hash functions orders them in two ways and selects the least in each; the two keep the order that they have
-in the text, and the slot is a hash of that tuple. The fingerprint is the slots, in hexadecimal; two are as alike as the
+Each of `slots` hash functions orders them and selects the two least; these keep the order that they have
+in the text, and the slot is a hash of that tuple (of a single k-mer where there is no other). The fingerprint is the slots, in hexadecimal; two are as alike as the
 share of slots that agree.
 
 Built-in functions only. Occurrences are numbered within a row: the k-mers' hashes are sorted with their places in the low
 bits, and an element's number is found by bisection back to the first of its equals. K-mers are then exploded
-and reduced by minima, in one partition as they are already dealt by document: memory is bounded by one document's words.
+and reduced by minima, in one partition as they are already dealt by document, first to the least of each order, then to the least above
+it: memory is bounded by one document's words.
 
 Nulls: a null text is empty; empty texts have the fingerprint of no k-mers. A null id comes last in descending order. Rows that repeat id and
 text have one place in the order, and a row each in the result; ties of ids are ordered by a hash of the text. A very long text is
@@ -16,6 +17,8 @@ one task's work. An empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,23 +61,31 @@ def numbered_kmers(text: Column, k: int) -> Column:
     return let(sql_words(text), lambda w: let(F.sort_array(hashes(w)), lambda s: let(steps(s), lambda p: number(s, p))))
 
 
-def signatures(texts: DataFrame, keys: list[str], *, k: int = 2, slots: int = SLOTS, text_col: str = "text") -> DataFrame:
-    """keys and `slots` (array<int>, null where there is no k-mer). texts: a row per key, dealt by the leading keys."""
-    v = F.explode_outer(numbered_kmers(F.col(text_col), k)).alias("v")
-    each = texts.select(*keys, v).select(*keys, _high(F.col("v")).alias("h"), _low(F.col("v")).alias("at"))
-    least = []
-    for j in range(slots):
-        x = F.xxhash64("h", F.lit(j))
-        least.append(F.min(_high(x).bitwiseOR(F.col("at"))).alias(f"a{j}"))
-        least.append(F.min(_high(F.shiftleft(x, 31)).bitwiseOR(F.col("at"))).alias(f"b{j}"))
-    out = each.groupBy(*keys).agg(*least)
+def signatures(texts: DataFrame, keys: list[str], *, side: str | None = None, carry: tuple[str, ...] = (), k: int = 2, slots: int = SLOTS, text_col: str = "text") -> DataFrame:
+    """keys, side, carry and `slots` (array<int>, null where there is no k-mer).
+
+    texts: a row per keys and side (an int, at most a few of one key), none null, dealt by keys, so that nothing is shuffled. The
+    k-mers are reduced to the least of each order, and then to the least of those above it.
+    """
+    own = [*keys, *([side] if side else [])]
+    places = [F.xxhash64("h", F.lit(j)) for j in range(slots)]
+    place = [_high(x).bitwiseOR(F.col("at")) for x in places]
+    kmers = texts.select(*own, *carry, numbered_kmers(F.col(text_col), k).alias("v"))
+    parted = lambda df, *more: df.select(*own, *more, F.explode_outer("v").alias("v")).select(*own, *more, _high(F.col("v")).alias("h"), _low(F.col("v")).alias("at"))
+    least = parted(kmers).groupBy(*own).agg(*[F.min(x).alias(f"a{j}") for j, x in enumerate(place)])
+    least = least.select(*[F.col(c).alias(f"_{c}") for c in own], *[f"a{j}" for j in range(slots)])
+    same = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"_{c}") for c in keys])
+    if side:  # not as a key of the join, whose partitioning it would change
+        same = same & (F.col(side) - F.col(f"_{side}") == 0)
+    both = parted(kmers.join(least, same), *carry, *[f"a{j}" for j in range(slots)])
+    out = both.groupBy(*own, *carry).agg(*[F.min(f"a{j}").alias(f"a{j}") for j in range(slots)], *[F.min(F.when(x > F.col(f"a{j}"), x)).alias(f"b{j}") for j, x in enumerate(place)])
 
     def slot(j: int) -> Column:
         a, b = F.col(f"a{j}"), F.col(f"b{j}")
-        in_order = F.xxhash64(F.when(_low(a) <= _low(b), F.struct(_high(a), _high(b))).otherwise(F.struct(_high(b), _high(a))))
+        in_order = F.xxhash64(F.when(b.isNull() | (_low(a) <= _low(b)), F.struct(_high(a), _high(b))).otherwise(F.struct(_high(b), _high(a))))
         return F.when(a.isNotNull(), F.shiftright(in_order, 32).cast("int"))
 
-    return out.select(*keys, F.array(*[slot(j) for j in range(slots)]).alias("slots"))
+    return out.select(*own, *carry, F.array(*[slot(j) for j in range(slots)]).alias("slots"))
 
 
 def as_text(slots: Column) -> Column:
@@ -127,7 +138,7 @@ def fingerprint_edits(docs: DataFrame, *, k: int = 2, slots: int = SLOTS, id_col
     both = edited.select("id", "th", "none", F.length("text").cast("long").alias("n_chars"), "text", whole.alias("edited"))
     side = lambda i, sha, text: F.struct(F.lit(i).alias("side"), sha.alias("sha"), F.col(text).alias("text"))
     sides = both.select("id", "th", "none", "n_chars", F.explode(F.array(side(0, F.lit(""), "text"), side(1, F.sha2("edited", 256), "edited"))).alias("s")).select("id", "th", "none", "n_chars", "s.side", "s.sha", "s.text")
-    signed = saved(signatures(sides, ["id", "th", "none", "n_chars", "side", "sha"], k=k, slots=slots), "signatures")
+    signed = saved(signatures(sides, ["id", "th"], side="side", carry=("none", "n_chars", "sha"), k=k, slots=slots), "signatures")
     text_side, edit_side = signed.where("side = 0"), signed.where("side = 1")
     a = text_side.select("id", "th", "none", "n_chars", F.col("slots").alias("a"))
     b = edit_side.select(F.col("id").alias("bid"), F.col("th").alias("bth"), "sha", F.col("slots").alias("b"))

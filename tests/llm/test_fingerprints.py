@@ -1,8 +1,10 @@
 import hashlib
 import random
+import struct
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from larkspur.llm import fingerprints as P
@@ -33,6 +35,41 @@ def test_occurrences_are_numbered(spark):
     assert len(back) == len({x for t in texts for x in numbered(t, 2)})
 
 
+def spark_hash(*values):
+    """The built-in hash: each value's with the hash so far as its seed."""
+    seed = 42
+    for v in values:
+        data = v.encode() if isinstance(v, str) else struct.pack("<q" if isinstance(v, Long) else "<i", v)
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return Long(seed - (1 << 64) if seed >> 63 else seed)
+
+
+class Long(int):
+    pass
+
+
+def brute_slots(text, k=2):
+    high = lambda x: Long((x >> 31) << 31)
+    kmers = [high(spark_hash(high(spark_hash(*gram)), n)) for gram, n in numbered(text, k)]
+    out = []
+    for j in range(P.SLOTS):
+        order = sorted(range(len(kmers)), key=lambda at: (high(spark_hash(kmers[at], j)), at))
+        chosen = [high(spark_hash(kmers[at], j)) for at in sorted(order[:2])]
+        if chosen:
+            digest = spark_hash(*chosen)
+            out.append(f"{(digest >> 32) & 0xFFFFFFFF:08x}")
+    return "".join(out)
+
+
+def test_fingerprints_against_brute_force(spark):
+    """The two least k-mers of one order, in text order; a hash of nothing leaves the hash so far."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["", "x", "x y", "x y z", "a a a a", "é ü " * 9]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: r.f or "" for r in P.signatures(df, ["i"]).select("i", P.as_text(F.col("slots")).alias("f")).collect()}
+    assert got == {i: brute_slots(t) for i, t in enumerate(texts)}
+
+
 def brute_edit(docs):
     """docs: distinct (id, text), descending. id: edited text and the next's id."""
     order = sorted(docs, key=lambda d: (d[0] is None, -(d[0] or 0)))
