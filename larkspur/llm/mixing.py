@@ -18,7 +18,7 @@ rows. Extra columns pass through `mix`.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,7 +86,7 @@ def plan(sized: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: flo
     """A rule per source: its size and target, whole copies, the hash below which a document is taken once
     more, and the shards of its blocks. sized: columns source, size, h (the permuting hash).
 
-    The driver gets a row per source, and 2**LEVEL_BITS block sizes of a source at a time.
+    A source's blocks are summed in order where they are, 2**LEVEL_BITS of them at a time; the driver gets a row per source and level.
     """
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     totals = sorted(totals, key=lambda r: (r.source is None, (r.source or "").encode()))
@@ -98,23 +98,25 @@ def plan(sized: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: flo
     level, width = 0, 1 << LEVEL_BITS
     while level * LEVEL_BITS < HASH_BITS and (going := [x for x in rules if x["open"] and x["quota"] > 0]):
         shift = HASH_BITS - (level + 1) * LEVEL_BITS
-        table = sized.sparkSession.createDataFrame([(x["source"], x["below"] >> (shift + LEVEL_BITS)) for x in going], "s string, p long")
+        table = sized.sparkSession.createDataFrame([(i, x["source"], x["below"] >> (shift + LEVEL_BITS), x["quota"]) for i, x in enumerate(going)], "i int, s string, p long, quota double")
         table = F.broadcast(table) if len(going) <= BROADCAST_SOURCES else table
-        inside = sized.join(table, sized.source.eqNullSafe(table.s) & (F.shiftright("h", shift + LEVEL_BITS) == table.p)) if level else sized
-        cut = inside.groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
-        blocks: dict = {}
-        for r in cut.toLocalIterator():
-            blocks.setdefault(r.source, []).append((r.b, r["size"], r.n))
-        for x in going:
-            x["open"] = False
-            for b, size, n in sorted(blocks.get(x["source"], [])):
-                if size > x["quota"]:
-                    x["below"], x["open"] = b << shift, n > 1
-                    if n == 1 and size - x["quota"] < x["quota"]:  # the nearer side of a single document
-                        x["below"] = (b + 1) << shift
-                    break
-                x["quota"] -= size
-                x["below"] = (b + 1) << shift
+        of, block = sized["source"].eqNullSafe(table["s"]), F.shiftright("h", shift).alias("b")
+        sums = F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")
+        if level:  # few documents are in the blocks that are cut
+            blocks = sized.join(table, of & (F.shiftright("h", shift + LEVEL_BITS) == table["p"])).groupBy("i", "quota", block).agg(*sums)
+        else:  # a hot source's documents are summed before they meet their rule
+            blocks = sized.groupBy("source", block).agg(*sums).join(table, of)
+        order = Window.partitionBy("i").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)  # at most 2**LEVEL_BITS blocks of a source
+        cut = F.when(F.col("sum") > F.col("quota"), F.struct("b", "size", "n", "sum"))
+        for r in blocks.withColumn("sum", F.sum("size").over(order)).groupBy("i").agg(F.min(cut).alias("cut"), F.max("b").alias("last")).collect():
+            x = going[r.i]
+            if r.cut is None:  # all blocks are taken: only where the sizes' sum is the quota itself
+                x["below"], x["open"] = (r["last"] + 1) << shift, False
+                continue
+            x["quota"] -= r.cut["sum"] - r.cut["size"]
+            x["below"], x["open"] = r.cut["b"] << shift, r.cut["n"] > 1
+            if r.cut["n"] == 1 and r.cut["size"] - x["quota"] < x["quota"]:  # the nearer side of a single document
+                x["below"] = (r.cut["b"] + 1) << shift
         level += 1
     taken = [((min(width, (x["below"] >> (HASH_BITS - LEVEL_BITS)) + 1) if x["below"] else 0) + x["copies"] * width) for x in rules]
     dealt = split_tree(np.array(taken, np.int64), shards, seed) if rules else np.zeros((shards, 0), np.int64)

@@ -75,3 +75,16 @@ def test_draw_repeats_and_shards(spark):
     mixed = {r.doc_id: r.mix_copies for r in mixing.mix(docs, shards=8).collect()}
     assert len(rows) == sum(mixed.values())
     assert {r.mix_shard for r in rows} == set(range(8))
+
+
+def test_many_sources_are_cut_as_one_by_one(spark):
+    docs = [(i, f"s{i % 37}", 1 + i * 7 % 23) for i in range(20_000)] + [(20_000, "one", 5), (20_001, None, 0)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, mix_size long")
+    got = mixing.mix(df).collect()
+    by = {s: [r for r in got if r.source == s] for s in {s for _, s, _ in docs}}
+    names = sorted((s for s in by if s is not None), key=lambda s: s.encode()) + [None]
+    sizes = [sum(r.mix_size for r in by[s]) for s in names]
+    want = waterfill(sizes, [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5 * sum(sizes), 2)
+    for s, t in zip(names, want):
+        assert abs(sum(r.mix_copies * r.mix_size for r in by[s]) - t) <= max(r.mix_size for r in by[s])
+        assert all(0 <= r.mix_copies <= 2 for r in by[s])
