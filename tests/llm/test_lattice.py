@@ -105,3 +105,33 @@ def test_edges(spark):
     assert lattice.lattice_scores(df.limit(0), path).collect() == []
     only = lattice.lattice_scores(spark.createDataFrame([(i, "q") for i in range(100) if held(i)], "doc_id long, text string"), path).collect()
     assert only and all(r.n_known == 0 and r.train_tokens == 0 for r in only)
+
+
+def test_score_against_brute_force(spark):
+    from larkspur.llm.queries import vocabulary
+
+    path = vocabulary("piece_bpe_32k.model")
+    texts = ["Hello world", "hell o\nworld", "the cat", "THE mat  the", None, "", "a", "tab\tle table", "lat", "he is at sea"]
+    docs = [(i, texts[i % len(texts)]) for i in range(40)]
+    pieces, _, first = lattice.read_vocabulary(path)
+    place = {p: i for i, p in enumerate(pieces) if p}
+    train = [tokens(t) for i, t in docs if not held(i)]
+    count, own, end = Counter(w for t in train for w in t), first, len(train) + 0.1
+
+    def ways(word, weights):
+        return [(way, math.prod(weights[place[x]] for x in way)) for way in segmentations("▁" + word, place)]
+
+    for _ in range(2):
+        want = first * 0.1 * len(first)
+        for word, n in count.items():
+            found = ways(word, own)
+            total = sum(v for _, v in found)
+            for way, v in found:
+                for x in way:
+                    want[place[x]] += n * v / total
+        own = want / (want.sum() + end)
+    last = math.log10(end / (end + want.sum()))
+    got = {r.doc_id: r.score for r in lattice.lattice_scores(spark.createDataFrame(docs, "doc_id long, text string"), path).collect()}
+    for i, t in docs:
+        assert got[i] == pytest.approx(last + sum(math.log10(sum(v for _, v in ways(w, own))) for w in tokens(t)), rel=1e-9)
+    assert sum(held(i) for i, _ in docs) > 2
