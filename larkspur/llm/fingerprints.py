@@ -121,30 +121,32 @@ def fingerprint_edits(docs: DataFrame, *, k: int = 2, slots: int = SLOTS, id_col
     A document's edited text has its last half (rounded down) replaced by as many code points, or all, of the next
     document's, by descending id; the last is followed by the first.
     """
-    # keys that are never null, so that joins and groupings by them share one partitioning
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.col(id_col).isNull().alias("none"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text", "none"))
+    # keys that are never null, so that joins and groupings by them share one partitioning; the lowest bit of th marks a null id, so that no
+    # branch carries a column that another drops, and exchanges of texts are written once and read again
+    th = F.xxhash64("text").bitwiseAND(F.lit(~1)).bitwiseOR(F.col("none").cast("long"))
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.col(id_col).isNull().alias("none"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", th.alias("th"), "text")
     rows, distinct = own.agg(F.count(F.lit(1)), F.count_distinct(F.struct("id", "th"))).first()
     every = own.select(F.col("id").alias("_id"), F.col("th").alias("_th"))
     if rows != distinct:
-        own = own.groupBy("id", "th", "none").agg(F.min("text").alias("text"))
+        own = own.groupBy("id", "th").agg(F.min("text").alias("text"))
     next_ = saved(neighbours(own), "next")
-    size = own.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "none", F.length("text").alias("n"))
-    own = own.select("id", "th", "text")  # in both joins, so that its exchange is used again
+    size = own.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.length("text").alias("n"))
     same = lambda a, b: (F.col(a[0]) == F.col(b[0])) & (F.col(a[1]) == F.col(b[1]))
-    halves = next_.join(size, same(("id", "th"), ("_id", "_th"))).select(F.col("id").alias("to"), F.col("th").alias("to_th"), "none", F.col("next_id").alias("_id"), F.col("next_th").alias("_th"), (F.col("n") / 2).cast("int").alias("half"))
-    tails = own.join(halves, same(("id", "th"), ("_id", "_th"))).select("to", "to_th", "none", "half", F.expr("substring(text, 1, half)").alias("tail"))
+    halves = next_.join(size, same(("id", "th"), ("_id", "_th"))).select(F.col("id").alias("to"), F.col("th").alias("to_th"), F.col("next_id").alias("_id"), F.col("next_th").alias("_th"), (F.col("n") / 2).cast("int").alias("half"))
+    tails = own.join(halves, same(("id", "th"), ("_id", "_th"))).select("to", "to_th", "half", F.expr("substring(text, 1, half)").alias("tail"))
     edited = own.join(tails, same(("id", "th"), ("to", "to_th")))
     whole = F.concat(F.expr("substring(text, 1, length(text) - half)"), F.col("tail"))
-    both = edited.select("id", "th", "none", F.length("text").cast("long").alias("n_chars"), "text", whole.alias("edited"))
+    both = edited.select("id", "th", F.length("text").cast("long").alias("n_chars"), "text", whole.alias("edited"))
     side = lambda i, sha, text: F.struct(F.lit(i).alias("side"), sha.alias("sha"), F.col(text).alias("text"))
-    sides = both.select("id", "th", "none", "n_chars", F.explode(F.array(side(0, F.lit(""), "text"), side(1, F.sha2("edited", 256), "edited"))).alias("s")).select("id", "th", "none", "n_chars", "s.side", "s.sha", "s.text")
-    signed = saved(signatures(sides, ["id", "th"], side="side", carry=("none", "n_chars", "sha"), k=k, slots=slots), "signatures")
-    text_side, edit_side = signed.where("side = 0"), signed.where("side = 1")
-    a = text_side.select("id", "th", "none", "n_chars", F.col("slots").alias("a"))
-    b = edit_side.select(F.col("id").alias("bid"), F.col("th").alias("bth"), "sha", F.col("slots").alias("b"))
-    c = text_side.select(F.col("id").alias("nid"), F.col("th").alias("nth"), F.col("slots").alias("c"))
-    step = next_.select(F.col("id").alias("sid"), F.col("th").alias("sth"), "next_id", "next_th")
-    out = a.join(b, same(("id", "th"), ("bid", "bth"))).join(step, same(("id", "th"), ("sid", "sth"))).join(c, same(("next_id", "next_th"), ("nid", "nth")))
+    sides = both.select("id", "th", "n_chars", F.explode(F.array(side(0, F.lit(""), "text"), side(1, F.sha2("edited", 256), "edited"))).alias("s")).select("id", "th", "n_chars", "s.side", "s.sha", "s.text")
+    signed = signatures(sides, ["id", "th"], side="side", carry=("n_chars", "sha"), k=k, slots=slots)
+    # both sides are in one partition still: a row per document, with the next one's key, so that only the next one's slots are joined later
+    of = lambda i: F.max(F.when(F.col("side") == i, F.col("slots")))
+    pairs = signed.groupBy("id", "th").agg(F.max("n_chars").alias("n_chars"), F.max("sha").alias("sha"), of(0).alias("a"), of(1).alias("b"))
+    step = next_.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "next_id", "next_th")
+    pairs = saved(pairs.join(step, same(("id", "th"), ("_id", "_th"))).drop("_id", "_th"), "signatures")
+    c = pairs.select(F.col("id").alias("nid"), F.col("th").alias("nth"), F.col("a").alias("c"))
+    out = pairs.join(c, same(("next_id", "next_th"), ("nid", "nth")))
     if rows != distinct:
         out = every.join(out, same(("_id", "_th"), ("id", "th")))
-    return out.select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "n_chars", F.col("sha").alias("edited_sha256"), as_text(F.col("a")).alias("fingerprint"), as_text(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
+    return out.select(F.when(F.col("th").bitwiseAND(F.lit(1)) == 0, F.col("id")).alias("doc_id"), "n_chars", F.col("sha").alias("edited_sha256"), as_text(F.col("a")).alias("fingerprint"), as_text(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))

@@ -137,3 +137,41 @@ def test_no_python_runs_on_the_main_path(spark):
     df = spark.createDataFrame([(1, "a b c")], "id long, text string")
     plan = P.signatures(df, ["id"])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def written(spark, run):
+    """Bytes that the stages of run() write to shuffles."""
+    sc = spark._jsc.sc()
+    none = spark._jvm.java.util.ArrayList()
+
+    def total():
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+        return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    before = total()
+    run()
+    return sum(n for stage, n in total().items() if stage not in before)
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    """Small tables are joined as large ones are."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    had = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, had)
+
+
+@pytest.mark.parametrize("repeated", [0, 1], ids=["distinct rows", "a repeated row"])
+def test_texts_are_shuffled_once_and_tails_once(spark, tmp_path, repeated, no_broadcasts):
+    """Of equal lengths, a tail is half a text: 1.5 times the texts, narrow rows besides."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"{rng.getrandbits(64):016x}" for _ in range(1200))) for i in range(150)]
+    spark.createDataFrame(rows + rows[:repeated], "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    once = written(spark, lambda: docs.repartition(4, "doc_id").write.parquet(f"{tmp_path}/once"))
+    got = written(spark, lambda: P.fingerprint_edits(docs).write.parquet(f"{tmp_path}/out"))
+    assert once > 2_000_000
+    assert got < 1.75 * once
