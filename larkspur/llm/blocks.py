@@ -16,30 +16,32 @@ from pyspark.sql import functions as F
 
 #: Rows of a group of `open_blocks`, as `search_blocks` hands them on.
 GROUP = ("key", "kind", "i", "j")
+#: Rows of a small group at most: its pairs are few enough to be looked at with those of others.
+SMALL = 16
 
 
-def _with_least(rows: DataFrame) -> DataFrame:
+def with_least(rows: DataFrame) -> DataFrame:
     """key, id and b, the block's least id, of the other members. Minima are aggregated before the shuffle and joined back."""
     least = rows.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("_max")).where(F.col("b") != F.col("_max"))
     return rows.join(least.select(F.col("key").alias("_key"), "b"), F.col("key") == F.col("_key")).where(F.col("id") != F.col("b")).select("key", "id", "b")
 
 
-def star_pairs(rows: DataFrame, shared: int = 1) -> DataFrame:
-    """a, b: members with the least id of their block, where that is so in `shared` blocks or more."""
-    pairs = _with_least(rows).groupBy(F.col("id").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
+def star_pairs(others: DataFrame, shared: int = 1) -> DataFrame:
+    """a, b: members (of `with_least`) with the least id of their block, where that is so in `shared` blocks or more."""
+    pairs = others.groupBy(F.col("id").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
     return pairs.where(F.col("n") >= shared).select("a", "b")
 
 
-def open_blocks(rows: DataFrame, components: DataFrame, most: int) -> DataFrame:
-    """key, id, component, minor, part, kind, i, j: members of blocks, without the least that the first round has compared with them
-    all, where these are of several components; one block for each distinct set of them.
+def open_blocks(others: DataFrame, components: DataFrame, most: int) -> DataFrame:
+    """key, id, component, minor, part, kind, i, j: members of blocks (of `with_least`), without the least that the first round has
+    compared with them all, where these are of several components; one block for each distinct set of them.
 
     The largest component of a block needs no pairs within it, so its members are dealt to parts of `most` and each part meets the
     other, minor, members. Those are dealt to parts too where they are many. A group (key, kind, i, j) holds minor part i, and
     of kind 0 major part j, of kind 1 minor part j: a large group of like rows stays one row a member.
     """
     own = components.select(F.col("id").alias("_id"), F.col("component").alias("_c"))
-    others = _with_least(rows).select("key", "id")
+    others = others.select("key", "id")
     named = others.join(own, others.id == own["_id"], "left").select("key", "id", F.coalesce("_c", "id").alias("component"))
     sums = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
     blocks = sums.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
@@ -56,10 +58,11 @@ def open_blocks(rows: DataFrame, components: DataFrame, most: int) -> DataFrame:
     return members.select("key", "id", "component", "minor", "part", F.explode(groups).alias("g")).select("key", "id", "component", "minor", "part", "g.kind", "g.i", "g.j")
 
 
-def search_blocks(members: DataFrame, search: Callable, schema: str) -> DataFrame:
+def search_blocks(members: DataFrame, search: Callable, schema: str, search_small: Callable | None = None) -> DataFrame:
     """search over each group of `open_blocks`, with what was joined to it; gives a and b of its pairs.
 
-    Groups are small and many, so a task walks its sorted rows and holds one group at a time.
+    Groups are small and many, so a task walks its sorted rows and holds one group at a time, and a batch. Groups of at most SMALL
+    rows within it go to search_small together, if there is one, with where each begins and its size.
     """
 
     def run(batches):
@@ -70,7 +73,11 @@ def search_blocks(members: DataFrame, search: Callable, schema: str) -> DataFram
             ids = [rows.column(c).to_numpy() for c in GROUP]
             new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
             edges = [0, *new.tolist()]
-            yield from result([search(rows.slice(lo, hi - lo)) for lo, hi in zip(edges, new.tolist(), strict=False)])
+            groups = [(lo, hi - lo) for lo, hi in zip(edges, new.tolist(), strict=False)]
+            if search_small is not None and (few := [g for g in groups if g[1] <= SMALL]):
+                yield from result([search_small(rows, *np.array(few).T)])
+                groups = [g for g in groups if g[1] > SMALL]
+            yield from result([search(rows.slice(*g)) for g in groups])
             left = rows.slice(edges[-1])
         if left is not None:
             yield from result([search(left)])
@@ -96,3 +103,18 @@ def pairs_to_test(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
         else:
             ys = ~minor if j else ~minor | (place < x)
         yield x, np.flatnonzero(ys & (of != of[x]))
+
+
+def small_pairs(rows: pa.Table, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (x, y) of `pairs_to_test` of many groups, as places in rows."""
+    column = lambda c: rows.column(c).to_numpy()
+    minor, part, j, component = column("minor"), column("part"), column("j"), column("component")
+    begin, own = np.repeat(first, size), np.repeat(size, size)
+    x = begin + np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+    keep = minor[x] & (part[x] == column("i")[x])
+    x, begin, own = x[keep], begin[keep], own[keep]
+    y = np.repeat(begin, own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+    x = np.repeat(x, own)
+    across = np.where(column("kind")[x] > 0, part[y] == j[x], ~minor[y] | ((j[x] == 0) & (y < x)))
+    keep = across & (component[x] != component[y])
+    return x[keep], y[keep]

@@ -9,7 +9,8 @@ and any two lines agree in a slot with their Jaccard index as probability. Pairs
 sets, and union-find joins the links. Of each component the line of the least (doc_id, line) stays.
 
 A line's text is shuffled once, to chunks by its digest, after each task has dropped its own copies. Each chunk sketches its lines'
-bands (the merged count-min sketch of `substring`), and only lines with a band that another line has go on. The occurrences
+bands (the merged count-min sketch of `substring`) and says where each cell's bands are; the merged sketch answers with the bands whose cells
+another line has too, and only lines with such a band are signed again and go on. The occurrences
 of a common line are narrow rows, whose least is aggregated before the shuffle and joined back.
 
 A document is its id and text. Nulls: a null text has no lines; a null id comes last in order. Rows that repeat id and text keep and lose the
@@ -21,15 +22,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import open_blocks, pairs_to_test, search_blocks, star_pairs
-from .chunks import total_chars
+from .blocks import open_blocks, pairs_to_test, search_blocks, small_pairs, star_pairs, with_least
 from .graph import components
 from .store import saved
-from .substring import Sketch, merge_sketches, pack_cells, repeated
+from .substring import Sketch, cells_twice, pack_bits, pack_cells, unpack_bits
 from .text import mix, signed
 
 _U = np.uint64
@@ -155,7 +156,7 @@ def place(doc: Column, line: Column, th: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, doc and th of each document, and line and id (the digest) of each of its lines that have a word."""
+    """doc_id, doc and th of each document, line and id (the digest) of each of its lines that have a word, and its characters."""
 
     def run(batches):
         for b in batches:
@@ -166,9 +167,9 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     ids.append(digest(x))
                 cuts.append(len(line))
             lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), x) for x in (pa.array(line, pa.int32()), pa.array(ids, pa.binary()))]
-            yield pa.record_batch([*b.columns[:3], *lists], names=["doc_id", "doc", "th", "lines", "ids"])
+            yield pa.record_batch([*b.columns[:3], *lists, pc.utf8_length(b.column(3)).cast(pa.int64())], names=["doc_id", "doc", "th", "lines", "ids", "chars"])
 
-    return known_docs(docs, id_col, text_col).mapInArrow(run, "doc_id long, doc long, th long, lines array<int>, ids array<binary>")
+    return known_docs(docs, id_col, text_col).mapInArrow(run, "doc_id long, doc long, th long, lines array<int>, ids array<binary>, chars long")
 
 
 def distinct_lines(docs: DataFrame, chunks: int, id_col: str, text_col: str, most: int = 8_000_000) -> DataFrame:
@@ -305,74 +306,120 @@ def cross_links(group: pa.Table, k: int, num: int, den: int) -> tuple[list, list
     return a, b
 
 
-def line_components(docs: DataFrame, *, k: int, bands: int, rows: int, threshold: tuple[int, int], chunk_chars: int, most: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Two tables: id (the digest), num, at (the first place that has it) and n of the lines that are there twice or may be alike to
+def small_links(rows: pa.Table, first: np.ndarray, size: np.ndarray, k: int, num: int, den: int) -> tuple[list, list]:
+    """The links of many small groups of `blocks` by the same rules: pairs that share a lesser key are left out, a pair is compared once."""
+    x, y = small_pairs(rows, first, size)
+    ids, at, of = np.unique(rows.column("id").to_numpy(), return_index=True, return_inverse=True)
+    lists = rows.column("keys").combine_chunks()
+    cuts, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    number = np.unique(np.append(values[cuts[0] : cuts[-1]], rows.column("key").to_numpy()), return_inverse=True)[1]
+    keys, key, cuts = number[: cuts[-1] - cuts[0]], number[cuts[-1] - cuts[0] :], cuts - cuts[0]
+    less = []
+    for z in (x, y):
+        own = keys[places(cuts[:-1], np.diff(cuts), z)]
+        pair = np.repeat(np.arange(len(z)), np.diff(cuts)[z])
+        lesser = own < key[x][pair]
+        less.append(np.unique(pair[lesser] * len(number) + own[lesser]))
+    both = np.sort(np.concatenate(less))
+    left = np.ones(len(x), bool)
+    left[both[1:][both[1:] == both[:-1]] // max(1, len(number))] = False
+    pairs = np.unique(np.minimum(of[x], of[y])[left] * len(ids) + np.maximum(of[x], of[y])[left])
+    a, b = pairs // max(1, len(ids)), pairs % max(1, len(ids))
+    texts, keep = rows.column("text").take(pa.array(at)).to_pylist(), np.zeros(len(pairs), bool)
+    for lo in range(0, len(pairs), 512):
+        used, which = np.unique(np.concatenate([a[lo : lo + 512], b[lo : lo + 512]]), return_inverse=True)
+        keep[lo : lo + 512] = jaccard_links([texts[i] for i in used.tolist()], *which.reshape(2, -1), k, num, den)
+    return ids[a[keep]].tolist(), ids[b[keep]].tolist()
+
+
+def numbered_lines(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct lines of a chunk, numbered by digest, so that every pass numbers alike: which each row has, and a row of each."""
+    coded = group.column("id").combine_chunks().dictionary_encode()
+    rank = np.argsort(pc.sort_indices(coded.dictionary).to_numpy())
+    of, row = rank[coded.indices.to_numpy()], np.zeros(len(rank), np.int64)
+    row[of[::-1]] = np.arange(len(of))[::-1]
+    return of, row
+
+
+def line_components(docs: DataFrame, total: int, *, k: int, bands: int, rows: int, threshold: tuple[int, int], chunk_chars: int, most: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """total: the characters of all texts. Two tables: id (the digest), num, at (the first place that has it) and n of the lines that are there twice or may be alike to
     another; and id and component, the least num in it, of those that are alike to another but for the least."""
     num, den = threshold
-    total = total_chars(docs.select(F.col(text_col).alias("text")))
     chunks, shape = max(1, -(-total // chunk_chars)), Sketch(max(1, total * bands // 250), 1, 4096)
     lines = distinct_lines(docs, chunks, id_col, text_col)
 
-    def prepared(group):
-        """The distinct lines of a chunk: which of them each row has, a row of each, and the line and key of each band."""
-        coded = group.column("id").combine_chunks().dictionary_encode()
-        of, n = coded.indices.to_numpy(), len(coded.dictionary)
-        row = np.zeros(n, np.int64)
-        row[of[::-1]] = np.arange(len(of))[::-1]
-        texts, keys = group.column("text").take(pa.array(row)).to_pylist(), np.zeros((n, bands), _U)
+    def signed_lines(group, row):
+        """The bands' keys of the lines that are in these rows."""
+        texts, keys = group.column("text").take(pa.array(row)).to_pylist(), np.zeros((len(row), bands), _U)
         for which in by_length(texts):
             keys[which] = band_keys([texts[i] for i in which], k, bands, rows)[1].reshape(-1, bands)
-        return of, row, np.repeat(np.arange(n), bands), keys.ravel()
+        return keys
 
     def sketch(key, group):
-        _, _, line, keys = prepared(group)
-        out = [(n, pack_cells(used, several, shape.size)) for n, used, several, _, _ in shape.cells(keys, line) if len(used)]
-        return pa.table({"segment": pa.array([n for n, _ in out], pa.int64()), "chunk": pa.array([key[0].as_py()] * len(out), pa.int64()), "cells": pa.array([c for _, c in out], pa.binary())})
+        _, row = numbered_lines(group)
+        keys, out = signed_lines(group, row).ravel(), []
+        width = len(keys).bit_length()
+        for number, cell, at, order in shape.sorted_cells(keys):
+            new = np.diff(cell, prepend=-1) != 0
+            first, at = np.flatnonzero(new), at[order]
+            several = np.minimum.reduceat(at // bands, first) != np.maximum.reduceat(at // bands, first)
+            out.append((number, pack_cells(cell[first], several, shape.size), len(at), np.packbits(new).tobytes() + pack_bits(at, width)))
+        column = lambda c, t: pa.array([x[c] for x in out], t)
+        return pa.table({"segment": column(0, pa.int64()), "chunk": pa.array([key[0].as_py()] * len(out), pa.int64()), "cells": column(1, pa.binary()), "width": pa.array([width] * len(out), pa.int32()), "n": column(2, pa.int64()), "places": column(3, pa.binary())})
 
     def merge(key, group):
-        return merge_sketches(group, shape)
+        out = []
+        for twice, width, n, data in zip(cells_twice(group.column("cells"), shape), *(group.column(c).to_pylist() for c in ("width", "n", "places")), strict=True):
+            raw = np.frombuffer(data, np.uint8)
+            new = np.unpackbits(raw[: (n + 7) // 8], count=n)
+            out.append(unpack_bits(raw[(n + 7) // 8 :], n, width)[twice[np.cumsum(new, dtype=np.int64) - 1]].tobytes())
+        return pa.table({"chunk": group.column("chunk"), "marks": pa.array(out, pa.binary())})
 
     def give(key, group, marks):
         if not group.num_rows:
             return pa.table({n: pa.array([], t) for n, t in GIVEN.items()})
-        of, row, line, keys = prepared(group)
-        twice = repeated(shape, keys, line, marks)
-        shared = np.bincount(line[twice], minlength=len(row))
+        of, row = numbered_lines(group)
+        twice = np.sort(np.frombuffer(b"".join(marks.column("marks").to_pylist()), np.int64))
+        shared = np.bincount(twice // bands, minlength=len(row))
+        signed_ = np.flatnonzero(shared)
+        keys = signed_lines(group, row[signed_])[np.repeat(np.arange(len(signed_)), shared[signed_]), twice % bands]
         column = lambda c: group.column(c).to_numpy()
         order = np.lexsort((column("th"), column("line"), column("doc"), of))  # a line's least place first
         least, n = order[np.searchsorted(of[order], np.arange(len(row)))], np.bincount(of, column("n"), len(row)).astype(np.int64)
         out = np.flatnonzero((shared > 0) | (n > 1))
         cuts = pa.array(np.append(0, np.cumsum(shared[out])).astype(np.int32))
-        number = (key[0].as_py() << 32) + out  # of the chunk's lines, as they come; written down before they are used
+        number = (key[0].as_py() << 32) + out
         text = group.column("text").take(pa.array(row[out], mask=shared[out] == 0))
-        lists = pa.ListArray.from_arrays(cuts, pa.array(signed(keys[twice])))
+        lists = pa.ListArray.from_arrays(cuts, pa.array(signed(keys)))
         first = group.select(["doc", "line", "th"]).take(pa.array(least[out]))
         return pa.table([group.column("id").take(pa.array(row[out])), pa.array(number), text, lists, *first.columns, pa.array(n[out])], names=list(GIVEN))
 
-    sketches = lines.groupBy("chunk").applyInArrow(sketch, "segment long, chunk long, cells binary")
-    marks = sketches.groupBy("segment").applyInArrow(merge, "segment long, chunk long, marks binary")
+    sketches = lines.groupBy("chunk").applyInArrow(sketch, "segment long, chunk long, cells binary, width int, n long, places binary")
+    marks = sketches.groupBy("segment").applyInArrow(merge, "chunk long, marks binary")
     likely = saved(lines.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(give, "id binary, num long, text string, keys array<long>, doc long, line int, th long, n long"), "lines")
     firsts = likely.select("id", "num", place(F.col("doc"), F.col("line"), F.shiftleft("th", 33)).alias("at"), "n")
     likely = likely.where(F.size("keys") > 0).select("num", "text", "keys")
     in_block = likely.select(F.explode("keys").alias("key"), F.col("num").alias("id"))
 
-    links = saved(verify(star_pairs(in_block), likely, k, threshold), "found")
-    open_ = saved(open_blocks(in_block, labels(links), most), "open")
+    others = saved(with_least(in_block), "blocks")
+    links = saved(verify(star_pairs(others), likely, k, threshold), "found")
+    open_ = saved(open_blocks(others, labels(links), most), "open")
     texts = needed(likely, open_.select("id").distinct()).select("num", "text", "keys")
-    more = search_blocks(open_.join(texts, F.col("id") == F.col("num")), lambda group: cross_links(group, k, num, den), "a long, b long")
+    more = search_blocks(open_.join(texts, F.col("id") == F.col("num")), lambda group: cross_links(group, k, num, den), "a long, b long", lambda *groups: small_links(*groups, k, num, den))
     return firsts, components(links.unionAll(more))
 
 
 def duplicate_lines(docs: DataFrame, *, k: int = PROSE, bands: int = 26, rows: int = 7, threshold: tuple[int, int] = (80, 100), chunk_chars: int = 8_000_000, most: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, doc and th (what names the document: see `known_docs`), n_lines (with a word) and removed (numbers of lines that go) of
     each row."""
-    firsts, of = line_components(docs, k=k, bands=bands, rows=rows, threshold=threshold, chunk_chars=chunk_chars, most=most, id_col=id_col, text_col=text_col)
+    rows_ = saved(occurrences(docs, id_col, text_col), "occurrences")
+    total = rows_.agg(F.sum("chars")).first()[0] or 0
+    firsts, of = line_components(docs, total, k=k, bands=bands, rows=rows, threshold=threshold, chunk_chars=chunk_chars, most=most, id_col=id_col, text_col=text_col)
     of = of.unionAll(of.select("component", "component").distinct())  # and the least of each
     of = of.select(F.col("id").alias("_id"), "component")
     told = firsts.join(of, firsts.num == of["_id"], "left").where(F.col("component").isNotNull() | (F.col("n") > 1)).select("id", F.coalesce("component", "num").alias("component"), "at")
     best = told.groupBy("component").agg(F.min("at").alias("kept")).withColumnRenamed("component", "_c")
     stays = told.join(best, told.component == best["_c"]).select(F.col("id").alias("_id"), "kept")
-    rows_ = saved(occurrences(docs, id_col, text_col), "occurrences")
     each = rows_.select("doc", "th", F.explode(F.arrays_zip("lines", "ids")).alias("x")).select("doc", "th", F.col("x.lines").alias("line"), F.col("x.ids").alias("id"))
     gone = each.join(stays, each.id == stays["_id"]).where(place(F.col("doc"), F.col("line"), F.col("th")) != F.col("kept"))  # lines that are alone stay
     removed = gone.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.sort_array(F.collect_set("line")).alias("removed"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import open_blocks, pairs_to_test, search_blocks, star_pairs
+from .blocks import open_blocks, pairs_to_test, search_blocks, star_pairs, with_least
 from .chunks import total_chars, with_chunks
 from .graph import components
 from .store import saved
@@ -225,7 +225,7 @@ def jaccard_links(docs: DataFrame, *, width: int = 3, threshold: tuple[int, int]
     sets = with_keys.select("id", "s")
     in_block = reps.select(F.explode("keys").alias("key"), "id")
 
-    found = verify(star_pairs(in_block, SHARED), reps, sets, threshold)
+    found = verify(star_pairs(with_least(in_block), SHARED), reps, sets, threshold)
     links = saved(found, "found")
     known = components(links)
     rest = search_open(in_block, known, reps, threshold, most)
@@ -289,5 +289,5 @@ def search_open(in_block: DataFrame, known: DataFrame, reps: DataFrame, threshol
         return a, b
 
     points = reps.select(F.col("id").alias("_id"), "n", "p")
-    members = open_blocks(in_block, known, most).join(points, F.col("id") == F.col("_id"))
+    members = open_blocks(with_least(in_block), known, most).join(points, F.col("id") == F.col("_id"))
     return search_blocks(members, search, "a long, b long").distinct()

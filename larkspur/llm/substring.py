@@ -38,14 +38,26 @@ _SEED = [0x8CB92BA72F3D8DD7, 0x2545F4914F6CDD1D]
 SEGMENT_HASHES, DENSE_CELLS = 1 << 22, 1 << 27
 
 
+def pack_bits(x: np.ndarray, width: int) -> bytes:
+    """The low `width` bits of each number, the least first."""
+    return np.packbits(np.unpackbits(x.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, count=width, bitorder="little")).tobytes() if width else b""
+
+
+def unpack_bits(data: np.ndarray, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if width:
+        own = np.packbits(np.unpackbits(data, count=n * width).reshape(n, width), axis=1, bitorder="little")
+        out[:, : own.shape[1]] = own
+    return out.view("<i8").ravel().astype(np.int64)
+
+
 def pack_cells(cells: np.ndarray, several: np.ndarray, universe: int) -> bytes:
     """Sorted distinct cells below `universe` and a bit for each, as Elias-Fano codes."""
     n = len(cells)
     low = max(0, int(universe // max(n, 1)).bit_length() - 1)
     high = np.zeros((universe >> low) + n + 1, np.uint8)
     high[(cells >> low) + np.arange(n)] = 1
-    lows = (cells[:, None] >> np.arange(low)) & 1
-    return np.array([n, low], "<u4").tobytes() + np.packbits(several).tobytes() + np.packbits(high).tobytes() + np.packbits(lows.astype(np.uint8).ravel()).tobytes()
+    return np.array([n, low], "<u4").tobytes() + np.packbits(several).tobytes() + np.packbits(high).tobytes() + pack_bits(cells, low)
 
 
 def unpack_cells(data: bytes, universe: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,9 +67,7 @@ def unpack_cells(data: bytes, universe: int) -> tuple[np.ndarray, np.ndarray]:
     size = (universe >> low) + n + 1
     high = np.flatnonzero(np.unpackbits(raw[at : (at := at + (size + 7) // 8)], count=size))
     cells = (high - np.arange(n)) << low
-    if low:
-        cells |= np.unpackbits(raw[at:], count=n * low).reshape(n, low).astype(np.int64) @ (1 << np.arange(low))
-    return cells, several
+    return cells | unpack_bits(raw[at:], n, low), several
 
 
 def windows(texts: pa.Array, width: int, kinds: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -99,8 +109,8 @@ class Sketch:
                 at = order[lo:hi]
                 yield row * self.segments + int(segment[at[0]]), at, cell[at]
 
-    def cells(self, h: np.ndarray, text: np.ndarray):
-        """For each row and segment: its number, the sorted cells that are used, if by several texts, which windows, each's place among the cells."""
+    def sorted_cells(self, h: np.ndarray):
+        """For each row and segment: its number, the cells of its hashes, sorted; which hashes fall in it, and the order that sorts them."""
         for number, at, cell in self.rows(h):
             bits = len(cell).bit_length()
             if self.size.bit_length() + bits < 63:  # cells and places in one number sort quickest
@@ -109,6 +119,11 @@ class Sketch:
             else:
                 order = np.argsort(cell, kind="stable")
                 cell = cell[order]
+            yield number, cell, at, order
+
+    def cells(self, h: np.ndarray, text: np.ndarray):
+        """For each row and segment: its number, the sorted cells that are used, if by several texts, which windows, each's place among the cells."""
+        for number, cell, at, order in self.sorted_cells(h):
             new = np.diff(cell, prepend=-1) != 0
             first, place = np.flatnonzero(new), np.empty(len(cell), np.int64)
             place[order] = np.cumsum(new) - 1
@@ -116,21 +131,23 @@ class Sketch:
             yield number, cell[first], np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first), at, place
 
 
-def merge_sketches(group: pa.Table, shape: Sketch) -> pa.Table:
-    """One segment's sketches of all chunks: for each chunk, which of its cells are used twice or more in all."""
-    sketches = group.column("cells")
+def cells_twice(sketches: pa.ChunkedArray, shape: Sketch) -> list[np.ndarray]:
+    """For each sketch of a segment, which of its cells are used twice or more in all."""
+    parts = [unpack_cells(data.as_py(), shape.size) for data in sketches]
     if shape.size <= DENSE_CELLS:
         count = np.zeros(shape.size, np.uint8)
-        for data in sketches:
-            cells, several = unpack_cells(data.as_py(), shape.size)
+        for cells, several in parts:
             count[cells] = np.minimum(count[cells] + 1 + several, 2)
-        twice = lambda cells: count[cells] > 1
-    else:
-        parts = [unpack_cells(data.as_py(), shape.size) for data in sketches]
-        used = np.sort(np.concatenate([np.concatenate([cells, cells[several]]) for cells, several in parts]))
-        again = np.append(np.unique(used[1:][used[1:] == used[:-1]]), shape.size)
-        twice = lambda cells: again[np.searchsorted(again, cells)] == cells
-    marks = [np.packbits(twice(unpack_cells(data.as_py(), shape.size)[0])).tobytes() for data in sketches]
+        return [count[cells] > 1 for cells, _ in parts]
+    used = np.sort(np.concatenate([x for cells, several in parts for x in (cells, cells[several])]))
+    again = used[1:][used[1:] == used[:-1]]
+    again = np.append(again[np.diff(again, prepend=-1) != 0], shape.size)
+    return [again[np.searchsorted(again, cells)] == cells for cells, _ in parts]
+
+
+def merge_sketches(group: pa.Table, shape: Sketch) -> pa.Table:
+    """One segment's sketches of all chunks: for each chunk, which of its cells are used twice or more in all."""
+    marks = [np.packbits(twice).tobytes() for twice in cells_twice(group.column("cells"), shape)]
     return pa.table({"segment": group.column("segment"), "chunk": group.column("chunk"), "marks": pa.array(marks, pa.binary())})
 
 
