@@ -2,7 +2,8 @@
 
 Rewrites that the optimizer cannot make are made here: a $lookup that is unwound becomes a plain join, one that is only
 asked whether it found something a semi or anti join; sorts are applied only where a result, a limit or an ordered
-accumulator depends on them; positions are attached only if some stage needs document order.
+accumulator depends on them; positions are attached only if some stage needs document order; a $skip and the $limit after it are one
+top-k.
 """
 
 from __future__ import annotations
@@ -169,6 +170,18 @@ def parse(pipeline: list[dict]) -> list[tuple[str, object]]:
     return out
 
 
+def joined(stages: list[tuple[str, object]]) -> list[tuple[str, object]]:
+    """stages without limits and skips that do nothing; skips in a row are one."""
+    out: list[tuple[str, object]] = []
+    for name, x in stages:
+        if name in ("$limit", "$skip") and ((n := whole(x)) is None or n <= 0):
+            continue
+        if name == "$skip" and out and out[-1][0] == "$skip":
+            x = whole(out.pop()[1]) + whole(x)
+        out.append((name, x))
+    return out
+
+
 def needs(stages: list[tuple[str, object]]) -> list[bool]:
     """For each stage, and for the result: whether document order after it matters to a later one."""
     out = [False] * (len(stages) + 1)
@@ -208,7 +221,7 @@ def _drops(stage: tuple[str, object] | None, name: str) -> bool:
 
 
 def run(source: Source, pipeline: list[dict], find: Callable[[str], Source | None] | None = None) -> Frame:
-    stages, i = parse(pipeline), 0
+    stages, i = joined(parse(pipeline)), 0
     after, final = needs(stages), _result_sorted(stages)
     df = source.df
     if after[0] or final and any(n == "$sort" for n, _ in stages):
@@ -233,6 +246,11 @@ def run(source: Source, pipeline: list[dict], find: Callable[[str], Source | Non
                 frame.notes.append("lookup and match as a semi or anti join")
                 i += 2
                 continue
+        if name == "$skip" and following is not None and following[0] == "$limit":  # no sort between them, so that they are one top-k
+            frame = frame.on(in_order(frame.df).offset(whole(x)).limit(whole(following[1])))
+            frame.notes.append("skip and limit as one top-k")
+            i += 2
+            continue
         frame = STAGES[name](frame, x, keep)
         i += 1
     return frame
