@@ -13,7 +13,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["sort_skip_limit"])
+@pytest.mark.parametrize("name", ["sort_skip_limit", "limit_from_the_end", "skip_limit_in_scan_order"])
 def test_skip_and_limit_are_a_top_k(spark, name):
     text = plan(__spark_entry__.queries()[name](spark, DATA))
     assert "TakeOrderedAndProject" in text and "GlobalLimit" not in text and "SinglePartition" not in text
