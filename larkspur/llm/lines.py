@@ -20,6 +20,8 @@ task's memory. An empty table gives no rows. `dedup_lines` keeps extra columns.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,7 +33,7 @@ from .blocks import open_blocks, pairs_to_test, search_blocks, small_pairs, star
 from .graph import components
 from .store import saved
 from .substring import Sketch, cells_twice, pack_bits, pack_cells, unpack_bits
-from .text import mix, signed
+from .text import buffers, mix, reuse_memory, signed, slices
 
 _U = np.uint64
 _LATE = np.iinfo(np.int64).max
@@ -40,6 +42,8 @@ _A = np.random.RandomState(77).randint(0, 2**31, 4096).astype(np.uint32) * np.ui
 _STEP = 0x9E3779B97F4A7C15
 #: Rounds that deal shingles to slots before the slots left take their own minima, and lines that are signed at a time.
 ROUNDS, LINES = 24, 400
+#: Bytes of texts that are looked through at once for blanks, about; a longer text by itself is not looked through.
+TIDY = 1 << 17
 #: Characters of a shingle: one changed character within a line of 49 still links it at the threshold.
 PROSE = 5
 #: Groups whose counts bound two lines' overlap.
@@ -53,12 +57,40 @@ GIVEN = {"id": pa.binary(), "num": pa.int64(), "text": pa.string(), "keys": pa.l
 
 def normal_lines(text: str | None) -> list[tuple[int, bytes]]:
     """(number, normalised line) of the lines that have a word."""
-    data = (text or "").encode().lower()
+    return own_lines((text or "").encode().lower())
+
+
+def own_lines(data: bytes) -> list[tuple[int, bytes]]:
     plain = not any(x in data for x in (b"  ", b"\t", b"\r", b"\x0b", b"\x0c"))
     bare = (x.strip() if plain else b" ".join(x.split()) for x in data.split(b"\n"))
     return [(i, x) for i, x in enumerate(bare) if x]
 
 
+def tidy_texts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which texts have no blanks but line ends and single spaces between two words of a line; some that have none may be left out."""
+    if len(data) > 8 * TIDY:
+        return np.zeros(len(bounds) - 1, bool)
+    space, end = data == 32, data == 10
+    odd = (data - np.uint8(9) <= 4) & ~end
+    odd[1:] |= space[1:] & (space | end)[:-1]
+    odd[:-1] |= space[:-1] & end[1:]
+    some = np.flatnonzero(np.diff(bounds))
+    edges = np.concatenate([bounds[some], bounds[some + 1] - 1])
+    odd[edges] |= space[edges]
+    out = np.ones(len(bounds) - 1, bool)
+    out[np.searchsorted(bounds, np.flatnonzero(odd), "right") - 1] = False
+    return out
+
+
+def column_lines(texts: pa.Array) -> Iterator[list[tuple[int, bytes]]]:
+    """normal_lines of each text; a tidy one only needs to be cut at its line ends."""
+    data, bounds = buffers(texts)
+    for _, _, part, edges in slices(data, bounds, TIDY):
+        for tidy, lo, hi in zip(tidy_texts(part, edges).tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            own = part[lo:hi].tobytes().lower()
+            yield [(i, x) for i, x in enumerate(own.split(b"\n")) if x] if tidy else own_lines(own)
+
+
 def rolling(points: np.ndarray, k: int) -> np.ndarray:
     """A hash of every k values in a row, by doubling."""
     base, out, have, h, n = 0xD1342543DE82EF95, None, 0, points, 1
@@ -108,7 +140,12 @@ def minima(h: np.ndarray, first: np.ndarray, slots: int) -> np.ndarray:
 
     for r in range(ROUNDS):
         x = scatter(own, r)
-        np.minimum.at(flat, base + (((x >> high) * wide) >> high), (x & low) | np.uint32(r << 24))
+        slot = x >> high
+        slot *= wide
+        slot >>= high
+        x &= low
+        x |= np.uint32(r << 24)
+        np.minimum.at(flat, base + slot, x)
         if r < 8 or r % 4 == 3:
             left = open_[(out[open_] == _NONE).any(1)]
             if not len(left):
@@ -161,8 +198,8 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         for b in batches:
             line, ids, cuts = [], [], [0]
-            for t in b.column(3):
-                for i, x in normal_lines(t.as_py()):
+            for own in column_lines(b.column(3)):
+                for i, x in own:
                     line.append(i)
                     ids.append(digest(x))
                 cuts.append(len(line))
@@ -187,8 +224,8 @@ def distinct_lines(docs: DataFrame, chunks: int, id_col: str, text_col: str, mos
             return pa.record_batch([pa.array(numbers, pa.int64()), pa.array(ids, pa.binary()), pa.array([r[0] for r in rows], pa.binary()).cast(pa.string()), column(0, pa.int64()), column(1, pa.int32()), column(2, pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["chunk", "id", "text", "doc", "line", "th", "n"])
 
         for b in batches:
-            for d, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                for i, x in normal_lines(t.as_py()):
+            for d, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), column_lines(b.column(2)), strict=True):
+                for i, x in t:
                     if (have := seen.get(own := digest(x))) is None:
                         seen[own] = [x, (d, i, h), 1]
                         held += len(x)
@@ -225,7 +262,7 @@ def jaccard_links(texts: list[str], x: np.ndarray, y: np.ndarray, k: int, num: i
     at = at[np.minimum(points[x[at]], points[y[at]]).sum(1) >= need[at]]
     pair = np.arange(len(at), dtype=_U) << _U(54)
     both = np.concatenate([np.repeat(pair, size[z[at]]) | own[places(first, size, z[at])] for z in (x, y)])
-    both.sort()
+    both.sort(kind="stable")  # two sorted runs, which it merges
     overlap = np.bincount((both[1:][both[1:] == both[:-1]] >> _U(54)).astype(np.int64), minlength=len(at))
     out = np.zeros(len(x), bool)
     out[at] = overlap >= need[at]
@@ -237,6 +274,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, threshold: tuple[int, int
     num, den = threshold
 
     def compare(batches):
+        reuse_memory()
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 b = batch.slice(lo, 512)
@@ -320,7 +358,7 @@ def small_links(rows: pa.Table, first: np.ndarray, size: np.ndarray, k: int, num
         pair = np.repeat(np.arange(len(z)), np.diff(cuts)[z])
         lesser = own < key[x][pair]
         less.append(np.unique(pair[lesser] * len(number) + own[lesser]))
-    both = np.sort(np.concatenate(less))
+    both = np.sort(np.concatenate(less), kind="stable")
     left = np.ones(len(x), bool)
     left[both[1:][both[1:] == both[:-1]] // max(1, len(number))] = False
     pairs = np.unique(np.minimum(of[x], of[y])[left] * len(ids) + np.maximum(of[x], of[y])[left])
@@ -356,6 +394,7 @@ def line_components(docs: DataFrame, total: int, *, k: int, bands: int, rows: in
         return keys
 
     def sketch(key, group):
+        reuse_memory()
         _, row = numbered_lines(group)
         keys, out = signed_lines(group, row).ravel(), []
         width = len(keys).bit_length()
@@ -368,6 +407,7 @@ def line_components(docs: DataFrame, total: int, *, k: int, bands: int, rows: in
         return pa.table({"segment": column(0, pa.int64()), "chunk": pa.array([key[0].as_py()] * len(out), pa.int64()), "cells": column(1, pa.binary()), "width": pa.array([width] * len(out), pa.int32()), "n": column(2, pa.int64()), "places": column(3, pa.binary())})
 
     def merge(key, group):
+        reuse_memory()
         out = []
         for twice, width, n, data in zip(cells_twice(group.column("cells"), shape), *(group.column(c).to_pylist() for c in ("width", "n", "places")), strict=True):
             raw = np.frombuffer(data, np.uint8)
@@ -378,6 +418,7 @@ def line_components(docs: DataFrame, total: int, *, k: int, bands: int, rows: in
     def give(key, group, marks):
         if not group.num_rows:
             return pa.table({n: pa.array([], t) for n, t in GIVEN.items()})
+        reuse_memory()
         of, row = numbered_lines(group)
         twice = np.sort(np.frombuffer(b"".join(marks.column("marks").to_pylist()), np.int64))
         shared = np.bincount(twice // bands, minlength=len(row))

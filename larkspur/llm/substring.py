@@ -40,15 +40,24 @@ SEGMENT_HASHES, DENSE_CELLS = 1 << 22, 1 << 27
 
 def pack_bits(x: np.ndarray, width: int) -> bytes:
     """The low `width` bits of each number, the least first."""
-    return np.packbits(np.unpackbits(x.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, count=width, bitorder="little")).tobytes() if width else b""
+    return np.packbits(np.unpackbits(x.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, count=width, bitorder="little"), bitorder="little").tobytes() if width else b""
 
 
 def unpack_bits(data: np.ndarray, n: int, width: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    if width:
-        own = np.packbits(np.unpackbits(data, count=n * width).reshape(n, width), axis=1, bitorder="little")
-        out[:, : own.shape[1]] = own
-    return out.view("<i8").ravel().astype(np.int64)
+    if not width:
+        return np.zeros(n, np.int64)
+    if width > 57:  # a number may lie in nine bytes
+        out = np.zeros((n, 8), np.uint8)
+        out[:] = np.packbits(np.unpackbits(data, count=n * width, bitorder="little").reshape(n, width), axis=1, bitorder="little")
+        return out.view("<i8").ravel().astype(np.int64)
+    size = (n * width + 7) // 8
+    own = np.zeros(size + 8, np.uint8)
+    own[:size] = data[:size]
+    bit = np.arange(n, dtype=np.int64) * width
+    x = np.ndarray(size + 1, "<u8", own, 0, (1,))[bit >> 3]  # the eight bytes from the one that holds a number's first bit
+    x >>= (bit & 7).view(_U)
+    x &= _U((1 << width) - 1)
+    return x.view(np.int64)
 
 
 def pack_cells(cells: np.ndarray, several: np.ndarray, universe: int) -> bytes:

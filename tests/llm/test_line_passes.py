@@ -23,6 +23,19 @@ def test_only_lines_that_may_be_alike_are_signed_twice(spark, tmp_path, monkeypa
     assert 601 <= sum(map(int, signed.read_text().split())) < 650
 
 
+def test_tidy_texts_are_only_cut(monkeypatch):
+    rng, cut, plain = np.random.RandomState(9), [], L.own_lines
+    monkeypatch.setattr(L, "own_lines", lambda data: cut.append(data) or plain(data))
+    tidy = ["One two\n\nTHREE\n", "", "é ß", None, "a\nb c"]
+    assert list(L.column_lines(pa.array(tidy))) == [[(0, b"one two"), (2, b"three")], [], [(0, "é ß".encode())], [], [(0, b"a"), (1, b"b c")]] and not cut
+    for untidy in ("a  b", " a", "a ", "a \nb", "a\n b", "a\tb", "a\r\nb", "a\x0bb", "a\x0c"):
+        assert list(L.column_lines(pa.array(["x y", untidy, "z"]))) == [[(0, b"x y")], plain(untidy.encode()), [(0, b"z")]] and cut.pop() == untidy.encode() and not cut
+    for most in (4, 64, 1 << 17):
+        monkeypatch.setattr(L, "TIDY", most)
+        texts = [None if n < 2 else "".join(rng.choice(list("aB  \n\t\r\x0b\x0c\x08\x0e\x1fé"), n)) for n in rng.randint(0, 80, 400)]
+        assert list(L.column_lines(pa.array(texts, pa.string()).slice(3))) == [L.normal_lines(t) for t in texts[3:]]
+
+
 def test_bits_come_back():
     rng = np.random.RandomState(5)
     for width in (0, 1, 7, 8, 20, 33, 62):
